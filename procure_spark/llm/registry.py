@@ -1,10 +1,13 @@
 """The corpus operators' queries and, where SQL can express them, their SQL."""
 
-from procure_spark.llm import op09_mixing
+from procure_spark.llm import op03_sharding, op04_chat, op09_mixing
 
 QUERIES = {
+    "op3_hypergeometric_sharding": op03_sharding.op3_hypergeometric_sharding,
+    "op4_chat_round_trip": op04_chat.op4_chat_round_trip,
     "op9_curriculum_mixing": op09_mixing.op9_curriculum_mixing,
 }
 ORACLE_SQL = {
+    "op4_chat_round_trip": op04_chat.SQL,
     "op9_curriculum_mixing": op09_mixing.SQL,
 }
