@@ -1,10 +1,13 @@
 """The corpus operators' queries and, where SQL can express them, their SQL."""
 
-from procure_spark.llm import op03_sharding, op04_chat, op09_mixing
+from procure_spark.llm import op01_secrets, op03_sharding, op04_chat, op05_classifier, op06_outliers, op09_mixing
 
 QUERIES = {
+    "op1_multipart_secrets": op01_secrets.op1_multipart_secrets,
     "op3_hypergeometric_sharding": op03_sharding.op3_hypergeometric_sharding,
     "op4_chat_round_trip": op04_chat.op4_chat_round_trip,
+    "op5_rule_ensemble": op05_classifier.op5_rule_ensemble,
+    "op6_robust_outliers": op06_outliers.op6_robust_outliers,
     "op9_curriculum_mixing": op09_mixing.op9_curriculum_mixing,
 }
 ORACLE_SQL = {
