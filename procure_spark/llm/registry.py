@@ -1,6 +1,6 @@
 """The corpus operators' queries and, where SQL can express them, their SQL."""
 
-from procure_spark.llm import op01_secrets, op03_sharding, op04_chat, op05_classifier, op06_outliers, op09_mixing
+from procure_spark.llm import op01_secrets, op03_sharding, op04_chat, op05_classifier, op06_outliers, op07_neardup, op08_topk, op09_mixing
 
 QUERIES = {
     "op1_multipart_secrets": op01_secrets.op1_multipart_secrets,
@@ -8,9 +8,12 @@ QUERIES = {
     "op4_chat_round_trip": op04_chat.op4_chat_round_trip,
     "op5_rule_ensemble": op05_classifier.op5_rule_ensemble,
     "op6_robust_outliers": op06_outliers.op6_robust_outliers,
+    "op7_hamming_neardup": op07_neardup.op7_hamming_neardup,
+    "op8_segment_topk": op08_topk.op8_segment_topk,
     "op9_curriculum_mixing": op09_mixing.op9_curriculum_mixing,
 }
 ORACLE_SQL = {
     "op4_chat_round_trip": op04_chat.SQL,
+    "op8_segment_topk": op08_topk.SQL,
     "op9_curriculum_mixing": op09_mixing.SQL,
 }
