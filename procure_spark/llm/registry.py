@@ -1,6 +1,6 @@
 """The corpus operators' queries and, where SQL can express them, their SQL."""
 
-from procure_spark.llm import op01_secrets, op03_sharding, op04_chat, op05_classifier, op06_outliers, op07_neardup, op08_topk, op09_mixing
+from procure_spark.llm import op01_secrets, op03_sharding, op04_chat, op05_classifier, op06_outliers, op07_neardup, op08_topk, op09_mixing, op10_suffixes
 
 QUERIES = {
     "op1_multipart_secrets": op01_secrets.op1_multipart_secrets,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_hamming_neardup": op07_neardup.op7_hamming_neardup,
     "op8_segment_topk": op08_topk.op8_segment_topk,
     "op9_curriculum_mixing": op09_mixing.op9_curriculum_mixing,
+    "op10_deep_shallow_dedup": op10_suffixes.op10_deep_shallow_dedup,
 }
 ORACLE_SQL = {
     "op4_chat_round_trip": op04_chat.SQL,
