@@ -1,10 +1,11 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
-A document's set of word shingles gets a signature of ``COMPONENTS`` b-bit components. Two signatures
-of at most ``ERRORS`` differing components, split into chunks, have a chunk in which at most one
-component differs (pigeonhole). All single errors are enumerated: a key for every chunk and left-out
-component, over the chunk's other components. So every pair under the distance shares a key. Pairs of
-Jaccard similarity 0.85 are over the distance with probability 2e-6, more similar ones less often.
+A document's set of word shingles gets a signature of 16-bit components, ``IN_CHUNK`` to a chunk. Two
+signatures that differ in fewer than twice as many components as there are chunks have a chunk in which
+at most one component differs (pigeonhole). All single errors are enumerated: a key for every chunk and
+left-out component, over the chunk's other components. So every pair under the distance shares a key.
+With 8 chunks, pairs of Jaccard similarity 0.85 are over the distance with probability 2e-6 and more
+similar ones less often; for 0.8, 12 chunks give 4e-6.
 
 1. Documents of equal sets are one class from here on.
 2. Keys that several classes share give candidates: first each class with a random one of the key's
@@ -25,6 +26,7 @@ columns pass through ``drop_near_duplicates``.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +38,12 @@ from procure_spark.llm.common import table, written
 from procure_spark.llm.graph import components
 
 WIDTH, PERCENT = 5, 85
-COMPONENTS, CHUNKS, ERRORS = 32, 8, 15
-IN_CHUNK = COMPONENTS // CHUNKS
 
-#: The longer signature: of 256 one-byte components 38 differ on average at similarity 0.85, and more than this with probability 1e-8.
-LONG, LONG_ERRORS = 256, 72
+#: Components of a chunk; chunks. Twice as many errors as chunks leave a chunk with two, one less doesn't.
+IN_CHUNK, CHUNKS = 4, 8
+
+#: Components, of one byte, of the longer signature that is compared before full sets are.
+LONG = 256
 
 #: Members of a key that are compared at once.
 BLOCK = 1024
@@ -93,7 +96,13 @@ def digest(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def long_errors(percent: int) -> int:
+    """Differing components of longer signatures that pairs of the similarity exceed with probability 1e-9."""
+    p = (1 - percent / 100) * 255 / 256
+    return math.ceil(LONG * p + 6 * math.sqrt(LONG * p * (1 - p)))
+
+
+def signed(docs: DataFrame, chunks: int) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_shingles, class, sig); class is a digest of the set."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,17 +112,17 @@ def signed(docs: DataFrame) -> DataFrame:
                 "doc_id": b["doc_id"],
                 "n_shingles": [len(s) for s in sets],
                 "class": [digest(s) if len(s) else None for s in sets],
-                "sig": [signature(s, COMPONENTS, 16) if len(s) else None for s in sets],
+                "sig": [signature(s, chunks * IN_CHUNK, 16) if len(s) else None for s in sets],
             })
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(sign, f"doc_id {id_type}, n_shingles long, class binary, sig binary")
 
 
-def keys(classes: DataFrame) -> DataFrame:
+def keys(classes: DataFrame, chunks: int) -> DataFrame:
     """(class, sig) -> (class, slot, key): one key for each chunk and component left out of it."""
     part = lambda i: F.substring("sig", 2 * i + 1, 2)
-    slots = [F.xxhash64(F.lit(c * IN_CHUNK + o), *[part(c * IN_CHUNK + i) for i in range(IN_CHUNK) if i != o]) for c in range(CHUNKS) for o in range(IN_CHUNK)]
+    slots = [F.xxhash64(F.lit(c * IN_CHUNK + o), *[part(c * IN_CHUNK + i) for i in range(IN_CHUNK) if i != o]) for c in range(chunks) for o in range(IN_CHUNK)]
     return classes.select("class", F.posexplode(F.array(*slots)).alias("slot", "key"))
 
 
@@ -123,6 +132,7 @@ def errors(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b) of classes whose full sets are as similar as ``percent``."""
+    most = long_errors(percent)
     one = pairs.join(sets.select(F.col("class").alias("a"), F.col("hashes").alias("ha"), F.col("long").alias("la")), "a")
     two = one.join(sets.select(F.col("class").alias("b"), F.col("hashes").alias("hb"), F.col("long").alias("lb")), "b")
 
@@ -132,7 +142,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for ha, hb, la, lb in zip(p["ha"], p["hb"], p["la"], p["lb"], strict=True):
                 x, y = np.frombuffer(ha, "<u8"), np.frombuffer(hb, "<u8")
                 small, large = sorted((len(x), len(y)))
-                if 100 * small < percent * large or errors(np.frombuffer(la, np.uint8), np.frombuffer(lb, np.uint8)) > LONG_ERRORS:
+                if 100 * small < percent * large or errors(np.frombuffer(la, np.uint8), np.frombuffer(lb, np.uint8)) > most:
                     good.append(False)
                     continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
@@ -142,27 +152,30 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.mapInPandas(check, "a binary, b binary")
 
 
-def unconnected_pairs(members: DataFrame) -> DataFrame:
+def unconnected_pairs(members: DataFrame, percent: int, chunks: int) -> DataFrame:
     """(unit, side, class, slot, sig, long, n, label), side 0 or 1 (-1: within the block) -> (a, b):
     pairs of different labels within both distances, each from the first key that they share only."""
 
+    most = long_errors(percent)
+
     def compare(unit: pd.DataFrame) -> list[tuple[bytes, bytes]]:
-        sig = np.frombuffer(b"".join(unit["sig"]), "<u2").reshape(len(unit), COMPONENTS)
+        sig = np.frombuffer(b"".join(unit["sig"]), "<u2").reshape(len(unit), chunks * IN_CHUNK)
         long = np.frombuffer(b"".join(unit["long"]), np.uint8).reshape(len(unit), LONG)
         n, side, label, cls, slot = unit["n"].to_numpy(), unit["side"].to_numpy(), unit["label"].to_numpy(), unit["class"].to_numpy(), int(unit["slot"].iloc[0])
         out = []
         for i in np.flatnonzero(side <= 0):
             j = np.flatnonzero(side == 1) if side[i] == 0 else np.arange(i + 1, len(unit))
-            j = j[(label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i]))]
+            j = j[(label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
             if not len(j):
                 continue
             same = sig[j] == sig[i]
-            j, same = j[(~same).sum(1) <= ERRORS], same[(~same).sum(1) <= ERRORS]
-            chunk = same.reshape(len(j), CHUNKS, IN_CHUNK)
+            near = (~same).sum(1) < 2 * chunks
+            j, same = j[near], same[near]
+            chunk = same.reshape(len(j), chunks, IN_CHUNK)
             first = (chunk.sum(2) >= IN_CHUNK - 1).argmax(1)
             own = first * IN_CHUNK + chunk[np.arange(len(j)), first].argmin(1)  # all equal: the first is left out
             j = j[own == slot]
-            j = j[errors(long[j], long[i]) <= LONG_ERRORS]
+            j = j[errors(long[j], long[i]) <= most]
             out += [tuple(sorted((cls[i], cls[k]))) for k in j]
         return out
 
@@ -180,12 +193,12 @@ def unconnected_pairs(members: DataFrame) -> DataFrame:
     return members.repartition("unit").sortWithinPartitions("unit", "side", "class").mapInPandas(generate, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, chunks: int = CHUNKS) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_shingles, component_id, kept)."""
-    documents = written(signed(docs), "op7-signatures")
+    documents = written(signed(docs, chunks), "op7-signatures")
     classes = documents.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n"))
     classes = written(classes, "op7-classes")
-    keyed = keys(classes)
+    keyed = keys(classes, chunks)
     # A random member of each key (another one for each, so that no odd document stands in for all).
     luck = F.struct(F.xxhash64("key", "class").alias("luck"), F.col("class"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min(luck)["class"].alias("pivot")).filter("members > 1")
@@ -201,7 +214,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     labelled = shared.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 != l2").select("key")
     members = labelled.join(open_keys, "key", "left_semi").join(sig, "class").join(sets.select("class", "long"), "class")
-    pairs = unconnected_pairs(in_blocks(members)).distinct()
+    pairs = unconnected_pairs(in_blocks(members), percent, chunks).distinct()
     more = written(confirmed(pairs, sets, percent), "op7-links")
     labels = components(star_links.unionByName(more), "op7-components")
     named = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
@@ -239,9 +252,9 @@ def in_blocks(members: DataFrame, block: int = BLOCK) -> DataFrame:
     return unit.select(key.alias("unit"), side.alias("side"), "class", "slot", "sig", "long", "n", "label")
 
 
-def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, chunks: int = CHUNKS) -> DataFrame:
     """docs of which one of each group stays: the one whose doc_id is the group's least."""
-    kept = near_duplicates(docs, percent).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = near_duplicates(docs, percent, chunks).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
 
 

@@ -1,9 +1,10 @@
 """The corpus operators' queries and, where SQL can express them, their SQL."""
 
-from procure_spark.llm import op01_secrets, op03_sharding, op04_chat, op05_classifier, op06_outliers, op07_neardup, op08_topk, op09_mixing, op10_suffixes
+from procure_spark.llm import op01_secrets, op02_pieces, op03_sharding, op04_chat, op05_classifier, op06_outliers, op07_neardup, op08_topk, op09_mixing, op10_suffixes
 
 QUERIES = {
     "op1_multipart_secrets": op01_secrets.op1_multipart_secrets,
+    "op2_gumbel_pieces": op02_pieces.op2_gumbel_pieces,
     "op3_hypergeometric_sharding": op03_sharding.op3_hypergeometric_sharding,
     "op4_chat_round_trip": op04_chat.op4_chat_round_trip,
     "op5_rule_ensemble": op05_classifier.op5_rule_ensemble,
