@@ -12,8 +12,9 @@ similar ones less often; for 0.8, 12 chunks give 4e-6.
    (as many as there are classes), confirmed on full sets.
 3. Between members of a key that are not yet connected, all pairs within the distance of the
    signatures, and of longer ones, are confirmed on full sets. Keys of many members are cut into
-   blocks and all pairs of blocks are compared, each in a task of its own; pairs are emitted only if
-   they may still join two components.
+   blocks and every two blocks are compared as a unit of their own. First signatures say which members
+   of a unit have a candidate at all; their full sets are brought to the unit and compared there, so
+   that no row is made for a pair but a confirmed link, and pairs that a unit's links connect are left.
 4. Connected components of the confirmed links are the groups.
 
 Defined cases: null and empty texts, and texts without a word, have an empty set and no links, and are
@@ -152,45 +153,90 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.mapInPandas(check, "a binary, b binary")
 
 
-def unconnected_pairs(members: DataFrame, percent: int, chunks: int) -> DataFrame:
-    """(unit, side, class, slot, sig, long, n, label), side 0 or 1 (-1: within the block) -> (a, b):
-    pairs of different labels within both distances, each from the first key that they share only."""
-
-    most = long_errors(percent)
-
-    def compare(unit: pd.DataFrame) -> list[tuple[bytes, bytes]]:
-        sig = np.frombuffer(b"".join(unit["sig"]), "<u2").reshape(len(unit), chunks * IN_CHUNK)
-        long = np.frombuffer(b"".join(unit["long"]), np.uint8).reshape(len(unit), LONG)
-        n, side, label, cls, slot = unit["n"].to_numpy(), unit["side"].to_numpy(), unit["label"].to_numpy(), unit["class"].to_numpy(), int(unit["slot"].iloc[0])
-        out = []
-        for i in np.flatnonzero(side <= 0):
-            j = np.flatnonzero(side == 1) if side[i] == 0 else np.arange(i + 1, len(unit))
-            j = j[(label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
-            if not len(j):
-                continue
-            same = sig[j] == sig[i]
-            near = (~same).sum(1) < 2 * chunks
-            j, same = j[near], same[near]
-            chunk = same.reshape(len(j), chunks, IN_CHUNK)
-            first = (chunk.sum(2) >= IN_CHUNK - 1).argmax(1)
-            own = first * IN_CHUNK + chunk[np.arange(len(j)), first].argmin(1)  # all equal: the first is left out
-            j = j[own == slot]
-            j = j[errors(long[j], long[i]) <= most]
-            out += [tuple(sorted((cls[i], cls[k]))) for k in j]
-        return out
-
-    def generate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for b in batches:  # sorted by unit
-            b = b if held is None else pd.concat([held, b], ignore_index=True)
-            last = (b["unit"] == b["unit"].iloc[-1]).to_numpy()
-            held, done = b[last], b[~last]
-            found = [p for _, unit in done.groupby("unit", sort=False) for p in compare(unit)]
+def candidates(unit: pd.DataFrame, percent: int, chunks: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a unit and the rows that each is to be compared with: of another label, of a size and
+    signatures near enough, and of this key as the first that both share."""
+    sig = np.frombuffer(b"".join(unit["sig"]), "<u2").reshape(len(unit), chunks * IN_CHUNK)
+    long = np.frombuffer(b"".join(unit["long"]), np.uint8).reshape(len(unit), LONG)
+    n, side, label, slot, most = unit["n"].to_numpy(), unit["side"].to_numpy(), unit["label"].to_numpy(), int(unit["slot"].iloc[0]), long_errors(percent)
+    right = np.flatnonzero(side == 1)
+    for i in np.flatnonzero(side <= 0):
+        j = right if side[i] == 0 else np.arange(i + 1, len(unit))
+        j = j[(label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
+        if not len(j):
+            continue
+        same = sig[j] == sig[i]
+        near = (~same).sum(1) < 2 * chunks
+        j, chunk = j[near], same[near].reshape(-1, chunks, IN_CHUNK)
+        first = (chunk.sum(2) >= IN_CHUNK - 1).argmax(1)
+        own = first * IN_CHUNK + chunk[np.arange(len(j)), first].argmin(1)  # all equal: the first is left out
+        j = j[own == slot]
+        j = j[errors(long[j], long[i]) <= most]
+        if len(j):
+            yield int(i), j
+
+
+def each_unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The units of batches that are sorted by unit; a unit has two blocks at most."""
+    held = None
+    for b in batches:
+        b = b if held is None else pd.concat([held, b], ignore_index=True)
+        last = (b["unit"] == b["unit"].iloc[-1]).to_numpy()
+        held = b[last]
+        yield from (unit.reset_index(drop=True) for _, unit in b[~last].groupby("unit", sort=False))
+    if held is not None and len(held):
+        yield held.reset_index(drop=True)
+
+
+def by_unit(members: DataFrame) -> DataFrame:
+    return members.repartition("unit").sortWithinPartitions("unit", "side", "class")
+
+
+def meeting(members: DataFrame, percent: int, chunks: int) -> DataFrame:
+    """The rows of (unit, side, class, slot, sig, long, n, label) that are a candidate of any other row;
+    side is 0 or 1, or -1 if the unit is one block."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for unit in each_unit(batches):
+            met = np.zeros(len(unit), bool)
+            for i, j in candidates(unit, percent, chunks):
+                met[i] = True
+                met[j] = True
+            if met.any():
+                yield unit[met]
+
+    return by_unit(members).mapInPandas(find, members.schema)
+
+
+def unit_links(members: DataFrame, percent: int, chunks: int) -> DataFrame:
+    """members with hashes -> (a, b): confirmed links between labels, in each unit as many as connect
+    what it can connect."""
+
+    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for unit in each_unit(batches):
+            sets = [np.frombuffer(h, "<u8") for h in unit["hashes"]]
+            sizes = np.array([len(x) for x in sets])
+            numbers = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            sets = np.split(numbers, np.cumsum(sizes)[:-1])
+            marked = np.zeros(int(numbers.max()) + 1, bool)
+            names, label = np.unique(unit["label"].to_numpy(), return_inverse=True)
+            root = np.arange(len(names))
+            found = []
+            for i, j in candidates(unit, percent, chunks):
+                j = j[root[label[j]] != root[label[i]]]
+                if not len(j):
+                    continue
+                marked[sets[i]] = True
+                both = np.add.reduceat(marked[np.concatenate([sets[x] for x in j])].astype(np.int64), np.concatenate([[0], np.cumsum(sizes[j])[:-1]]))
+                marked[sets[i]] = False
+                for x in j[100 * both >= percent * (sizes[i] + sizes[j] - both)]:
+                    one, other = root[label[i]], root[label[x]]
+                    if one != other:
+                        root[root == max(one, other)] = min(one, other)
+                        found.append((unit["class"][i], unit["class"][x]))
             yield pd.DataFrame(found, columns=["a", "b"])
-        if held is not None:
-            yield pd.DataFrame(compare(held), columns=["a", "b"])
 
-    return members.repartition("unit").sortWithinPartitions("unit", "side", "class").mapInPandas(generate, "a binary, b binary")
+    return by_unit(members).mapInPandas(confirm, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, chunks: int = CHUNKS) -> DataFrame:
@@ -214,8 +260,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, chunks: int = CHUNK
     labelled = shared.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 != l2").select("key")
     members = labelled.join(open_keys, "key", "left_semi").join(sig, "class").join(sets.select("class", "long"), "class")
-    pairs = unconnected_pairs(in_blocks(members), percent, chunks).distinct()
-    more = written(confirmed(pairs, sets, percent), "op7-links")
+    met = written(meeting(in_blocks(members), percent, chunks), "op7-met")
+    more = written(unit_links(met.join(sets.select("class", "hashes"), "class"), percent, chunks), "op7-links")
     labels = components(star_links.unionByName(more), "op7-components")
     named = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
