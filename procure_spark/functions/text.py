@@ -62,9 +62,9 @@ def parse_price(col: Column) -> Column:
 def catalog_price(col: Column) -> Column:
     """The number before ``р./ ... РОЗН``, else the first one before ``р./``, else 0.0."""
     text = F.upper(F.replace(blank(col), F.lit(NBSP), F.lit(" ")))
-    number = r"(?U)(\d[\d\s]*(?:[.,]\d+)?)\s*Р\./"
-    found = F.coalesce(first_match(text, number + r"[^\d]{0,40}?РОЗН"), first_match(text, number))
-    return F.coalesce(F.replace(F.regexp_replace(found, r"\s", ""), F.lit(","), F.lit(".")).try_cast("double"), F.lit(0.0))
+    number = r"(?U)(\d+(?:[.,]\d+)?)\s*Р\./"
+    found = F.coalesce(first_match(text, number + r"\S*\s*РОЗН"), first_match(text, number))
+    return F.coalesce(F.replace(found, F.lit(","), F.lit(".")).try_cast("double"), F.lit(0.0))
 
 
 def first_number(col: Column) -> Column:

@@ -108,7 +108,7 @@ def validate_reports(df: DataFrame, report: str, headers: Sequence[str], tables:
 def report_summary(df: DataFrame, report: str, start: str, end: str, most: int = 1200) -> DataFrame:
     """df with summary: the section between two headings, table rows left out."""
     body = F.regexp_extract(blank(F.col(report)), rf"(?s)\Q{start}\E(.*?)(?:\Q{end}\E|$)", 1)
-    return df.withColumn("summary", F.substring(F.trim(F.regexp_replace(body, r"(?m)^\s*\|.*$\n?", "")), 1, most))
+    return df.withColumn("summary", F.substring(F.regexp_replace(F.regexp_replace(body, r"(?m)^[ \t]*\|.*$\n?", ""), r"^\s+|\s+$", ""), 1, most))
 
 
 def equivalents_policy(df: DataFrame, text: str, forbidden: Sequence[str] = tuple(L.FORBIDDEN_EQUIVALENTS), stems: Sequence[str] = tuple(L.EQUIVALENT_STEMS)) -> DataFrame:

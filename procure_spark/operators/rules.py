@@ -159,7 +159,7 @@ def is_characteristic(col: Column, spec=tuple(L.SPEC_KEYWORDS)) -> Column:
 
 def characteristics(lines: Column) -> Column:
     """Of an array of lines those that tell a characteristic, each once, in order."""
-    kept = F.filter(lines, is_characteristic)
+    kept = F.filter(lines, lambda x: is_characteristic(x))
     lows = F.transform(kept, lambda x: F.lower(x))
     return F.filter(kept, lambda x, i: F.array_position(lows, F.lower(x)) == i + 1)
 

@@ -53,7 +53,8 @@ def pipe_rows(df: DataFrame, text: str = "text", pipes: int = 2, cells: int = 3)
 
 def markdown_tables(df: DataFrame, text: str = "text") -> DataFrame:
     """Rows of pipe tables: table number, row number, cells padded to the table's widest row."""
-    numbered = df.select("*", F.monotonically_increasing_id().alias("__row"), F.posexplode(F.split(blank(F.col(text)), "\n")).alias("line_no", "line"))
+    numbered = df.withColumn("__row", F.monotonically_increasing_id())
+    numbered = numbered.select("*", F.posexplode(F.split(blank(F.col(text)), "\n")).alias("line_no", "line"))
     line = F.trim("line")
     tabular = F.startswith(line, F.lit("|"))
     w = Window.partitionBy("__row").orderBy("line_no")

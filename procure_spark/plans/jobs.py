@@ -35,7 +35,7 @@ def extract_requirements(docs: DataFrame, doc: str, text: str = "text") -> DataF
     table = F.size(F.split("line", "\\|")) >= 3
     cells = F.filter(F.transform(F.split("line", "\\|"), lambda c: F.trim(c)), lambda c: c != "")
     found = inside.withColumn("cells", F.when(table, cells).otherwise(F.array("line")))
-    name = F.try_element_at(F.filter("cells", rules.is_material_name), F.lit(1))
+    name = F.try_element_at(F.filter("cells", lambda c: rules.is_material_name(c)), F.lit(1))
     found = found.withColumns({"position_name": T.norm_name(name), "qty": T.qty_unit(F.col("line"))}).filter((F.coalesce(F.length("position_name"), F.lit(0)) > 2) & ~rules.is_general_req(F.col("line")))
     has = F.col("qty.quantity").isNotNull()
     confidence = F.when(table, F.when(has, 0.86).otherwise(0.74)).otherwise(F.when(has, 0.76).otherwise(0.62))
