@@ -129,17 +129,16 @@ def query_keywords(col: Column, stop: Sequence[str] = tuple(L.KEYWORD_STOPWORDS)
 
 
 def norm_query(col: Column) -> Column:
-    """A query without leading numbers, pipes, ``or equivalent``, page references and file names."""
-    return F.trim(
-        chain(
-            blank(col),
-            (r"^\s*\d+(?:\.\d+)*[.)]?\s+", ""),
-            (r"\|", " "),
-            (r"(?iU)\bили\s+эквивалент\w*", ""),
-            (r"(?iU)\bстр\.?\s*\d+", ""),
-            (r"(?iU)\S+\.(docx?|pdf|xlsx?)\b", ""),
-            (r"\s+", " "),
-        )
+    """A query without leading numbers, pipes, equivalents, page references and file names."""
+    return chain(
+        blank(col),
+        (r"^[\d\s.)\-]+", ""),
+        (r"\|", " "),
+        (r"(?iU)\b(или эквивалент|эквивалент|аналог)\b", ""),
+        (r"(?iU)\b(стр\.?|страница)\s*\d+\b", ""),
+        (r"(?iU)\b\S+\.(doc|docx|pdf|xls|xlsx)\b", ""),
+        (r"\s{2,}", " "),
+        (r"^[ \-;,.]+|[ \-;,.]+$", ""),
     )
 
 
@@ -235,12 +234,7 @@ def notice_kind(href: Column, after: str = "notice") -> Column:
     return first_match(blank(href), rf"/{after}/([^/?#]+)/")
 
 
-#: (needed in the path, not allowed in it, rank); the first that fits holds.
-HREF_RANKS = [("/common-info", "/printform/", 0), ("/documents", "/printform/", 1), ("/contract-info", "/printform/", 2), ("/plan.html", None, 100), ("/printform/.*/common-info|/common-info.*/printform/|/printform/common-info", None, 50)]
-TECHNICAL_PARTS = ("/printform/", "/rss", "/signview", "/event-journal", "/download")
-
-
-def href_rank(col: Column, rules=HREF_RANKS, technical: Sequence[str] = TECHNICAL_PARTS) -> Column:
+def href_rank(col: Column, rules=L.HREF_RANKS, technical: Sequence[str] = L.TECHNICAL_PARTS) -> Column:
     """How little a link tells of a notice: 0 is best, 10 unknown, 1000 technical."""
     path = F.lower(F.regexp_extract(blank(col), r"^(?:[a-zA-Z]+://[^/?#]*)?([^?#]*)", 1))
     rank = F.when(F.lit(False), 0)
@@ -250,16 +244,13 @@ def href_rank(col: Column, rules=HREF_RANKS, technical: Sequence[str] = TECHNICA
     return rank.when(any_of(path, technical), 1000).otherwise(10)
 
 
-DROP_PARAMETERS = ("gclid", "fbclid", "yclid")
-
-
 def _parts(col: Column) -> tuple[Column, Column, Column, Column]:
     url = F.trim(blank(col))
     get = lambda g: F.regexp_extract(url, r"^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?", g)
     return get(1), get(2), get(3), get(4)
 
 
-def canonical_url(col: Column, domain: str = "", drop: Sequence[str] = DROP_PARAMETERS, prefixes: Sequence[str] = ("utm_",), force: tuple[str, str] | None = None) -> Column:
+def canonical_url(col: Column, domain: str = "", drop: Sequence[str] = L.DROP_PARAMETERS, prefixes: Sequence[str] = ("utm_",), force: tuple[str, str] | None = None) -> Column:
     """https by default, no ``www.``, slash at the end, fragment, or tracking parameters; one forced parameter."""
     scheme, host, path, query = _parts(col)
     pairs = F.filter(F.split(query, "&"), lambda p: p != "")
@@ -275,10 +266,7 @@ def canonical_url(col: Column, domain: str = "", drop: Sequence[str] = DROP_PARA
     return F.when(is_blank(col), F.lit("")).otherwise(whole)
 
 
-ASSETS = ("jpg", "jpeg", "png", "svg", "ico", "webp", "css", "js", "pdf", "zip")
-
-
-def allowed_url(col: Column, domain: str, force: tuple[str, str] | None = None, assets: Sequence[str] = ASSETS) -> Column:
+def allowed_url(col: Column, domain: str, force: tuple[str, str] | None = None, assets: Sequence[str] = L.ASSETS) -> Column:
     """Whether a link is of the domain, no asset, and carries the forced parameter or none of its name."""
     _, host, _, query = _parts(col)
     host = F.replace(host, F.lit("www."), F.lit(""))
@@ -298,10 +286,7 @@ def repair_filename(col: Column, most: int = 180) -> Column:
     return F.substring(chain(name, (r'[\\/:*?"<>|\x00-\x1f]', "_"), (r"^[ .]+|[ .]+$", "")), 1, most)
 
 
-MAGIC = {"pdf": ["25504446"], "docx": ["504B0304"], "xlsx": ["504B0304"], "zip": ["504B0304"], "doc": ["D0CF11E0A1B11AE1"], "xls": ["D0CF11E0A1B11AE1"]}
-
-
-def audit_signature(content: Column, name: Column, magic: dict[str, list[str]] = MAGIC, least: int = 100) -> Column:
+def audit_signature(content: Column, name: Column, magic: dict[str, list[str]] = L.MAGIC, least: int = 100) -> Column:
     """ok, empty, html, too_small, or mismatch, from a file's first bytes and its name's extension."""
     start = F.hex(F.substring(content, 1, 8))
     head = F.lower(F.try_validate_utf8(F.substring(content, 1, 64).cast("string")))
@@ -316,10 +301,7 @@ def audit_signature(content: Column, name: Column, magic: dict[str, list[str]] =
     )
 
 
-CONTENT_TYPES = [("pdf", ".pdf"), ("wordprocessingml", ".docx"), ("msword", ".doc"), ("spreadsheetml", ".xlsx"), ("ms-excel", ".xls"), ("zip", ".zip"), ("rar", ".rar"), ("7z", ".7z")]
-
-
-def ext_from_ctype(col: Column, kinds=CONTENT_TYPES) -> Column:
+def ext_from_ctype(col: Column, kinds=L.CONTENT_TYPES) -> Column:
     low = F.lower(blank(col))
     return reduce(lambda c, k: c.when(F.contains(low, F.lit(k[0])), k[1]), kinds, F.when(F.lit(False), "")).otherwise("")
 
@@ -388,18 +370,7 @@ def compose_query(name: Column, characteristics: Column, lex: Sequence[str] = tu
     return chain(whole, (r"\s{2,}", " "), (r"^[ |;]+|[ |;]+$", ""))
 
 
-#: (terms of which the name holds one, or a suffix that it has, priority, class); the first that fits holds.
-GOODS_PRIORITY = [
-    (["описан", "объект", "тех", "тз"], None, 1, "goods_main"),
-    (["специфик", "ведомост", "номенклат"], None, 2, "goods_spec"),
-    ([], r"\.xlsx?$", 3, "goods_excel"),
-    (["проект", "контракт", "договор"], None, 4, "contract"),
-    (["извещ"], None, 5, "notice"),
-    (["нмцк", "обоснован", "смет"], None, 6, "price"),
-]
-
-
-def doc_priority(col: Column, rules=GOODS_PRIORITY, other=(10, "other")) -> Column:
+def doc_priority(col: Column, rules=L.GOODS_PRIORITY, other=(10, "other")) -> Column:
     """struct(priority, class) of a file name."""
     low = F.lower(blank(col))
     both = F.when(F.lit(False), F.struct(F.lit(0).alias("priority"), F.lit("").alias("class")))
@@ -409,8 +380,9 @@ def doc_priority(col: Column, rules=GOODS_PRIORITY, other=(10, "other")) -> Colu
 
 
 def strip_artifacts(col: Column) -> Column:
-    """Text without file and page marks."""
-    return F.trim(chain(blank(col), (r"(?iU)\[?\bфайл\s*:[^\]\n]*\]?", ""), (r"(?iU)-{2,}\s*страница\s*\d+\s*-{2,}", ""), (r"(?iU),?\s*стр\.?\s*\d+", ""), (r"(?iU)\S+\.(docx?|pdf|xlsx?)\b", ""), ("[ \\t]+", " ")))
+    """Text without the marks of files and pages that assembling put into it."""
+    text = F.regexp_replace(F.regexp_replace(norm_text(col), r"(?iU)\[(FILE:[^\]]+|CRM_DESCRIPTION_FALLBACK)\]", " "), r"(?iU)(===\s*ФАЙЛ:|---\s*СТРАНИЦА/ЛИСТ:)[^\n]+", " ")
+    return F.regexp_replace(chain(text, (r"(?iU)\.(docx?|pdf|xlsx?)\b", " "), (r"(?iU)\bстр\.?\s*\d+\b", " "), (r"\s+\|\s+", " | "), (r"\n{3,}", "\n\n")), r"^\s+|\s+$", "")
 
 
 def step_status(col: Column, forward: bool, order: Sequence[str]) -> Column:

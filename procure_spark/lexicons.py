@@ -109,4 +109,108 @@ MEASURES = {
     "flexibility": [r"гибкост[ьи][^\-\d]{0,15}(-?\d+(?:\.\d+)?)", r"(?:^|[^\w.])(-?\d+(?:\.\d+)?)\s*°?c\b"],
 }
 
-BLANK_VALUES = ["", "не указано", "нет", "none", "null", "-", "—"]
+BLANK_VALUES = ["не указано", "нет", "null", "none", ""]
+
+FRAGMENT_TYPES = [
+    ("GOODS_GENERAL_REQUIREMENTS", ["товар должен быть новым", "гарантийный срок", "сертификат", "декларация соответствия", "упаковка", "маркировка", "общие требования к товарам", "общие требования к товару"]),
+    ("GOODS_SPEC", ["техническое задание", "описание объекта закупки", "спецификация", "наименование товара", "характеристики", "ведомость материалов", "товар", "материал", "ед. изм", "количество", "кол-во"]),
+    ("CONTRACT_TERMS", ["оплата", "штраф", "пеня", "неустойка", "расторжение", "ответственность сторон", "порядок приемки", "приемка", "расчеты", "реквизиты", "порядок расчетов"]),
+    ("PROCUREMENT_RULES", ["требования к участнику", "состав заявки", "критерии оценки", "инструкция", "форма заявки", "обеспечение заявки", "банковская гарантия", "участник закупки"]),
+    ("PRICE_JUSTIFICATION", ["нмцк", "обоснование цены", "обоснование начальной", "смета", "коммерческое предложение", "расчет цены"]),
+]
+
+DOC_ROLES = [
+    ("price_calc", ["нмцд", "нмцк", "обоснован", "расчет нмц", "смет"]),
+    ("national_regime", ["нац режим", "национальн", "страна происх", "реестр российск", "ограничени", "запрет", "преференц"]),
+    ("application_docs", ["инструкц", "заявк", "образц", "форма ", "требовани к содержанию", "критерии оценки", "участник закупки"]),
+    ("tender_spec", ["техническое задание", "техзадание", "тз", "описание объекта закупки", "спецификац", "ведомость материалов", "перечень материалов", "товарная номенклатура", "технические характеристики"]),
+    ("contract", ["договор", "контракт", "проект договора", "проект контракта"]),
+    ("notice", ["извещение", "notice", "информационная карта"]),
+]
+
+MATERIAL_TERMS = [
+    "гидроизол", "техноэласт", "унифлекс", "линокром", "биполь", "филизол", "рубитэкс", "эластобит", "стеклоэласт", "стеклоизол", "гидростеклоизол",
+    "изоэласт", "мостослой", "тэксослой", "мастика", "праймер", "мембрана", "герметик", "лента", "геотекстиль", "геомембрана", "шпонка", "пароизоляция",
+]
+
+TECHNICAL_TERMS = ["характерист", "основа", "толщин", "масса", "гибкост", "теплостойк", "маркировк", "рулон", "кг", "мм", "м2", "м²", "ед. изм", "количество"]
+
+RELEVANT_TERMS = ["техническое задание", "описание объекта закупки", "спецификац", "наименование товара", "характерист", "материал", "товар", "поставка", "основа", "толщин", "масса", "гибкост", "теплостойк"]
+
+IRRELEVANT_TERMS = ["оплата", "штраф", "пеня", "неустойк", "расторжен", "ответственность", "реквизит", "участник закупки", "инструкция", "критерии оценки", "нмцд", "нмцк", "обоснован", "нац режим", "реестр", "банковская гарантия", "обеспечение исполнения", "срок оплаты", "порядок расчетов"]
+
+REQUIREMENT_TERMS = [
+    "техническое задание", "описание объекта закупки", "спецификац", "ведомость материалов", "наименование товара", "характерист", "материал", "товар",
+    "поставка", "основа", "толщин", "масса", "параметр", "значение", "требован", "гост", "ту ", "ост ",
+]
+
+COLON_TERMS = ["характерист", "параметр", "значение"]
+
+PROCESS_TERMS = [
+    "оплата", "штраф", "пеня", "неустойк", "расторжен", "ответственность", "реквизит", "участник закупки", "инструкция", "заявка", "критерии оценки",
+    "нмцд", "нмцк", "обоснован", "нац режим", "реестр", "банковская гарантия", "обеспечение исполнения", "порядок расчетов", "срок оплаты",
+]
+
+NOISE_TERMS = [
+    "оплата", "штраф", "пеня", "неустойк", "расторжен", "ответственность", "реквизит", "участник закупки", "инструкция", "образцы форм", "критерии оценки",
+    "нмцд", "нмцк", "обоснован", "нац режим", "реестр", "банковская гарантия", "обеспечение исполнения", "порядок расчетов", "срок оплаты", "извещение",
+    "подача заявок", "комиссия", "жалоб", "протокол", "контактн",
+]
+
+PRODUCT_LINE_TERMS = [
+    "гост", "ту ", "ост ", "характеристик", "параметр", "значение", "толщин", "масса", "вес ", "длина", "ширина", "высота", "диаметр", "марка", "модель",
+    "артикул", "тип ", "состав", "свойства", "наименование", "материал", "товар", "количеств", "ед. изм", "ед изм",
+]
+
+SPEC_LINE_BARS = [
+    "штраф", "пеня", "неустойк", "оплат", "аванс", "расчет", "расчёт", "приемк", "приёмк", "расторжен", "ответственност", "обеспечени", "реквизит",
+    "подсудност", "гарант", "срок исполнен", "срок поставки", "нацрежим", "нац режим", "реестр", "нмцк", "обоснован", "извещени", "комисси", "заявк",
+    "участник", "контракт", "договор", "проект договора", "пик", "стр.", ".doc", ".docx", ".pdf", ".xls", ".xlsx",
+]
+
+LINE_UNITS = r"мм|м2|м²|м|кг|л|шт|рулон|компл|уп|т|гр|см"
+
+CATEGORY_WHITELIST = ["гидроизоляция", "мастика", "праймер", "рубероид", "гидроизол", "материалы", "кровля", "строительные", "битум", "изоляция", "утеплитель"]
+
+#: (needed in the path, not allowed in it, rank); the first that fits holds.
+HREF_RANKS = [("/common-info", "/printform/", 0), ("/documents", "/printform/", 1), ("/contract-info", "/printform/", 2), ("/plan.html", None, 100), ("/printform/.*/common-info|/common-info.*/printform/|/printform/common-info", None, 50)]
+
+TECHNICAL_PARTS = ("/printform/", "/print-form/", "listmodal")
+
+DROP_PARAMETERS = ("gclid", "fbclid", "yclid")
+
+ASSETS = ("jpg", "jpeg", "png", "svg", "ico", "webp", "css", "js", "pdf", "zip")
+
+CONTENT_TYPES = [("pdf", ".pdf"), ("wordprocessingml", ".docx"), ("msword", ".doc"), ("spreadsheetml", ".xlsx"), ("excel", ".xls"), ("zip", ".zip"), ("rar", ".rar"), ("7z", ".7z")]
+
+#: (terms of which the name holds one, or a suffix that it has, priority, class); the first that fits holds.
+GOODS_PRIORITY = [
+    (["описан", "объект", "тех", "тз"], None, 1, "goods_main"),
+    (["специфик", "ведомост", "номенклат"], None, 2, "goods_spec"),
+    ([], r"\.xlsx?$", 3, "goods_excel"),
+    (["проект", "контракт", "договор"], None, 4, "contract"),
+    (["извещ"], None, 5, "notice"),
+    (["нмцк", "обоснован", "смет"], None, 6, "price"),
+]
+
+MAGIC = {"pdf": ["25504446"], "docx": ["504B0304"], "xlsx": ["504B0304"], "zip": ["504B0304"], "doc": ["D0CF11E0A1B11AE1"], "xls": ["D0CF11E0A1B11AE1"]}
+
+#: Marks of links to files.
+DOWNLOAD_MARKS = ("download", "downloadfile", "download.html?id=", "attachment", "filestore")
+
+REPORT_HEADERS = [
+    "## 0. Карточка Заказчика",
+    "## 1. Риски участия и исполнения договора",
+    "## 2. Риски недопуска заявки и потери баллов",
+    "## 3. Проверка соответствия требованиям ТД и закона",
+    "## 3.1. Возможность поставки эквивалентов (аналогов)",
+    "## 4. Условия поставки и приёмки",
+    "## 5. Условия оплаты",
+    "## 6. Ответственность сторон",
+    "## 7. Полный перечень документов, которые должны входить в состав заявки",
+    "## 8. Отдельный перечень документов, предоставляемых при поставке",
+    "## 9. Требования к продукции по реестрам и ограничениям",
+    "## 10. Рекомендации Поставщику",
+]
+
+REPORT_TABLES = ["## 0. Карточка Заказчика", "## 0.1. Сводная таблица товаров", "## 3.1. Возможность поставки эквивалентов"]

@@ -91,7 +91,7 @@ def dedup_stats(df: DataFrame, key: str) -> DataFrame:
     return per.agg(F.sum("n").alias("raw"), F.count("*").alias("unique_keys"), (F.sum("n") - F.count("*")).alias("removed"), F.sum((F.col("n") > 1).cast("long")).alias("duplicated"))
 
 
-def validate_reports(df: DataFrame, report: str, headers: Sequence[str], tables: Sequence[str], missing_mark: str = "Не найдено в ТД", least: int = 500, most_missing: int = 2, share: float = 0.8) -> DataFrame:
+def validate_reports(df: DataFrame, report: str, headers: Sequence[str] = tuple(L.REPORT_HEADERS), tables: Sequence[str] = tuple(L.REPORT_TABLES), missing_mark: str = "Не найдено в ТД", least: int = 500, most_missing: int = 2, share: float = 0.8) -> DataFrame:
     """df with missing_headers and report_status: error if short; partial without one of the section
     tables, with too many missing headers, or where marks of missing facts abound; else success."""
     text = blank(F.col(report))

@@ -18,37 +18,11 @@ from procure_spark.functions.text import any_of, blank, count_of, is_blank, norm
 
 MARK = rf"(?U)\b({'|'.join(L.MARKS)})\b"
 NUMBER_UNIT = r"(?U)\b\d+(?:[.,]\d+)?\s*(мм|м2|м²|м|кг|л|шт|рулон)\b"
+LINE_UNIT = rf"(?U)\b\d+(?:[.,]\d+)?\s*({L.LINE_UNITS})\b"
 FILE_NAME = r"(?U)\.(docx?|pdf|xlsx?|xls)\b"
 PAGE_REF = r"(?U)\bстр\.?\s*\d+\b"
 
-FRAGMENT_TYPES = [
-    ("GOODS_GENERAL_REQUIREMENTS", ["товар должен быть новым", "гарантийный срок", "сертификат", "декларация соответствия", "упаковка", "маркировка", "общие требования к товарам", "общие требования к товару"]),
-    ("GOODS_SPEC", ["техническое задание", "описание объекта закупки", "спецификация", "наименование товара", "характеристики", "ведомость материалов", "товар", "материал", "ед. изм", "количество", "кол-во"]),
-    ("CONTRACT_TERMS", ["оплата", "штраф", "пеня", "неустойка", "расторжение", "ответственность сторон", "порядок приемки", "приемка", "расчеты", "реквизиты", "порядок расчетов"]),
-    ("PROCUREMENT_RULES", ["требования к участнику", "состав заявки", "критерии оценки", "инструкция", "форма заявки", "обеспечение заявки", "банковская гарантия", "участник закупки"]),
-    ("PRICE_JUSTIFICATION", ["нмцк", "обоснование цены", "обоснование начальной", "смета", "коммерческое предложение", "расчет цены"]),
-]
-
-DOC_ROLES = [
-    ("price_calc", ["нмцд", "нмцк", "обоснован", "расчет нмц", "смет"]),
-    ("national_regime", ["нац режим", "национальн", "страна происх", "реестр российск", "ограничени", "запрет", "преференц"]),
-    ("application_docs", ["инструкц", "заявк", "образц", "форма ", "требовани к содержанию", "критерии оценки", "участник закупки"]),
-    ("tender_spec", ["техническое задание", "техзадание", "тз", "описание объекта закупки", "спецификац", "ведомость материалов", "перечень материалов", "товарная номенклатура", "технические характеристики"]),
-    ("contract", ["договор", "контракт", "проект договора", "проект контракта"]),
-    ("notice", ["извещение", "notice", "информационная карта"]),
-]
-
-MATERIAL_TERMS, TECHNICAL_TERMS = ["материал", "рулон", "мембран", "рубероид", "битум", "мастик", "кровл", "гидроизол", "изоляц"], ["толщин", "масса", "гибкост", "теплостойк", "основа", "прочност", "характерист"]
-
-RELEVANCE = [
-    ("any", ["техническое задание", "описание объекта закупки", "спецификац", "наименование товара", "характерист", "материал", "товар", "поставка", "основа", "толщин", "масса", "гибкост", "теплостойк"], 4),
-    ("regex", MARK, 4),
-    ("regex", NUMBER_UNIT, 2),
-    ("count", ["оплата", "штраф", "пеня", "неустойк", "расторжен", "ответственность", "реквизит", "участник закупки", "инструкция", "критерии оценки", "нмцд", "нмцк", "обоснован", "нац режим", "реестр", "банковская гарантия", "обеспечение исполнения", "срок оплаты", "порядок расчетов"], -2),
-    ("regex", FILE_NAME, -3),
-    ("regex", PAGE_REF, -2),
-    ("under", 25, -2),
-]
+RELEVANCE = [("any", L.RELEVANT_TERMS, 4), ("regex", MARK, 4), ("regex", NUMBER_UNIT, 2), ("count", L.IRRELEVANT_TERMS, -2), ("regex", FILE_NAME, -3), ("regex", PAGE_REF, -2), ("under", 25, -2)]
 
 
 def score_text(low: Column, rules: Sequence[tuple]) -> Column:
@@ -68,17 +42,17 @@ def classify(low: Column, classes: Sequence[tuple[str, Sequence[str]]], other: s
     return reduce(lambda c, k: c.when(any_of(low, k[1]), k[0]), classes, F.when(F.lit(False), "")).otherwise(other)
 
 
-def fragment_type(col: Column, lex=FRAGMENT_TYPES, other: str = "OTHER", row_class: str = "GOODS_SPEC", row_words: str = r"(?U)\b(товар|материал|характерист|кол-во|количество|ед\.?\s*изм)\b") -> Column:
+def fragment_type(col: Column, lex=L.FRAGMENT_TYPES, other: str = "OTHER", row_class: str = "GOODS_SPEC", row_words: str = r"(?U)\b(товар|материал|характерист|кол-во|количество|ед\.?\s*изм)\b") -> Column:
     low = F.lower(blank(col))
     kind = classify(low, lex, "")
     return F.when(kind != "", kind).when(F.contains(low, F.lit("|")) & low.rlike(row_words), row_class).otherwise(other)
 
 
-def has_product_signals(col: Column, material=MATERIAL_TERMS, technical=TECHNICAL_TERMS, least: int = 4) -> Column:
+def has_product_signals(col: Column, material=L.MATERIAL_TERMS, technical=L.TECHNICAL_TERMS, least: int = 4) -> Column:
     return score_text(norm_text(col, "lower"), [("any", material, 3), ("any", technical, 2), ("regex", MARK, 4), ("regex", NUMBER_UNIT, 2)]) >= least
 
 
-def doc_role(name: Column, text: Column, lex=DOC_ROLES, seen: int = 12000) -> Column:
+def doc_role(name: Column, text: Column, lex=L.DOC_ROLES, seen: int = 12000) -> Column:
     """A document's role by its name and the start of its text; contracts that sell goods are mixed."""
     body = norm_text(F.substring(blank(text), 1, seen), "lower")
     whole = F.trim(F.concat_ws(" ", norm_text(name, "lower"), body))
@@ -104,38 +78,32 @@ def relevance_threshold(role: Column, spec_roles=SPEC_ROLES, spec: int = 4, othe
     return F.when(role.isin(*spec_roles), spec).otherwise(other)
 
 
-REQUIREMENT_TERMS = ["толщин", "ширин", "длин", "масс", "плотност", "марка", "класс", "прочност", "гибкост", "теплостойк", "материал", "основа", "расход", "цвет", "размер", "характерист", "не менее", "не более"]
-PROCESS_TERMS = ["оплат", "штраф", "пен", "неустойк", "расторжен", "заявк", "участник", "реквизит", "договор", "контракт"]
-
-
-def requirement_score(col: Column, positive=REQUIREMENT_TERMS, negative=PROCESS_TERMS) -> Column:
+def requirement_score(col: Column, positive=L.REQUIREMENT_TERMS, negative=L.PROCESS_TERMS, colon=L.COLON_TERMS) -> Column:
     low = norm_text(col, "lower")
-    named = F.contains(low, F.lit(":")) & any_of(low, positive)
+    named = F.contains(low, F.lit(":")) & any_of(low, colon)
     cited = F.contains(low, F.lit("|")) & low.rlike(FILE_NAME)
-    base = score_text(low, [("any", positive, 4), ("regex", NUMBER_UNIT, 3), ("count", negative, -2), ("under", 20, -2)])
-    return base + F.when(named, 3).otherwise(0) - F.when(cited, 4).otherwise(0)
+    base = score_text(low, [("any", positive, 4), ("regex", LINE_UNIT, 3), ("count", negative, -2), ("under", 20, -2)])
+    return F.when(low == "", 0).otherwise(base + F.when(named, 3).otherwise(0) - F.when(cited, 4).otherwise(0))
 
 
 def section_score(col: Column, starts=L.SECTION_STARTS, excluded=L.EXCLUDED_SECTIONS, material=L.MATERIAL_HINTS, spec=L.SPEC_KEYWORDS) -> Column:
     low = F.lower(blank(col))
     return score_text(
         low,
-        [("regex", f"(?U){'|'.join(starts)}", 5), ("any", material, 3), ("any", spec, 2), ("any", ["количество", "кол-во", "ед. изм"], 2), ("any", ["|"], 2), ("regex", f"(?U){'|'.join(excluded)}", -6)],
+        [("regex", f"(?U){'|'.join(starts)}", 5), ("any", material, 3), ("any", spec, 2), ("regex", r"(?U)\bкол-?во\b|\bколичество\b", 2), ("any", ["|"], 2), ("regex", f"(?U){'|'.join(excluded)}", -6)],
     )
 
 
-def is_spec_line(col: Column, positive=tuple(L.SPEC_KEYWORDS), negative=tuple(PROCESS_TERMS)) -> Column:
-    low = norm_text(col, "lower")
-    return (F.length(low) >= 8) & ~any_of(low, negative) & (any_of(low, positive) | low.rlike(NUMBER_UNIT) | low.rlike(MARK))
-
-
-NOISE_TERMS = ["страница", "приложение", "подпись", "печать", "м.п.", "дата", "утверждаю", "согласовано"]
+def is_spec_line(col: Column, positive=tuple(L.PRODUCT_LINE_TERMS), negative=tuple(L.SPEC_LINE_BARS)) -> Column:
+    """Lines of eight and more characters that tell of a product and of no procedure."""
+    low = F.lower(F.trim(blank(col)))
+    return (F.length(low) >= 8) & ~any_of(low, negative) & (any_of(low, positive) | low.rlike(LINE_UNIT))
 
 
-def is_noise_line(col: Column, noise=tuple(NOISE_TERMS)) -> Column:
-    """Lines of names, pages and marks; a line that tells of a product never is one."""
-    low = norm_text(col, "lower")
-    return ~has_product_signals(low) & ((low == "") | any_of(low, noise) | low.rlike(FILE_NAME) | low.rlike(PAGE_REF))
+def is_noise_line(col: Column, noise=tuple(L.NOISE_TERMS), product=tuple(L.PRODUCT_LINE_TERMS)) -> Column:
+    """Blank lines and those of procedures, files and pages; a line that tells of a product never is one."""
+    low = F.lower(F.trim(blank(col)))
+    return (low == "") | (~(any_of(low, product) | low.rlike(LINE_UNIT)) & (any_of(low, noise) | low.rlike(FILE_NAME) | low.rlike(PAGE_REF)))
 
 
 def is_material_name(col: Column, hints=tuple(L.MATERIAL_HINTS)) -> Column:
@@ -202,7 +170,7 @@ def global_search(kinds: dict[str, tuple[DataFrame, str, str]], query: str, most
     return reduce(DataFrame.unionByName, found)
 
 
-def eligible(df: DataFrame, whitelist: Sequence[str], title: str, category: str, searchable: str | None = None, user_category: str | None = None) -> DataFrame:
+def eligible(df: DataFrame, title: str, category: str, whitelist: Sequence[str] = tuple(L.CATEGORY_WHITELIST), searchable: str | None = None, user_category: str | None = None) -> DataFrame:
     """Catalog rows of a listed category (by category or title), searchable, of the asked category."""
     low = lambda c: F.lower(blank(F.col(c)))
     kept = df.filter(any_of(low(category), whitelist) | any_of(low(title), whitelist))

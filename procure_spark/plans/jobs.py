@@ -58,7 +58,7 @@ def extract_positions(docs: DataFrame, doc: str, text: str = "text") -> DataFram
     return rows.withColumn("__r", F.row_number().over(first)).filter("__r = 1").drop("__r")
 
 
-def matching_text(docs: DataFrame, tender: str, name: str, text: str, budget: int = 24000, block: int = 3500, roles=rules.DOC_ROLES, relevance=rules.RELEVANCE, spec_roles=rules.SPEC_ROLES) -> DataFrame:
+def matching_text(docs: DataFrame, tender: str, name: str, text: str, budget: int = 24000, block: int = 3500, roles=L.DOC_ROLES, relevance=rules.RELEVANCE, spec_roles=rules.SPEC_ROLES) -> DataFrame:
     """(tender, matching_text): of each tender's fragments the most relevant, up to the budget."""
     roled = docs.select(tender, name, text, rules.doc_role(F.col(name), F.col(text), roles).alias("role"))
     parts = split.split_blocks(roled, text).drop(text).withColumn("block", F.substring("block", 1, block))
@@ -68,7 +68,7 @@ def matching_text(docs: DataFrame, tender: str, name: str, text: str, budget: in
     return kept.groupBy(tender).agg(F.array_join(texts, "\n\n").alias("matching_text"), F.count("*").alias("blocks"))
 
 
-def build_packet(docs: DataFrame, tender: str, key: str, name: str, text: str, status: str | None = None, budget: int = 400000, rule=T.GOODS_PRIORITY) -> DataFrame:
+def build_packet(docs: DataFrame, tender: str, key: str, name: str, text: str, status: str | None = None, budget: int = 400000, rule=L.GOODS_PRIORITY) -> DataFrame:
     """(tender, key, priority, class, reason): which documents a packet takes, in order of priority, and why
     others are left out. Texts stay where they are; they join by key."""
     p = T.doc_priority(F.col(name), rule)

@@ -84,7 +84,7 @@ def c32_compose_query(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_partkey, p_name AS plain FROM part")
 def c34_strip_artifacts(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "part").select("p_partkey", T.strip_artifacts(F.concat(F.lit("[файл: тз.docx] "), "p_name", F.lit(", стр. 4"))).alias("plain"))
+    return read(spark, d, "part").select("p_partkey", T.strip_artifacts(F.concat(F.lit("[FILE: тз] "), "p_name", F.lit(" стр. 4\n=== ФАЙЛ: x"))).alias("plain"))
 
 
 @query("""SELECT p_partkey, 1 AS table_no, r AS row_no, CASE r WHEN 1 THEN 'name|size|brand' ELSE p_name || '|' || p_size || '|' END AS cells FROM part, (VALUES (1), (2)) x(r)""")
@@ -112,7 +112,7 @@ def f01_extract_facts(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""SELECT doc_id, CASE WHEN t = '' THEN 0 ELSE (CASE WHEN contains(t, 'the') THEN 4 ELSE 0 END) - 2 * (contains(t, 'haha')::INT) - (CASE WHEN length(t) < 20 THEN 2 ELSE 0 END) + (CASE WHEN contains(t, ':') AND contains(t, 'the') THEN 3 ELSE 0 END) END AS score
 FROM (SELECT doc_id, lower(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g')) AS t FROM documents)""")
 def p05_requirement_score(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", rules.requirement_score(F.col("text"), ["the"], ["haha"]).alias("score"))
+    return read(spark, d, "documents").select("doc_id", rules.requirement_score(F.col("text"), ["the"], ["haha"], ["the"]).alias("score"))
 
 
 @query("SELECT p_partkey, p_size % 2 = 0 AS spec, p_size % 2 <> 0 AS noise FROM part")

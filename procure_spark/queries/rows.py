@@ -66,7 +66,7 @@ def p13_global_search(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT p_partkey FROM part WHERE (contains(lower(p_brand), '#1') OR contains(lower(p_name), '#1') OR contains(lower(p_brand), '2') OR contains(lower(p_name), '2')) AND p_size > 10 AND contains(lower(p_brand), '#')""")
 def p14_eligible(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "part").withColumn("s", F.col("p_size") > 10)
-    return P.eligible(p, ["#1", "2"], "p_name", "p_brand", "s", "#").select("p_partkey")
+    return P.eligible(p, "p_name", "p_brand", ["#1", "2"], "s", "#").select("p_partkey")
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <= 2 AND lower(l_returnflag) = 'n' THEN 'degraded' ELSE 'ok' END AS quality FROM lineitem""")

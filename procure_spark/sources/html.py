@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from procure_spark import lexicons as L
 from procure_spark.functions import text as T
 from procure_spark.operators.split import absolute_url
 
@@ -84,11 +85,7 @@ def page_specs(df: DataFrame) -> DataFrame:
     return last.groupBy("url").agg(F.map_from_entries(entries).alias("specs"))
 
 
-#: Marks of links to files.
-DOWNLOADS = ("download", "filestore", "attachment", "file.html")
-
-
-def page_attachments(df: DataFrame, marks: tuple[str, ...] = DOWNLOADS) -> DataFrame:
+def page_attachments(df: DataFrame, marks: tuple[str, ...] = L.DOWNLOAD_MARKS) -> DataFrame:
     """(url, href, name, uid, kind): links to files, absolute, one for each uid or else link; names from the
     title or text, those with an extension first. kind is signature or file."""
 

@@ -30,7 +30,7 @@ def values(spark, column, rows, **types):
         (T.strip_markdown, ["# Итог\n**да** _x_\n---\n\n\n\nк", None], ["Итог\nда x\n\nк", ""]),
         (T.senior_category, ["Кровля / Рулонная", "Кровля", None], ["Кровля", "Кровля", ""]),
         (T.catalog_price, ["1 250,50 р./м2 РОЗН", "100 р./шт 90 р./шт РОЗН", "нет", None], [250.5, 90.0, 0.0, 0.0]),
-        (T.strip_artifacts, ["[файл: тз.docx] Кирпич, стр. 4"], ["Кирпич"]),
+        (T.strip_artifacts, ["[FILE: тз] Кирпич | стр. 4 | шт\n--- СТРАНИЦА/ЛИСТ: 2\nещё"], ["Кирпич | | шт\n \nещё"]),
     ],
 )
 def test_golden(spark, function, given, wanted):
