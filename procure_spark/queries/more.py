@@ -117,7 +117,7 @@ def p05_requirement_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_partkey, p_size % 2 = 0 AS spec, p_size % 2 <> 0 AS noise FROM part")
 def p08_line_predicates(spark: SparkSession, d: str) -> DataFrame:
-    line = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("мембрана толщина "), "p_size", F.lit(" мм"))).otherwise(F.concat(F.lit("страница "), "p_size"))
+    line = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("мембрана толщина "), "p_size", F.lit(" мм"))).otherwise(F.concat(F.lit("протокол "), "p_partkey"))
     return read(spark, d, "part").select("p_partkey", rules.is_spec_line(line).alias("spec"), rules.is_noise_line(line).alias("noise"))
 
 
