@@ -44,7 +44,7 @@ K, SEED = 2, 2
 OFFSET, POWER, BYTE_SHARE = 20.0, 1.0, 0.1
 
 #: Characters that are put into lattices at once; a longer text is one batch.
-AT_ONCE = 400_000
+AT_ONCE = 80_000
 
 SPACE, LINE, HELD = 0x2581, 10, 0xDFFF  # a lone surrogate stands for U+2581 of the text: no text holds one
 
@@ -179,24 +179,27 @@ class Lattices:
                 raw[0, other] = v["byte"] ** (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
                 code[0, other] = -1 - c
             alive = alive[entry >= 0]
-        # Logarithms of the sums over all ways from a place to its end, the places nearest to theirs first.
+        # Logarithms of the sums over all ways from a place to its end, the places nearest to theirs first;
+        # an edge's share of them is its probability, which is exactly 1 where it is the only one.
         total = np.zeros(m)
         by_left = np.argsort(self.left, kind="stable")
         bounds = np.searchsorted(self.left[by_left], np.arange(1, self.left.max(initial=0) + 2))
         for left in range(1, len(bounds)):
             own = by_left[bounds[left - 1] : bounds[left]]
-            near, acc = total[own + 1], np.zeros(len(own))
-            for l in range(min(left, longest)):  # noqa: E741
+            if not len(own):
+                continue
+            near, acc, shares = total[own + 1], raw[0, own], []
+            for l in range(1, min(left, longest)):  # noqa: E741
                 p = raw[l, own]
-                if l == 0:
-                    acc += p
-                elif (some := np.flatnonzero(p)).size:
-                    acc[some] += p[some] * np.exp(total[own[some] + l + 1] - near[some])
+                some = p.nonzero()[0]
+                if len(some):
+                    part = p[some] * np.exp(total[own[some] + l + 1] - near[some])
+                    acc[some] += part
+                    shares.append((l, some, part))
+            raw[0, own] /= acc
+            for l, some, part in shares:  # noqa: E741
+                raw[l, own[some]] = part / acc[some]
             total[own] = near + np.log(acc)
-        for l in range(longest):  # noqa: E741
-            some = np.flatnonzero(raw[l])
-            if len(some):
-                raw[l, some] *= np.exp(total[some + l + 1] - total[some])
         self.prob, self.code = raw, code
 
     def place(self, where: np.ndarray) -> np.ndarray:
@@ -210,16 +213,21 @@ class Lattices:
         offset = start - begin
         while len(start):
             r = uniform(seed, offset)
-            drawn, p_drawn = np.zeros(len(start), np.int64), np.zeros(len(start))
-            open_ = np.arange(len(start))
-            for l in range(len(self.prob)):  # noqa: E741
-                p = self.prob[l, place[open_]]
-                r[open_] -= p
-                some = p > 0
-                drawn[open_[some]], p_drawn[open_[some]] = l + 1, p[some]  # the last stays where rounding leaves a rest
-                open_ = open_[r[open_] >= 0]
-                if not len(open_):
+            drawn, p_drawn = np.ones(len(start), np.int64), self.prob[0, place]
+            r -= p_drawn
+            left = (r >= 0).nonzero()[0]
+            r, at = r[left], place[left]
+            for l in range(1, len(self.prob)):  # noqa: E741
+                if not len(left):
                     break
+                p = self.prob[l, at]
+                some = p.nonzero()[0]  # the last edge stays where rounding leaves a rest
+                if not len(some):
+                    continue
+                drawn[left[some]], p_drawn[left[some]] = l + 1, p[some]
+                r -= p
+                more = (r >= 0).nonzero()[0]
+                left, r, at = left[more], r[more], at[more]
             size[start], prob[start] = drawn, p_drawn
             start, place, offset = start + drawn, place + drawn, offset + drawn
             more = self.left[place] > 0
@@ -268,8 +276,8 @@ def top_segmentations(texts: list[str], vocab: dict, k: int, seeds: list[int]) -
         for i, (_, _, parent, edge, barred) in taken.items():
             free[i] = begins[i]
             if parent >= 0:
-                where, sizes, logs = paths[i][parent]
-                size[where[:edge]], prob[where[:edge]] = sizes[:edge], np.exp(logs[:edge])
+                where, sizes, probs = paths[i][parent]
+                size[where[:edge]], prob[where[:edge]] = sizes[:edge], probs[:edge]
                 at = where[edge]
                 choice = lattices.prob[:, lattices.place(at[None])[0]].copy()
                 choice[[b - 1 for b in barred]] = 0
@@ -288,15 +296,16 @@ def top_segmentations(texts: list[str], vocab: dict, k: int, seeds: list[int]) -
         where = np.flatnonzero(size)
         ids, counts = lattices.ids(where, size[where])
         id_ends, bounds = np.concatenate([[0], np.cumsum(counts)]), np.searchsorted(where, np.concatenate([begins, ends[-1:]]))
-        logs_all = np.log(prob[where])
+        probs_all = prob[where]
+        logs_all = np.log(probs_all)
         for i, (low, _, _, edge, barred) in taken.items():
             own = slice(bounds[i], bounds[i + 1])
             at, sizes, logs, top = where[own], size[where[own]], logs_all[own], -low
             before = np.concatenate([[0.0], np.cumsum(logs)])
             out[i].append((float(before[-1]), top, ids[id_ends[bounds[i]] : id_ends[bounds[i + 1]]]))
-            paths[i].append((at, sizes, logs))
+            paths[i].append((at, sizes, probs_all[own]))
             # What parts from this path at ``edge`` or later, as far as it was not barred before.
-            left = -np.expm1(logs[edge:])
+            left = 1.0 - probs_all[own][edge:]
             if barred:
                 others = lattices.prob[:, lattices.place(at[edge : edge + 1])[0]].copy()
                 others[[b - 1 for b in (*barred, int(sizes[edge]))]] = 0
@@ -358,12 +367,12 @@ def sample(df: DataFrame, key_col="doc_id", text_col="text", k: int = K, seed: i
 
 
 def decode(df: DataFrame, ids_col="ids", text_col="text", model: str = MODEL) -> DataFrame:
-    """df with the text of an array of ids; null for null."""
+    """df with the text of an array of ids; null for null; ids that the vocabulary lacks are left out."""
     vocab = df.sparkSession.sparkContext.broadcast(vocabulary(model)["table"])
 
     @F.pandas_udf("string")
     def texts(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: None if x is None else decode_ids(x.tolist(), vocab.value))
+        return ids.map(lambda x: None if x is None else decode_ids([i for i in x.tolist() if i in vocab.value], vocab.value))
 
     return df.withColumn(text_col, texts(F.col(ids_col)))
 
