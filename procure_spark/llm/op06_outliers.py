@@ -109,12 +109,13 @@ def moments(rows: DataFrame) -> DataFrame:
     )
 
 
-def measured(rows: DataFrame, fits: DataFrame) -> DataFrame:
-    """rows with d2, the squared distance to their group's fit. One fit row per group: Spark broadcasts
-    them where they are few and sorts both sides where they aren't."""
+def measured(rows: DataFrame, fits: DataFrame, near: Column | None = None) -> DataFrame:
+    """rows with d2, the squared distance to their group's fit; near: which of them. One fit row per group:
+    Spark broadcasts them where they are few and sorts both sides where they aren't."""
     d2 = distance([F.col(f"x{i}") for i in range(D)], [F.col(f"m{i}") for i in range(D)], {(i, j): F.col(f"i{i}{j}") for i, j in PAIRS})
     kept = [rows[c] for c in rows.columns]
-    return rows.join(fits, "grp").select(*kept, d2.alias("d2"))
+    joined = rows.join(fits, "grp").withColumn("d2", d2)
+    return (joined.filter(near) if near is not None else joined).select(*kept, "d2")
 
 
 def fit(rows: DataFrame, cover=COVER, steps=STEPS) -> DataFrame:
@@ -127,9 +128,10 @@ def fit(rows: DataFrame, cover=COVER, steps=STEPS) -> DataFrame:
     scale = cover / chi2_cdf(edge, D + 2)
     fits = written(invert(start, 1.0), "op6-fit")
     for _ in range(steps):
-        far = measured(rows, fits)
-        nearest = far.groupBy("grp").agg(F.percentile_approx("d2", cover, 2000).alias("edge"))
-        fits = written(invert(moments(far.join(nearest, "grp").filter("d2 <= edge")), scale), "op6-fit")
+        nearest = measured(rows, fits).groupBy("grp").agg(F.percentile_approx("d2", cover, 2000).alias("edge"))
+        # Written with the fit, a row per group, so that Spark knows its size and needn't deal rows by group.
+        edges = written(fits.join(nearest, "grp"), "op6-edges")
+        fits = written(invert(moments(measured(rows, edges, F.col("d2") <= F.col("edge"))), scale), "op6-fit")
     return fits
 
 
@@ -142,7 +144,7 @@ def judge(docs: DataFrame, text_col="text", lang_col="lang", source_col="source"
     own = own.select("*", F.col("__stats.*"), *[x.alias(f"__x{i}") for i, x in enumerate(vector("__stats"))]).drop("__stats", text_col)
     own = written(own.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))), "op6-stats")
     rows = own.filter(~F.col("base_failed")).select(F.col("__grp").alias("grp"), *[F.col(f"__x{i}").alias(f"x{i}") for i in range(D)])
-    large = rows.groupBy("grp").count().filter(F.col("count") >= least).select("grp")
+    large = written(rows.groupBy("grp").count().filter(F.col("count") >= least).select("grp"), "op6-large")
     every = rows.withColumn("grp", F.lit(""))
     fits = fit(rows.join(large, "grp", "left_semi").unionByName(every), cover, steps)
     overall = fits.filter("grp = ''").first()  # one row
