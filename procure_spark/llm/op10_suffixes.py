@@ -304,13 +304,16 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     by_anchor = Window.partitionBy("h").orderBy("c", "doc", "place")
     whole = by_anchor.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = lambda *names: F.coalesce(F.lag(F.struct(*names)).over(by_anchor) == F.struct(*names), F.lit(False))
     found = anchor_rows(docs).select(
         "doc", "place", "h",
         F.count("*").over(whole).alias("n"),
-        F.coalesce(F.lag("c").over(by_anchor) == F.col("c"), F.lit(False)).alias("again"),
+        before("c").alias("again"),
+        before("c", "doc", "place").alias("same"),
         (F.first("c").over(whole) != F.last("c").over(whole)).alias("differ"),
     )
-    found = written(found.filter("again or differ"), "op10-anchors")
+    # Equal rows have equal places; the first of them stands for all, as marks meet texts by doc_id and tag.
+    found = written(found.filter("not same and (again or differ)").drop("same"), "op10-anchors")
     tag, at = F.shiftright("place", 14).bitwiseAND(0xFFFF), F.shiftright("place", 30)
     first = at - F.shiftright("place", 7).bitwiseAND(127)
     resolved = found.filter("again").select("doc", tag.cast("int").alias("tag"), first.alias("start"), (first + F.col("place").bitwiseAND(127) + LENGTH).alias("end"))

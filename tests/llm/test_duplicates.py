@@ -143,6 +143,15 @@ def test_repeated_and_null_ids_of_substrings(spark):
     assert got == sorted([(1, True), (1, True), (1, True), (None, False), (2, True)], key=str)
 
 
+def test_equal_rows_count_as_one(spark):
+    text, passage = " ".join(str(i) for i in range(80)), " ".join(f"p{i}" for i in range(60))
+    rows = [(1, text), (1, text), (2, "a " + passage), (3, passage + " b"), (3, passage + " b"), (4, "c" * 400), (4, "c" * 400)]
+    got = [tuple(r) for r in sub.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256)).collect()]
+    once = brute_sub(list(dict.fromkeys(rows)))
+    assert sorted(got) == sorted(x for d, *_ in rows for x in once if x[0] == d)
+    assert [r[2] for r in got if r[0] == 1] == [0, 0]
+
+
 def test_blind_tries_group_and_order():
     rng = random.Random(7)
     strings = [bytes(rng.choices(b"ab", k=8)) for _ in range(300)]
