@@ -6,9 +6,12 @@ estimated by concentration steps: distances to the current centre and scatter, t
 all rows of all groups at once, as aggregation with map-side sums, so that one group may hold any
 part of the rows. Documents far from their group's centre by Mahalanobis distance are rejected.
 
-Statistics are logarithms and shares; a statistic that hardly varies in a group would make any change
-an outlier, so each has a least deviation (``FLOORS``). Groups of fewer than ``least`` rows share
-one fit over all rows.
+Statistics are logarithms and shares. The group's scatter decides; only counting sets a bound below:
+a count of about n varies by the root of n (at least by one), and so a text of N characters, words or
+lines can't tell shares apart that lie nearer than that (``least_variances``). The bound follows from
+a text's own size, and a group's scatter is widened by that of its average size, so that neither
+constant statistics nor such as always agree make a single count an outlier. Groups of fewer than
+``least`` rows share one fit over all rows.
 
 Defined cases: a null text is an empty one (no words, fails the base rule); a null language or source
 is a group of its own; repeated rows count each; an empty table gives an empty result; ``judge``
@@ -30,8 +33,8 @@ from procure_spark.llm.text_stats import BASIC, basic_stats
 
 COVER, STEPS, LEAST, REJECT = 0.75, 3, 200, 5e-5
 
-#: Least deviations of the statistics below.
-FLOORS = (1.5, 0.8, 0.7, 1.0, 1.0, 0.45, 0.5)
+#: Words that a repeat counts at least: two windows of three.
+REPEAT = 6
 
 
 def vector(s: str) -> list[Column]:
@@ -50,7 +53,21 @@ def vector(s: str) -> list[Column]:
     ]
 
 
-D = len(FLOORS)
+def grains(s: str) -> list[Column]:
+    """What one count is of each statistic: a share of a word for the mean length, per cent for shares."""
+    one = lambda name, n=1.0: F.lit(n) / F.greatest(F.col(f"{s}.{name}").cast("double"), F.lit(1.0))
+    return [F.lit(0.0), one("n_words"), one("word_chars", 100.0), one("n_lines", 100.0), one("n_words", 100.0 * REPEAT), one("word_chars", 100.0), one("word_chars", 100.0)]
+
+
+def least_variances(m: list[Column], grain: list[Column]) -> list[Column]:
+    """Counting noise of the statistics of a text of these grains, in a group with centre m: that of a
+    Poisson count, of one at least, carried through the logarithm."""
+    at = [F.greatest(x, F.lit(0.0)) for x in m]
+    share = lambda x, g: F.greatest(g * g, g * F.expm1(x)) * F.exp(-2 * x)
+    return [F.exp(-at[0]), at[1] * grain[1], *[share(x, g) for x, g in zip(at[2:], grain[2:], strict=True)]]
+
+
+D = 7
 PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
 
 
@@ -76,13 +93,17 @@ def chi2_quantile(p: float, d: float) -> float:
     return high
 
 
-def distance(x: list[Column], m: list[Column], inverse: dict[tuple[int, int], Column]) -> Column:
+def distance(x: list[Column], m: list[Column], inverse: dict[tuple[int, int], Column], v: list[Column], grain: list[Column] | None = None) -> Column:
+    """Squared. Where a text's counting noise exceeds the group's variance v, it takes its place; correlations stay."""
     diff = [a - b for a, b in zip(x, m, strict=True)]
+    if grain:
+        diff = [a * F.sqrt(own / F.greatest(own, least)) for a, own, least in zip(diff, v, least_variances(m, grain), strict=True)]
     return sum((inverse[i, j] * diff[i] * diff[j] * (1 if i == j else 2) for i, j in PAIRS), F.lit(0.0))
 
 
 def invert(moments: DataFrame, scale: float) -> DataFrame:
-    """(group, n, m0.., c_ij..) -> (group, n, m0.., i_ij..): inverses of the scatter, with floors."""
+    """(group, n, m0.., c_ij.., l0..) -> (group, n, m0.., v0.., i_ij..): variances and inverses of the
+    scatter, widened by the least variances l."""
 
     def inverses(batches):
         for b in batches:
@@ -93,40 +114,57 @@ def invert(moments: DataFrame, scale: float) -> DataFrame:
                     s[i, j] = s[j, i] = r[f"c{i}{j}"] * scale
                 if not np.isfinite(s).all():
                     s = np.zeros((D, D))
-                s += np.diag(np.maximum(0, np.square(FLOORS) - np.diag(s)))
-                # Where a floor lifts a variance, correlations shrink with it; the rest stays positive.
-                v = np.linalg.inv(s + np.eye(D) * 1e-9)
-                rows.append({"grp": r["grp"], "n": r["n"], **{f"m{i}": r[f"m{i}"] for i in range(D)}, **{f"i{i}{j}": float(v[i, j]) for i, j in PAIRS}})
-            yield pd.DataFrame(rows, columns=["grp", "n", *(f"m{i}" for i in range(D)), *(f"i{i}{j}" for i, j in PAIRS)])
+                s += np.diag([r[f"l{i}"] for i in range(D)] + np.diag(s) * 1e-6 + 1e-9)
+                deviations = np.sqrt(np.diag(s))
+                v = np.linalg.inv(s / np.outer(deviations, deviations)) / np.outer(deviations, deviations)
+                rows.append({"grp": r["grp"], "n": r["n"], **{f"m{i}": r[f"m{i}"] for i in range(D)}, **{f"v{i}": float(s[i, i]) for i in range(D)}, **{f"i{i}{j}": float(v[i, j]) for i, j in PAIRS}})
+            yield pd.DataFrame(rows, columns=["grp", "n", *(f"m{i}" for i in range(D)), *(f"v{i}" for i in range(D)), *(f"i{i}{j}" for i, j in PAIRS)])
 
-    schema = "grp string, n long, " + ", ".join([f"m{i} double" for i in range(D)] + [f"i{i}{j} double" for i, j in PAIRS])
+    schema = "grp string, n long, " + ", ".join([f"{x}{i} double" for x in "mv" for i in range(D)] + [f"i{i}{j} double" for i, j in PAIRS])
     return moments.mapInPandas(inverses, schema)
 
 
+def grain_columns(rows: DataFrame) -> list[Column] | None:
+    """Rows without grains, as of statistics that aren't counts, have no least variances."""
+    return [F.col(f"g{i}") for i in range(D)] if "g0" in rows.columns else None
+
+
+def average_grains(rows: DataFrame) -> list[Column]:
+    return [F.avg(g).alias(f"g{i}") for i, g in enumerate(grain_columns(rows) or [])]
+
+
+def widened(found: DataFrame) -> DataFrame:
+    """(group, m0.., perhaps average g0..) with l0.., the least variances."""
+    grain = grain_columns(found)
+    least = least_variances([F.col(f"m{i}") for i in range(D)], grain) if grain else [F.lit(0.0)] * D
+    return found.select("*", *[x.alias(f"l{i}") for i, x in enumerate(least)])
+
+
 def moments(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("grp").agg(
-        F.count("*").alias("n"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(D)], *[F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i, j in PAIRS]
-    )
+    return widened(rows.groupBy("grp").agg(
+        F.count("*").alias("n"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(D)], *[F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i, j in PAIRS], *average_grains(rows)
+    ))
 
 
 def measured(rows: DataFrame, fits: DataFrame, near: Column | None = None) -> DataFrame:
     """rows with d2, the squared distance to their group's fit; near: which of them. One fit row per group:
     Spark broadcasts them where they are few and sorts both sides where they aren't."""
-    d2 = distance([F.col(f"x{i}") for i in range(D)], [F.col(f"m{i}") for i in range(D)], {(i, j): F.col(f"i{i}{j}") for i, j in PAIRS})
+    x, m, v = ([F.col(f"{name}{i}") for i in range(D)] for name in "xmv")
+    d2 = distance(x, m, {(i, j): F.col(f"i{i}{j}") for i, j in PAIRS}, v, grain_columns(rows))
     kept = [rows[c] for c in rows.columns]
     joined = rows.join(fits, "grp").withColumn("d2", d2)
     return (joined.filter(near) if near is not None else joined).select(*kept, "d2")
 
 
 def fit(rows: DataFrame, cover=COVER, steps=STEPS) -> DataFrame:
-    """(grp, x0..) -> (grp, n, m0.., i_ij..), the MCD fit per group."""
+    """(grp, x0.., perhaps g0..) -> (grp, n, m0.., v0.., i_ij..), the MCD fit per group."""
     at = [0.25, 0.5, 0.75]
-    q = rows.groupBy("grp").agg(F.count("*").alias("n"), *[F.percentile_approx(f"x{i}", at, 2000).alias(f"q{i}") for i in range(D)])
+    q = rows.groupBy("grp").agg(F.count("*").alias("n"), *[F.percentile_approx(f"x{i}", at, 2000).alias(f"q{i}") for i in range(D)], *average_grains(rows))
     # Start: medians, and quartile ranges (1.349 deviations) for independent statistics.
-    start = q.select("grp", "n", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(D)], *[(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS])
+    start = q.select("grp", "n", *(["g" + str(i) for i in range(D)] if grain_columns(q) else []), *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(D)], *[(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS])
     edge = chi2_quantile(cover, D)
     scale = cover / chi2_cdf(edge, D + 2)
-    fits = written(invert(start, 1.0), "op6-fit")
+    fits = written(invert(widened(start), 1.0), "op6-fit")
     for _ in range(steps):
         nearest = measured(rows, fits).groupBy("grp").agg(F.percentile_approx("d2", cover, 2000).alias("edge"))
         # Written with the fit, a row per group, so that Spark knows its size and needn't deal rows by group.
@@ -141,9 +179,9 @@ def judge(docs: DataFrame, text_col="text", lang_col="lang", source_col="source"
     keys = [F.concat(F.lit("="), F.col(c).cast("string")) for c in (lang_col, source_col)]
     own = docs.withColumn("__grp", F.concat_ws("\x1f", *[F.coalesce(k, F.lit("-")) for k in keys])).drop(*outputs)
     own = own.withColumn("__stats", basic_stats(F.col(text_col)))
-    own = own.select("*", F.col("__stats.*"), *[x.alias(f"__x{i}") for i, x in enumerate(vector("__stats"))]).drop("__stats", text_col)
+    own = own.select("*", F.col("__stats.*"), *[x.alias(f"__x{i}") for i, x in enumerate(vector("__stats"))], *[x.alias(f"__g{i}") for i, x in enumerate(grains("__stats"))]).drop("__stats", text_col)
     own = written(own.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))), "op6-stats")
-    rows = own.filter(~F.col("base_failed")).select(F.col("__grp").alias("grp"), *[F.col(f"__x{i}").alias(f"x{i}") for i in range(D)])
+    rows = own.filter(~F.col("base_failed")).select(F.col("__grp").alias("grp"), *[F.col(f"__{x}{i}").alias(f"{x}{i}") for x in "xg" for i in range(D)])
     large = written(rows.groupBy("grp").count().filter(F.col("count") >= least).select("grp"), "op6-large")
     every = rows.withColumn("grp", F.lit(""))
     fits = fit(rows.join(large, "grp", "left_semi").unionByName(every), cover, steps)
@@ -151,7 +189,8 @@ def judge(docs: DataFrame, text_col="text", lang_col="lang", source_col="source"
     names = [c for c in fits.columns if c != "grp"]
     joined = own.join(fits.withColumnRenamed("grp", "__grp").withColumnsRenamed({c: f"__o{c}" for c in names}), "__grp", "left")
     pick = lambda c: F.coalesce(F.col(f"__o{c}"), F.lit(overall[c] if overall else None).cast("double"))
-    d2 = distance([F.col(f"__x{i}") for i in range(D)], [pick(f"m{i}") for i in range(D)], {(i, j): pick(f"i{i}{j}") for i, j in PAIRS})
+    x, grain, m, v = [F.col(f"__x{i}") for i in range(D)], [F.col(f"__g{i}") for i in range(D)], [pick(f"m{i}") for i in range(D)], [pick(f"v{i}") for i in range(D)]
+    d2 = distance(x, m, {(i, j): pick(f"i{i}{j}") for i, j in PAIRS}, v, grain)
     limit = chi2_quantile(1 - reject, D)
     judged = joined.withColumn("distance", F.sqrt(F.greatest(d2, F.lit(0.0))))
     judged = judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= math.sqrt(limit), F.lit(True)))

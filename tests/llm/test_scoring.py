@@ -87,6 +87,20 @@ def test_outliers_go_and_the_rest_stays(spark):
     assert outliers.judge(spark.createDataFrame([], "doc_id int, text string, lang string, source string")).count() == 0
 
 
+def test_estimated_covariance_decides(spark):
+    rng = random.Random(7)
+    text = lambda upper, symbols: " ".join(rng.sample(["Ab"] * upper + ["#b"] * symbols + ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(300 - upper - symbols)], 300))
+    draw = lambda: rng.randrange(8, 60)
+    rows = [(i, text(k, k + rng.randrange(-2, 3)), "en", "agree") for i in range(300) for k in [draw()]]
+    rows += [(300 + i, text(draw(), draw()), "en", "free") for i in range(300)] + [(600 + i, text(20, 0), "en", "constant") for i in range(300)]
+    # The same text in each group: usual by each statistic alone in two of them.
+    probe = text(58, 8)
+    rows += [(1000, probe, "en", "agree"), (1001, probe, "en", "free"), (1002, probe, "en", "constant"), (1003, text(20, 1), "en", "constant")]
+    got = {r["doc_id"]: r["kept"] for r in outliers.judge(spark.createDataFrame(rows, "doc_id int, text string, lang string, source string")).collect()}
+    assert [got[i] for i in range(1000, 1004)] == [False, True, False, True]
+    assert sum(got[i] for i in range(900)) >= 895
+
+
 def test_mcd_resists_contamination(spark):
     rng = np.random.default_rng(4)
     good, bad = rng.normal(0, 3, (2000, outliers.D)), rng.normal(40, 1, (300, outliers.D))
