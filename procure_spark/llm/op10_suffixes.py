@@ -14,8 +14,12 @@ start of that length exists elsewhere, and they are found in three steps:
    one other. Suffixes that end in the same leaf are equal; all but the earliest mark their bytes.
 3. Marks meet their texts again, and what is left of each is digested.
 
-A group of contexts that many documents share is sorted in parts: a string's hash says which, so that
-equal strings stay together and no part holds more than its share. Hashes of contexts have 64 bits, on
+A group of contexts that many documents share is sorted in rounds. First its contexts are dealt into
+blocks of about ``PART`` by their places; a block marks all but the earliest of its equal strings and
+hands on the rest. These are dealt by their own hash, so that equal strings meet, and a string that is
+still found in many blocks is dealt into fewer blocks again, until one is left (``rounds``). So no unit
+that a task sorts grows with the number of documents that share a passage. The window that counts an
+anchor's rows has all rows of the anchor in one task; it spills. Hashes of contexts have 64 bits, on
 top of equal 64-bit anchors; within sorted parts bytes are compared.
 
 Defined cases: a null or empty text has no bytes; texts under ``LENGTH`` bytes lose nothing; rows that
@@ -29,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -40,7 +45,7 @@ from procure_spark.llm.common import table, written
 LENGTH, GRAM = 100, 32
 GRAMS = LENGTH - GRAM + 1
 
-#: Bytes by which multikey quicksort sorts before blind tries take over; contexts sorted in one part.
+#: Bytes by which multikey quicksort sorts before blind tries take over; contexts sorted in one block.
 SHALLOW, PART = 24, 2000
 
 #: Strings that a task sorts at once.
@@ -204,54 +209,112 @@ def equal_strings(data: bytes, starts: np.ndarray) -> list[list[int]]:
     return out
 
 
-def repeated(rows: list[tuple[int, int, bytes, int, int]]) -> list[tuple[int, int, int]]:
-    """(doc, place, context, parts, part) -> (doc, tag, start) of strings that also start earlier."""
+def repeated(rows: list[tuple[int, int, bytes]], hand_on: bool) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, bytes]]]:
+    """(doc, place, context) -> (doc, tag, start) of strings that also start earlier, and if hand_on
+    the others as (doc, place, string)."""
     docs, tags, places, starts, at = [], [], [], [], 0
-    for doc, place, context, parts, part in rows:
+    for doc, place, context in rows:
         _, tag, first, last = unpacked(place)
-        own = [i for i in range(last - first + 1) if parts == 1 or zlib.crc32(context[i : i + LENGTH]) % parts == part]
-        docs += [doc] * len(own)
-        tags += [tag] * len(own)
-        places += [first + i for i in own]
-        starts += [at + i for i in own]
+        n = last - first + 1
+        docs += [doc] * n
+        tags += [tag] * n
+        places += range(first, first + n)
+        starts += range(at, at + n)
         at += len(context)
-    out = []
-    for group in equal_strings(b"".join(r[2] for r in rows), np.array(starts, np.int64)):
+    data, out, gone = b"".join(r[2] for r in rows), [], set()
+    for group in equal_strings(data, np.array(starts, np.int64)):
         first = min((docs[i], places[i]) for i in group)
-        out += [(docs[i], tags[i], places[i]) for i in group if (docs[i], places[i]) != first]
-    return out
+        again = [i for i in group if (docs[i], places[i]) != first]
+        # Equal rows may stand in different blocks: the earliest is handed on once.
+        gone.update(again, [i for i in group if (docs[i], places[i]) == first][1:])
+        out += [(docs[i], tags[i], places[i]) for i in again]
+    left = [(docs[i], (places[i] << 30) | (tags[i] << 14), data[starts[i] : starts[i] + LENGTH]) for i in range(len(docs)) if i not in gone] if hand_on else []
+    return out, left
+
+
+CONTEXTS = "h long, n long, doc long, place long, context binary"
 
 
-def sorted_parts(contexts: DataFrame) -> DataFrame:
-    """(unit, doc, place, context, parts, part) -> (doc, tag, start, end) of repeated bytes."""
+def sorted_units(contexts: DataFrame, hand_on: bool) -> DataFrame:
+    """(unit, h, n, doc, place, context) -> (doc, tag, start, end) of repeated bytes, and if hand_on
+    also rows (h, n, doc, place, context) of the strings that are left, a context each."""
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
+        strings = 0
 
-        def done(rows: list[tuple]) -> pd.DataFrame:
+        def done(rows: list[tuple]) -> Iterator[pd.DataFrame]:
             runs: list[list[int]] = []
-            for doc, tag, start in sorted(repeated([r[1:] for r in rows])):
+            if hand_on:  # unit by unit, as what is left belongs to one
+                found = []
+                for _, unit in groupby(rows, lambda r: r[0]):
+                    unit = list(unit)
+                    again, others = repeated([r[3:] for r in unit], True)
+                    found += again
+                    left = [(*unit[0][1:3], *x) for x in others]
+                    for i in range(0, len(left), AT_ONCE // 20):
+                        yield pd.DataFrame(left[i : i + AT_ONCE // 20], columns=["h", "n", "doc", "place", "context"]).assign(tag=None, start=None, end=None)
+            else:
+                found, _ = repeated([r[3:] for r in rows], False)
+            for doc, tag, start in sorted(found):
                 if runs and runs[-1][:2] == [doc, tag] and runs[-1][3] >= start:
                     runs[-1][3] = start + LENGTH
                 else:
                     runs.append([doc, tag, start, start + LENGTH])
-            return pd.DataFrame(runs, columns=["doc", "tag", "start", "end"])
+            marks = pd.DataFrame(runs, columns=["doc", "tag", "start", "end"])
+            yield marks.assign(h=None, n=None, place=None, context=None) if hand_on else marks
 
         for b in batches:  # sorted by unit
             for row in b.itertuples(index=False, name=None):
-                if len(held) * 35 >= AT_ONCE and row[0] != held[-1][0]:
-                    yield done(held)
-                    held = []
+                if strings >= (AT_ONCE // 4 if hand_on else AT_ONCE) and row[0] != held[-1][0]:
+                    yield from done(held)
+                    held, strings = [], 0
                 held.append(row)
+                strings += (row[4] & 127) + 1
         if held:
-            yield done(held)
-
-    ordered = contexts.repartition("unit").sortWithinPartitions("unit")
-    return ordered.select("unit", "doc", "place", "context", "parts", "part").mapInPandas(sort, "doc long, tag int, start long, end long")
+            yield from done(held)
+
+    ordered = contexts.repartition("unit").sortWithinPartitions("unit").select("unit", "h", "n", "doc", "place", "context")
+    return ordered.mapInPandas(sort, ("" if not hand_on else "h long, n long, place long, context binary, ") + "doc long, tag int, start long, end long")
+
+
+def rounds(most: int) -> list[int]:
+    """Contexts that a block stands for, by round, where a group has most of them; the last is one block."""
+    sizes = [PART]
+    while sizes[-1] < most:
+        sizes.append(sizes[-1] * PART)
+    return sizes
+
+
+def sorted_rounds(contexts: DataFrame, most: int) -> DataFrame:
+    """(h, n, doc, place, context), groups of n -> (doc, tag, start, end) of repeated bytes."""
+    if most <= PART:
+        return sorted_units(contexts.withColumn("unit", F.xxhash64("h")), False)
+    contexts = written(contexts, "op10-contexts")
+    marks = [sorted_units(contexts.filter(F.col("n") <= PART).withColumn("unit", F.xxhash64("h")), False)]
+    # Equal rows have equal contexts, which no block would part.
+    own, left = F.xxhash64("doc", "place"), contexts.filter(F.col("n") > PART).distinct()
+    for k, size in enumerate(rounds(most)):
+        parts = F.ceil(F.col("n") / PART)
+        # From the second round on, rows are strings and dealt by what they are.
+        of = F.pmod(F.xxhash64("context"), parts) if k else F.lit(0)
+        block = F.pmod(own, F.ceil(F.col("n") / size))
+        last = size >= most
+        found = sorted_units(left.withColumn("unit", F.xxhash64("h", of, block)), not last)
+        if last:
+            marks.append(found)
+        else:
+            found = written(found, "op10-round")
+            marks.append(found.filter("start is not null").select("doc", "tag", "start", "end"))
+            left = found.filter("start is null").select("h", "n", "doc", "place", "context")
+    out = marks[0]
+    for m in marks[1:]:
+        out = out.unionByName(m)
+    return out
 
 
 def cut_out(texts: DataFrame) -> DataFrame:
-    """(doc_id, text, disputed: array of (place, h, n)) -> the contexts, and the parts they belong to."""
+    """(doc_id, text, disputed: array of (place, h, n)) -> the contexts."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -263,14 +326,11 @@ def cut_out(texts: DataFrame) -> DataFrame:
                 own = tag_of(data)
                 for d in disputed:
                     _, tag, first, last = unpacked(d["place"])
-                    if tag != own:
-                        continue
-                    context, parts = data[first : last + LENGTH], -(-d["n"] // PART)
-                    which = {0} if parts == 1 else {zlib.crc32(context[i : i + LENGTH]) % parts for i in range(last - first + 1)}
-                    rows += [(d["h"], doc, d["place"], context, parts, p) for p in which]
-            yield pd.DataFrame(rows, columns=["h", "doc", "place", "context", "parts", "part"])
+                    if tag == own:
+                        rows.append((d["h"], d["n"], doc, d["place"], data[first : last + LENGTH]))
+            yield pd.DataFrame(rows, columns=["h", "n", "doc", "place", "context"])
 
-    return texts.mapInPandas(cut, "h long, doc long, place long, context binary, parts int, part int").withColumn("unit", F.xxhash64("h", "part")).drop("h")
+    return texts.mapInPandas(cut, CONTEXTS)
 
 
 def removed(texts: DataFrame) -> DataFrame:
@@ -304,12 +364,12 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     by_anchor = Window.partitionBy("h").orderBy("c", "doc", "place")
     whole = by_anchor.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = lambda *names: F.coalesce(F.lag(F.struct(*names)).over(by_anchor) == F.struct(*names), F.lit(False))
+    before = lambda name: F.coalesce(F.lag(name).over(by_anchor) == F.col(name), F.lit(False))
     found = anchor_rows(docs).select(
         "doc", "place", "h",
         F.count("*").over(whole).alias("n"),
         before("c").alias("again"),
-        before("c", "doc", "place").alias("same"),
+        (before("c") & before("doc") & before("place")).alias("same"),
         (F.first("c").over(whole) != F.last("c").over(whole)).alias("differ"),
     )
     # Equal rows have equal places; the first of them stands for all, as marks meet texts by doc_id and tag.
@@ -320,7 +380,8 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     disputed = found.filter("not again").groupBy("doc").agg(F.collect_list(F.struct("place", "h", "n")).alias("disputed"))
     # Both joins need the texts by id; as both are left joins of the same columns, Spark shuffles the texts once.
     sought = docs.join(disputed.withColumnRenamed("doc", "__doc"), docs["doc_id"] == F.col("__doc"), "left").select("doc_id", "text", "disputed")
-    marked = resolved.unionByName(sorted_parts(cut_out(sought)))
+    most = found.filter("not again").agg(F.max("n")).first()[0] or 0
+    marked = resolved.unionByName(sorted_rounds(cut_out(sought), most))
     runs = marked.groupBy("doc").agg(F.collect_list(F.struct("tag", "start", "end")).alias("runs"))
     final = docs.join(runs.withColumnRenamed("doc", "__doc"), docs["doc_id"] == F.col("__doc"), "left").select("doc_id", "text", "runs")
     return removed(final)

@@ -143,6 +143,27 @@ def test_repeated_and_null_ids_of_substrings(spark):
     assert got == sorted([(1, True), (1, True), (1, True), (None, False), (2, True)], key=str)
 
 
+def test_no_unit_grows_with_a_passage(spark, monkeypatch):
+    monkeypatch.setattr(sub, "PART", 8)
+    rng = random.Random(8)
+    passage = " ".join(str(rng.random()) for _ in range(12))
+    rows = [(i, f"{rng.random()} {passage} {rng.random()}") for i in range(400)] + [(1000, f"{passage} end")] * 100
+    assert sub.rounds(500) == [8, 64, 512]
+    copies, sort = [], sub.sorted_units
+
+    def counted(contexts, hand_on):
+        # Contexts of a unit in the first round; copies of one string in the later ones.
+        kind = contexts.withColumn("string", F.when(F.col("place").bitwiseAND(127) == 0, F.col("context")))
+        copies.append(kind.groupBy("unit", "string").count().agg(F.max("count")).first()[0] or 0)
+        return sort(contexts, hand_on)
+
+    monkeypatch.setattr(sub, "sorted_units", counted)
+    got = sub.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256)).collect()
+    once = brute_sub(list(dict.fromkeys(rows)))
+    assert sorted(map(tuple, got)) == sorted(x for d, *_ in rows for x in once if x[0] == d)
+    assert len(copies) == 4 and max(copies) <= 8 * 4
+
+
 def test_equal_rows_count_as_one(spark):
     text, passage = " ".join(str(i) for i in range(80)), " ".join(f"p{i}" for i in range(60))
     rows = [(1, text), (1, text), (2, "a " + passage), (3, passage + " b"), (3, passage + " b"), (4, "c" * 400), (4, "c" * 400)]
