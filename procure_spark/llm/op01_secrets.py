@@ -7,7 +7,9 @@ interval join links them: parts are intervals of a text, stretched by ``reach``
 either side, and a weak part is reported only if the stretched interval meets a complementary part
 in the same scope (a run of lines without a blank one between). Complementary are secrets (assign,
 hex, token) to identifiers and endpoints (access, id, endpoint) and the other way round; a ``token``
-counts as a secret for an access key, id or endpoint, and those are then reported with it.
+counts as a secret for an access key, id or endpoint, and those are then reported with it. Parts that
+belong together stand apart from each other: a word inside a link, or an identifier's own value, is no
+token (``weak_parts``), so that no part is linked with a piece of itself or of another identifier.
 
 A text's parts never meet another text's, so the join is a sweep over one row's sorted intervals:
 no shuffle, memory of one text, and a lost task is simply run again.
@@ -36,7 +38,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # of maximal runs those that are long enough
 ID = re.compile(r"""(?i:user(?:name)?|login|account|client_?id|key_?id|access_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""", re.ASCII)
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}", re.ASCII)
-ENDPOINT = re.compile(r"\b(?:https?|ftp|ssh|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>|]+|\b(?:\d{1,3}\.){3}\d{1,3}(?::\d{2,5})?\b|\b[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){0,8}\.[a-z]{2,6}:\d{2,5}\b", re.ASCII)
+ENDPOINT = re.compile(r"\b(?:https?|ftp|ssh|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>|]+|\b(?:\d{1,3}\.){3}\d{1,3}(?::\d{2,5})?\b|(?<![\w.-])(?P<host>[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++):\d{2,5}\b", re.ASCII)
+#: Of a host's labels none is longer than this, and the last is of letters.
+LABEL, LAST_LABEL = 63, re.compile("[A-Za-z]{2,6}")
 
 KINDS = ("assign", "access", "hex", "id", "token", "endpoint")
 SECRET, OTHER = ("assign", "hex", "token"), ("access", "id", "endpoint")
@@ -56,20 +60,35 @@ def base_parts(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda p: (p[0], KINDS.index(p[2])))
 
 
+def endpoints(text: str) -> list[tuple[int, int, str]]:
+    def named(host: str) -> bool:
+        labels = host.split(".")
+        return max(map(len, labels)) <= LABEL and LAST_LABEL.fullmatch(labels[-1]) is not None
+
+    return [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text) if m["host"] is None or named(m["host"])]
+
+
 def weak_parts(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Candidates that are reported only in company; none overlaps a base part."""
-    found = [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)] if "." in text or "://" in text else []
+    """Candidates that are reported only in company; none overlaps a base part, no token an id or endpoint."""
+    found = endpoints(text) if "." in text or "://" in text else []
     if "=" in text or ":" in text:
         found += [(m.start(), m.end(), "id") for m in ID.finditer(text)]
+    found = apart(found, base)
     if base or found:
-        found += [(m.start(), m.end(), "token") for m in TOKEN.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
-    starts, ends = [p[0] for p in base], list(accumulate((p[1] for p in base), max))
+        tokens = [(m.start(), m.end(), "token") for m in TOKEN.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+        found += apart(tokens, sorted(base + found))
+    return found
+
+
+def apart(parts: list[tuple[int, int, str]], others: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Parts that overlap none of the others, which are sorted."""
+    starts, ends = [p[0] for p in others], list(accumulate((p[1] for p in others), max))
 
     def free(part: tuple[int, int, str]) -> bool:
-        i = bisect_left(starts, part[1])  # base parts that start before its end
+        i = bisect_left(starts, part[1])  # others that start before its end
         return i == 0 or ends[i - 1] <= part[0]
 
-    return [p for p in found if free(p)]
+    return [p for p in parts if free(p)]
 
 
 def linked(text: str, base: list[tuple[int, int, str]], reach: int = REACH) -> list[tuple[int, int, str]]:

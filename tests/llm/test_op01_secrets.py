@@ -42,18 +42,37 @@ def test_weak_parts_need_a_complement_in_reach_and_scope():
     assert [s.split(":")[0] for s in spans(TEXTS[14]).split(",")] == ["endpoint", "token"]
 
 
+#: Pieces of a text, with the parts that each holds: kind, start and end in the piece.
+PIECES = [
+    ("user: bob", [("id", 0, 9)]), ("10.0.0.1", [("endpoint", 0, 8)]), ("Ab1" * 8, [("token", 0, 24)]), ("token=abcdefgh", [("assign", 0, 14)]), (KEY, [("access", 0, 20)]),
+    ("https://example.com/articles/2024abcdefghij0123456789", [("endpoint", 0, 53)]), ("account: abcdef1234567890abcdefgh9", [("id", 0, 34)]),
+    (f"{'a1.' * 12}example.org:8080", [("endpoint", 0, 52)]), ("no.host.x1:8080", []), ("\n\n", None), ("слово " * 40, []), ("line\n", []),
+]
+
+
 def test_links_equal_all_pairs():
     import random
 
     rng = random.Random(3)
-    words = ["user: bob", "10.0.0.1", "Ab1" * 8, "token=abcdefgh", KEY, "\n\n", "слово " * 40, "\n"]
-    for _ in range(60):
-        text = " ".join(rng.choice(words) for _ in range(30))
-        base = op.base_parts(text)
-        weak = op.weak_parts(text, base)
-        scope = lambda p: len([m for m in re.finditer(r"\n[ \t\r]*\n", text) if m.start() < p[0]])  # noqa: B023, E731
-        kept = [w for w in weak if any((p[2] in op.SECRET) != (w[2] in op.SECRET) and scope(p) == scope(w) and p[0] <= w[1] + op.REACH and p[1] >= w[0] - op.REACH for p in base + weak)]
-        assert sorted(op.linked(text, base)) == sorted(base + kept)
+    for _ in range(100):
+        text, parts, scope = "", [], 0
+        for piece, held in (rng.choice(PIECES) for _ in range(rng.randrange(1, 30))):
+            scope += held is None
+            parts += [(scope, len(text) + a, len(text) + b, kind) for kind, a, b in held or []]
+            text += piece + " "
+        strong = ("assign", "access", "hex")
+        side = lambda kind: kind in ("assign", "hex", "token")
+        wanted = [
+            (a, b, kind) for at, a, b, kind in parts
+            if kind in strong or any(other == at and side(k) != side(kind) and (y <= a and a - y <= op.REACH or x >= b and x - b <= op.REACH) for other, x, y, k in parts)
+        ]
+        assert op.linked(text, op.base_parts(text)) == wanted, text
+
+
+def test_no_part_is_linked_with_a_piece_of_itself():
+    for text in ("see https://example.com/articles/2024abcdefghij0123456789 for more", "account: abcdef1234567890abcdefgh9", "https://a.org/2024abcdefghij0123456789 https://b.org/2025abcdefghij0123456789", "user: x1 https://b.org/2025abcdefghij0123456789"):
+        assert spans(text) == ""
+    assert spans("a." * 40_000 + "b:80") == "" and spans(f"{'x-' * 40_000}.com:80 " + "Ab1" * 8) == ""
 
 
 def test_redaction_keeps_rows_and_other_columns(spark):
