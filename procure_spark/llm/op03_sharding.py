@@ -1,7 +1,8 @@
 """Uniform shuffle into shards of exact sizes by a hypergeometric communication matrix, in
 DataFrame and SQL functions only.
 
-1. Documents belong to blocks by a hash of their id. From the blocks' counts and the shards' sizes
+1. Documents belong to blocks by a hash of what they are (id, size, checksum and, of equal rows, a
+   number), so that reruns and other partitionings agree. From the blocks' counts and the shards' sizes
    (at most one apart) the matrix of block-to-shard counts is drawn: block after block, shard after
    shard, a hypergeometric number, by inversion of its distribution. That is what a uniformly random
    permutation of all rows would give.
@@ -13,9 +14,12 @@ Orders within blocks and shards are found within ranges of their hash, whose cou
 that no block or shard is one task's work. Only the counts (``blocks * RANGES`` and ``shards *
 RANGES`` numbers, whatever the input) come together in one task.
 
+Rows that are equal in id, size and checksum can't be told apart in the result. They are counted and
+then numbered (``numbered``), so that they too spread over blocks, shards and slots like others.
+
 Law: ``rows``. Defined cases: a null text has no bytes and size 1; a null doc_id is an id like any
-other; repeated rows are rows of their own (they share a block, and take places next to each
-other); an empty table gives an empty result; other columns are left out, so none can clash.
+other; repeated rows are rows of their own; an empty table gives an empty result; other columns are
+left out, so none can clash.
 """
 
 from __future__ import annotations
@@ -25,7 +29,10 @@ from pyspark.sql import functions as F
 
 from procure_spark.llm.common import table, written
 
-BLOCKS, RANGES, SHARDS, SEED = 48, 64, 16, 20
+BLOCKS, RANGES, SHARDS, SEED = 48, 256, 16, 20
+
+#: Equal rows that are written out at once.
+AT_ONCE = 4096
 
 #: Standard deviations around the mean that the inversion covers; beyond lies less than a double's step.
 SIGMAS = 9
@@ -90,18 +97,21 @@ def ranks(df: DataFrame, group: str, places: int, order: list[str], hash_col: st
     return ranked.withColumn("rank", F.col("__before") + F.col("__local")).drop("__range", "__local", "__before")
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with ``copy``, which numbers equal ones from 0: they are counted (with sums on the map side),
+    and written out again a stretch at a time, so that no task holds them all."""
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("__n"))
+    stretches = counted.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(AT_ONCE).cast("long"))))
+    return stretches.withColumn("copy", F.explode(F.sequence("__from", F.least(F.col("__n"), F.col("__from") + AT_ONCE) - 1))).drop("__n", "__from")
+
+
 def shard(df: DataFrame, id_col="doc_id", text_col="text", shards=SHARDS, blocks=BLOCKS, seed=SEED) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot); shard sizes differ by one row at most."""
-    key = F.col(id_col)
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    rows = df.select(
-        key.alias("doc_id"),
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.lit(seed), key), F.lit(blocks)).cast("int").alias("block"),
-        F.xxhash64(F.lit(seed + 1), key).alias("h1"),
-        F.xxhash64(F.lit(seed + 2), key).alias("h2"),
-    )
+    rows = numbered(df.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")))
+    hashed = lambda i: F.xxhash64(F.lit(seed + i), "doc_id", "size", "text_crc32", "copy")
+    # Written once: counts and ranks see the same rows, and texts are read once.
+    rows = written(rows.select("*", F.pmod(hashed(0), F.lit(blocks)).cast("int").alias("block"), hashed(1).alias("h1"), hashed(2).alias("h2")), "op3-rows")
     # One row: the blocks' counts as an array, and the matrix.
     ids = F.sequence(F.lit(0), F.lit(blocks - 1))
     counts = rows.groupBy("block").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("block", "n"))).alias("n"))
@@ -110,11 +120,11 @@ def shard(df: DataFrame, id_col="doc_id", text_col="text", shards=SHARDS, blocks
     # Ranks at which a block's rows go on to the next shard.
     ends = F.transform("gets", lambda _, i: F.aggregate(F.slice("gets", 1, i + 1), F.lit(0).cast("long"), lambda a, x: a + x))
     matrix = matrix.select("block", ends.alias("ends"))
-    placed = ranks(rows, "block", blocks, ["h1", "doc_id", "text_crc32"], "h1").join(F.broadcast(matrix), "block")  # a row for each block
+    placed = ranks(rows, "block", blocks, ["h1", "doc_id", "text_crc32", "copy"], "h1").join(F.broadcast(matrix), "block")  # a row for each block
     placed = placed.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("rank"))).cast("int")).drop("rank", "ends", "block", "h1")
     # Written once, so that counts and ranks of the second permutation see the same exchange.
     placed = written(placed, "op3-exchanged")
-    slots = ranks(placed, "shard", shards, ["h2", "doc_id", "text_crc32"], "h2")
+    slots = ranks(placed, "shard", shards, ["h2", "doc_id", "text_crc32", "copy"], "h2")
     return slots.select("doc_id", "size", "text_crc32", "shard", F.col("rank").alias("slot"))
 
 

@@ -3,12 +3,16 @@
 Each source has a weight schedule over training time t in [0, 1], a line
 ``w(t) = weight * (1 + slope * (2t - 1))`` whose integral is the source's weight. Token targets
 come from the integrals; the cumulative demand ``D(t) = target * (t + slope * (t² - t))`` is
-inverted in closed form to give every pass over every document its training position.
+inverted in closed form to give every pass over every document its training position
+(``scheduled``). ``mix`` sorts passes by position, ``arranged`` documents by their first one.
 
-Defined cases: a null text has size 0 and takes nothing; a null source is a source of its own,
-last in order; repeated rows are documents of their own (ties by doc_id are consecutive, ordered
-by a hash of the text); an empty table gives an empty result; other columns pass through ``mix`` untouched,
-except those named like its outputs, which it replaces.
+A source's documents are in the order of a digest of id and text, so that neither rows that share an
+id nor rows without one stand together.
+
+Defined cases: a null text has size 0 and takes nothing, so it has no position; a null source is a
+source of its own, last in order; repeated rows are documents of their own, next to each other; an
+empty table gives an empty result; other columns pass through ``mix`` and ``arranged`` untouched,
+except those named like their outputs, which they replace.
 """
 
 from __future__ import annotations
@@ -22,8 +26,9 @@ from procure_spark.llm.common import WORD, table
 #: (over -1 and under 1: sources of weight 5 early, those of weight 1 late), most passes.
 WEIGHTS, SLOPES, PASSES = (5, 2, 1), (-0.5, 0.0, 0.5), 3
 
-#: Parts of a source whose sizes are added up apart, so that no source is one task's work.
-PARTS = 256
+#: Hexadecimal digits of the digest that tell a source's parts, whose sizes are added up apart, so that
+#: no source is one task's work: 4,096 parts.
+PART_DIGITS = 3
 
 
 def word_count(text: Column) -> Column:
@@ -56,16 +61,15 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, passes=PASS
 
 
 def place(df: DataFrame, text_col="text", id_col="doc_id", source_col="source", **how) -> DataFrame:
-    """df with size, source_size, target, slope, ``begins`` (size of what stands before the
-    document in its source's order) and ``taken`` (words the mix takes, repeats counted).
+    """df with size, source_size, target, slope and ``begins`` (size of what stands before the
+    document in its source's order).
 
-    Order in a source: md5 of the id. A pass takes documents in that order until the target is
-    met, so the last document of the last pass may give a part of its words only.
+    A pass takes documents in that order until the target is met, so the last document of the last
+    pass may give a part of its words only.
     """
-    passes = how.get("passes", PASSES)
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    own = df.drop("size", "source_size", "target", "slope", "begins", "taken")
-    own = own.withColumns({"size": word_count(F.col(text_col)), "__source": F.col(source_col), "__tie": F.xxhash64(text_col), "__digest": digest, "__part": F.conv(F.substring(digest, 1, 2), 16, 10).cast("int")})
+    digest = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    own = df.drop("size", "source_size", "target", "slope", "begins")
+    own = own.withColumns({"size": word_count(F.col(text_col)), "__source": F.col(source_col), "__digest": digest}).withColumn("__part", F.substring("__digest", 1, PART_DIGITS))
     parts = own.groupBy(F.col("__source").alias("source"), F.col("__part").alias("part")).agg(F.sum("size").alias("part_size"))
     targets = source_targets(parts, **how)
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -74,45 +78,62 @@ def place(df: DataFrame, text_col="text", id_col="doc_id", source_col="source",
         starts["source"].alias("__s"), F.col("part").alias("__p"), "part_begins", "source_size", "target", "slope"
     )
     joined = own.join(starts, own["__source"].eqNullSafe(starts["__s"]) & (own["__part"] == starts["__p"]))
-    within = Window.partitionBy("__s", "__p").orderBy("__digest", id_col, "__tie").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("__s", "__p").orderBy("__digest", id_col).rowsBetween(Window.unboundedPreceding, -1)
     joined = joined.withColumn("begins", F.col("part_begins") + F.coalesce(F.sum("size").over(within), F.lit(0).cast("long")))
-    goal = F.floor(F.col("target") + 0.5)
-    taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), goal - F.col("source_size") * k - F.col("begins"))) for k in range(passes)), F.lit(0))
-    return joined.withColumn("taken", taken.cast("long")).drop("__source", "__part", "__s", "__p", "part_begins", "__digest", "__tie")
+    return joined.drop("__source", "__part", "__s", "__p", "part_begins", "__digest")
+
+
+def scheduled(df: DataFrame, text_col="text", id_col="doc_id", source_col="source", **how) -> DataFrame:
+    """``place`` with ``schedule``: an array of (pass, words, position), of the passes that take words of
+    the document. D(t) = target * ((1 - slope) * t + slope * t²), inverted at the pass's middle word."""
+    placed = place(df.drop("schedule"), text_col, id_col, source_col, **how)
+    goal, s = F.floor(F.col("target") + 0.5), F.col("slope")
+
+    def one(k: Column) -> Column:
+        start = F.col("begins") + F.col("source_size") * k
+        words = F.greatest(F.lit(0), F.least(F.col("size"), goal - start)).cast("long")
+        share = (start + words / 2) / F.nullif(F.col("target"), F.lit(0.0))
+        t = F.when(s == 0, share).otherwise((s - 1 + F.sqrt((1 - s) * (1 - s) + 4 * s * share)) / (2 * s))
+        return F.struct(k.alias("pass"), words.alias("words"), t.alias("position"))
+
+    every = F.transform(F.sequence(F.lit(0), F.lit(how.get("passes", PASSES) - 1)), one)
+    return placed.withColumn("schedule", F.filter(every, lambda p: p["words"] > 0))
+
+
+def sorted_by(rows: DataFrame, keys: list[str], partitions: int | None) -> DataFrame:
+    rows = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
+    return rows.sortWithinPartitions(*keys)
 
 
 def mix(df: DataFrame, text_col="text", id_col="doc_id", source_col="source", partitions: int | None = None, **how) -> DataFrame:
     """One row for each pass over each document that the mix takes, range-sorted by training
     ``position`` in [0, 1]; ``pass`` from 0; ``words`` that this pass takes."""
-    passes = how.get("passes", PASSES)
-    placed = place(df, text_col, id_col, source_col, **how)
-    goal = F.floor(F.col("target") + 0.5)
-    rows = placed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
-    start = F.col("begins") + F.col("source_size") * F.col("pass")
-    rows = rows.withColumn("words", F.greatest(F.lit(0), F.least(F.col("size"), goal - start)).cast("long")).filter("words > 0")
-    # Of D(t) = target * ((1 - slope) * t + slope * t²) the inverse at the pass's middle word.
-    share = (start + F.col("words") / 2) / F.col("target")
-    s = F.col("slope")
-    t = F.when(s == 0, share).otherwise((s - 1 + F.sqrt((1 - s) * (1 - s) + 4 * s * share)) / (2 * s))
-    rows = rows.withColumn("position", t)
-    keys = ["position", id_col, "pass"]
-    rows = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
-    return rows.sortWithinPartitions(*keys)
+    rows = scheduled(df.drop("pass", "words", "position"), text_col, id_col, source_col, **how)
+    return sorted_by(rows.select("*", F.inline("schedule")).drop("schedule"), ["position", id_col, "pass"], partitions)
+
+
+def arranged(df: DataFrame, text_col="text", id_col="doc_id", source_col="source", partitions: int | None = None, **how) -> DataFrame:
+    """Every document once, range-sorted by the position of its first pass (null, and first, if it has none):
+    ``taken``, words that the mix takes, repeats counted; ``passes``, how often it comes; ``position``."""
+    rows = scheduled(df.drop("taken", "passes", "position"), text_col, id_col, source_col, **how)
+    taken = F.aggregate("schedule", F.lit(0).cast("long"), lambda a, p: a + p["words"])
+    rows = rows.withColumns({"taken": taken, "passes": F.size("schedule"), "position": F.array_min(F.transform("schedule", lambda p: p["position"]))})
+    return sorted_by(rows.drop("schedule"), ["position", id_col], partitions)
 
 
 def op9_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return place(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return arranged(docs).select("doc_id", "size", "source_size", "target", "taken", "passes", F.round("position", 9).alias("position"))
 
 
 SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, md5(doc_id::VARCHAR) AS digest,
+  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS digest,
          CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size
   FROM documents),
 per AS (
-  SELECT source, sum(size)::BIGINT AS source_size,
-         (CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::BIGINT AS weight
+  SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS i,
+         (CASE i WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::BIGINT AS weight, (CASE i WHEN 0 THEN -0.5 WHEN 1 THEN 0.0 ELSE 0.5 END)::DOUBLE AS s
   FROM sized GROUP BY source),
 level AS (
   SELECT *, 3 * source_size AS cap,
@@ -120,15 +141,18 @@ level AS (
          / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0))::DOUBLE AS level
   FROM per WINDOW w AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 goal AS (
-  SELECT source, source_size, CASE WHEN cap < level * weight THEN cap::DOUBLE
+  SELECT source, source_size, s, CASE WHEN cap < level * weight THEN cap::DOUBLE
          ELSE (max(level) FILTER (WHERE NOT cap < level * weight) OVER ()) * weight END AS target
   FROM level),
 placed AS (
-  SELECT s.doc_id, s.size, g.source_size, g.target, floor(g.target + 0.5)::BIGINT AS words,
-         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.digest, s.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins
-  FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, words - begins)) + greatest(0, least(size, words - source_size - begins))
-        + greatest(0, least(size, words - 2 * source_size - begins)))::BIGINT AS taken
-FROM placed
+  SELECT t.doc_id, t.size, g.source_size, g.target, g.s, floor(g.target + 0.5)::BIGINT AS words,
+         coalesce(sum(t.size) OVER (PARTITION BY t.source ORDER BY t.digest, t.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins
+  FROM sized t JOIN goal g ON t.source IS NOT DISTINCT FROM g.source),
+passes AS (
+  SELECT *, greatest(0, least(size, words - begins))::BIGINT AS w0, greatest(0, least(size, words - source_size - begins))::BIGINT AS w1,
+         greatest(0, least(size, words - 2 * source_size - begins))::BIGINT AS w2, (begins + w0 / 2) / target AS share
+  FROM placed)
+SELECT doc_id, size, source_size, target, w0 + w1 + w2 AS taken, (w0 > 0)::INT + (w1 > 0)::INT + (w2 > 0)::INT AS passes,
+       CASE WHEN w0 > 0 THEN round(CASE WHEN s = 0 THEN share ELSE (s - 1 + sqrt((1 - s) * (1 - s) + 4 * s * share)) / (2 * s) END, 9) END AS position
+FROM passes
 """

@@ -47,6 +47,28 @@ def test_shards(spark):
     assert shards.shard(df.limit(0)).count() == 0
 
 
+def test_equal_rows_and_ids_spread_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(shards, "AT_ONCE", 100)
+    rows = [(7, "same")] * 1500 + [(None, f"t{i}") for i in range(700)] + [(i, "x" * 400_000) for i in range(2)]
+    got = shards.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    for group in ([r for r in got if r["doc_id"] == 7], [r for r in got if r["doc_id"] is None]):
+        per = collections.Counter(r["shard"] for r in group)
+        mean = len(group) / 16
+        assert len(per) == 16 and all(abs(n - mean) < 5 * math.sqrt(mean) for n in per.values())
+        # Nor do they stand together within a shard.
+        slots = sorted(r["slot"] for r in group if r["shard"] == 0)
+        assert slots[-1] - slots[0] > 100 and max(slots) > 110 and min(slots) < 30
+
+
+def test_sharding_query(spark, tmp_path):
+    spark.createDataFrame([(i, "é" * (i % 9)) for i in range(100)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = shards.op3_hypergeometric_sharding(spark, str(tmp_path))
+    assert dict(got.dtypes) == {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"}
+    rows = got.collect()
+    assert {(r["doc_id"], r["size"], r["law"], r["grown_shard"]) for r in rows} == {(i, 2 * (i % 9) + 1, "rows", None) for i in range(100)}
+
+
 def test_chats_parse_back(spark):
     talks = {
         1: [("user", "a<|turn|>b"), ("assistant", "x\\y<\n<|end|>\n\\lt;\\n;\\\\")], 2: [("", ""), ("a\n<|", "<|")], 3: [("assistant", "\\lt;<|turn|>\\\\lt;")], 4: [("assistant", "<|plain|>"), ("assistant", "<|end|>")],
@@ -59,8 +81,19 @@ def test_chats_parse_back(spark):
         assert [tuple(t) for t in got[c]["turns"]] == ts and got[c]["round_trip"] and got[c]["loss_text"] == "".join(t for r, t in ts if r == "assistant")
     assert len(got[None]["turns"]) == 2 and got[1]["quoted"] and not got[2]["quoted"]
     assert chat.format_chats(df.limit(0)).count() == 0
-    said = chat.op4_chat_round_trip  # the query adds conversation -1
-    assert said and hashlib.sha256(b"</s>[INST] ok [/INST]").hexdigest() == spark.range(1).select(F.sha2(F.lit("</s>[INST] ok [/INST]"), 256)).first()[0]
+
+
+def test_chat_query_adds_a_conversation_of_control_strings(spark, tmp_path):
+    talks = {1: [("user", "hi"), ("assistant", "<|end|>\n<|turn|>")], 2: [("assistant", "a"), ("assistant", "b")]}
+    rows = [(c, i, r, t) for c, ts in talks.items() for i, (r, t) in enumerate(ts)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    talks[-1] = [(r, "</s>[INST] ok [/INST]") for r in ("user", "assistant")]
+    got = {r["conv_id"]: r for r in chat.op4_chat_round_trip(spark, str(tmp_path)).collect()}
+    assert set(got) == set(talks)
+    for c, ts in talks.items():
+        loss = "".join(t for r, t in ts if r == "assistant")
+        assert got[c]["n_turns"] == len(ts) and got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in ts).encode()).hexdigest()
+        assert got[c]["loss_chars"] == len(loss) and got[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
 
 
 def brute_targets(sizes, weights=(5, 2, 1), passes=3):
@@ -84,7 +117,7 @@ def test_mixing(spark):
     for _, t, s in rows:
         sizes[s] += len((t or "").split())
     wanted = brute_targets(sizes)
-    got = mixing.place(df).collect()
+    got = mixing.arranged(df).collect()
     assert len(got) == len(rows)
     taken = collections.Counter()
     for r in got:
@@ -95,7 +128,29 @@ def test_mixing(spark):
     mixed = mixing.mix(df).collect()
     assert sum(r["words"] for r in mixed) == sum(taken.values()) and all(0 <= r["position"] <= 1 for r in mixed)
     assert sorted(map(str, mixed)) == sorted(map(str, mixing.mix(df.repartition(7)).collect()))
-    assert mixing.place(df.limit(0)).count() == 0 and mixing.mix(df.limit(0)).count() == 0
+    assert mixing.arranged(df.limit(0)).count() == 0 and mixing.mix(df.limit(0)).count() == 0
+    # Documents are told what passes are: words, number and first position.
+    per = collections.defaultdict(list)
+    for r in mixed:
+        per[r["doc_id"], r["text"], r["source"]].append((r["words"], r["position"]))
+    assert all((r["position"] is None) == (r["passes"] == 0) == (r["taken"] == 0) for r in got)
+    for key in per:
+        same = [r for r in got if (r["doc_id"], r["text"], r["source"]) == key]
+        assert sum(w for w, _ in per[key]) == sum(r["taken"] for r in same) and len(per[key]) == sum(r["passes"] for r in same)
+        assert min(p for _, p in per[key]) == min(r["position"] for r in same if r["passes"])
+    places = [r["position"] for r in mixing.arranged(df, partitions=3).collect()]
+    found = [p for p in places if p is not None]
+    assert found == sorted(found) and None not in places[len(places) - len(found) :]
+
+
+def test_slopes_decide_the_order_not_the_amounts(spark):
+    df = spark.createDataFrame([(i, "w " * (5 + i % 7), f"s{i % 3}") for i in range(600)], "doc_id long, text string, source string")
+    rows = {slopes: mixing.arranged(df, slopes=slopes).collect() for slopes in ((-0.9, 0.0, 0.9), (0.9, 0.0, -0.9))}
+    one, other = rows.values()
+    assert [r["doc_id"] for r in one] != [r["doc_id"] for r in other]
+    assert {(r["doc_id"], r["taken"]) for r in one} == {(r["doc_id"], r["taken"]) for r in other}
+    mean = lambda rs, s: sum(r["position"] for r in rs if r["source"] == s and r["passes"]) / sum(r["source"] == s and r["passes"] > 0 for r in rs)
+    assert mean(one, "s0") < mean(one, "s2") and mean(other, "s0") > mean(other, "s2")
 
 
 def test_curriculum_inverts_demand(spark):
