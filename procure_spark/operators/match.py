@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from procure_spark import lexicons as L
 from procure_spark.functions.text import blank, flatten_specs, marks, measure, tokens, words_text
+from procure_spark.operators.upsert import one_each
 
 GRAM = 3
 
@@ -122,9 +123,9 @@ def drop_shadowed(df: DataFrame, group: str, name: str, weak: str = "doc", stron
     return rows.join(better, [group, "__base", "__ext"], "left_anti").drop("__base", "__ext")
 
 
-def merge_new(crm: DataFrame, found: DataFrame, key: str, status: str = "Found") -> DataFrame:
-    """crm and the found rows that it lacks, in the initial status."""
-    new = found.dropDuplicates([key]).join(crm.select(key), key, "left_anti").withColumn("status", F.lit(status))
+def merge_new(crm: DataFrame, found: DataFrame, key: str, status: str = "Found", order: Sequence[str] = ()) -> DataFrame:
+    """crm and the found rows that it lacks, the first of each key in order, in the initial status."""
+    new = one_each(found, key, order).join(crm.select(key), key, "left_anti").withColumn("status", F.lit(status))
     return crm.unionByName(new.select(*crm.columns))
 
 

@@ -1,4 +1,5 @@
-"""Merging records, facts and positions. What comes first is told by an explicit sequence column."""
+"""Merging records, facts and positions. What comes first is told by an explicit sequence column; of rows
+with equal ones the smaller value, so that reruns agree."""
 
 from __future__ import annotations
 
@@ -14,17 +15,17 @@ from procure_spark.functions.text import blank, is_blank
 def longest(col: str, seq: str) -> Column:
     """Aggregate: the longest text, of equally long ones the first."""
     text = blank(F.col(col).cast("string"))
-    return F.min_by(F.col(col), F.struct(-F.length(text), F.col(seq)))
+    return F.min_by(F.col(col), F.struct(-F.length(text), F.col(seq), F.col(col)))
 
 
 def first_filled(col: str, seq: str) -> Column:
     """Aggregate: the first text that isn't blank, or null."""
-    return F.min_by(F.when(~is_blank(F.col(col).cast("string")), F.col(col)), F.when(~is_blank(F.col(col).cast("string")), F.col(seq)))
+    return F.min_by(F.col(col), F.when(~is_blank(F.col(col).cast("string")), F.struct(F.col(seq), F.col(col))))
 
 
 def first_of(col: str, seq: str) -> Column:
     """Aggregate: the value of the first row, null or not."""
-    return F.min_by(F.struct(F.col(col)), F.col(seq))[col]
+    return F.min(F.struct(F.col(seq).alias("s"), F.col(col).alias("v")))["v"]
 
 
 def in_order(value: Column, seq: Column) -> Column:
@@ -68,7 +69,7 @@ def merge_requirements(df: DataFrame, keys: Sequence[str], seq: str) -> DataFram
         first_filled("unit", seq).alias("unit"),
         distinct_ignoring_case(F.flatten(in_order(F.col("characteristics"), F.col(seq)))).alias("characteristics"),
         F.max("confidence").alias("confidence"),
-        F.max_by("source_fragment", F.struct(F.col("confidence"), -F.col(seq))).alias("source_fragment"),
+        F.min_by("source_fragment", F.struct(-F.col("confidence"), F.col(seq), F.col("source_fragment"))).alias("source_fragment"),
         F.when(F.count_distinct("extraction_mode") > 1, "mixed").otherwise(F.min("extraction_mode")).alias("extraction_mode"),
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procure_spark.functions.text import is_blank
@@ -14,8 +14,7 @@ def combine_results(local: DataFrame, external: DataFrame, mode: str = "both") -
     """Rows with their source, of one side or both; total is the number of all."""
     sides = {"local": local.withColumn("source", F.lit("local")), "ai": external.withColumn("source", F.lit("external"))}
     rows = sides["local"].unionByName(sides["ai"]) if mode == "both" else sides[mode]
-    counted = rows.agg(F.count("*")).first()[0]
-    return rows.withColumn("total", F.lit(counted).cast("long"))
+    return rows.withColumn("total", rows.agg(F.count("*")).scalar())
 
 
 def union_distinct(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -31,12 +30,19 @@ def union_evolving(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
 
+def one_each(df: DataFrame, key: str, order: Sequence[str] = ()) -> DataFrame:
+    """A row for each key, the first in order; of rows that are equal in it the one of the smaller values."""
+    others = [c for c in df.columns if c != key and c not in order]
+    row = F.min(F.struct(*[F.col(c).alias(f"__{i}") for i, c in enumerate([*order, *others])]))
+    return df.groupBy(key).agg(row.alias("__row")).select(*[F.col(key) if c == key else F.col(f"__row.__{[*order, *others].index(c)}").alias(c) for c in df.columns])
+
+
 def upsert(cur: DataFrame, new: DataFrame, key: str, seq: str, fallback: Sequence[str] = (), defaults: dict[str, object] | None = None) -> DataFrame:
     """cur with new's rows written over by key: of several new rows the first holds; ``fallback``
     columns keep what is stored, or else the default, where the new value is blank. change tells
     created, updated and kept rows."""
     cols, defaults = cur.columns, defaults or {}
-    batch = new.filter(~is_blank(F.col(key).cast("string"))).withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(seq))).filter("__r = 1").drop("__r")
+    batch = one_each(new.filter(~is_blank(F.col(key).cast("string"))), key, [seq] if seq != key else [])
     both = cur.alias("c").join(batch.alias("n"), F.col(f"c.{key}") == F.col(f"n.{key}"), "full_outer")
     has = F.col(f"n.{key}").isNotNull()
 
@@ -76,4 +82,4 @@ def delete_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 def mark_seen(ledger: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """ledger and the ids that it lacks."""
-    return ledger.unionByName(ids.dropDuplicates([key]).join(ledger.select(key), key, "left_anti").select(*ledger.columns))
+    return ledger.unionByName(one_each(ids, key).join(ledger.select(key), key, "left_anti").select(*ledger.columns))

@@ -92,7 +92,7 @@ def notices_from_pages(pages: DataFrame, ledger: DataFrame, key: str = "reg") ->
     """Result pages as merged notices, each with whether it was seen."""
     from procure_spark.sources.html import page_notices
 
-    found = page_notices(pages).withColumn("seq", F.monotonically_increasing_id())
+    found = page_notices(pages).withColumn("seq", F.struct("url", "card"))
     one = merge.merge_notices(found.filter(f"{key} is not null"), key, "seq", ["title", "price", "deadline"], ["href"], ["url"])
     return match.flag_seen(one, ledger, key)
 

@@ -11,12 +11,12 @@ from procure_spark.registry import query, read
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
-    """Every 40th part asks for parts like it."""
-    return read(spark, d, "part").filter("p_partkey % 40 = 0").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_type").alias("query"), query_keywords(F.concat_ws(" ", "p_name", "p_type")).alias("keywords"))
+    """Parts whose key is divisible by 50 ask for parts like them, among all: the query set of a search."""
+    return read(spark, d, "part").filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_type").alias("query"), query_keywords(F.concat_ws(" ", "p_name", "p_type")).alias("keywords"))
 
 
 SEARCH = r"""
-q AS (SELECT DISTINCT p_partkey AS query_id, unnest(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type), '[\s,;/()]+'), lambda k: length(k) > 2 AND NOT regexp_matches(k, '^[0-9]+$'))[1:5]) AS w FROM part WHERE p_partkey % 40 = 0),
+q AS (SELECT DISTINCT p_partkey AS query_id, unnest(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type), '[\s,;/()]+'), lambda k: length(k) > 2 AND NOT regexp_matches(k, '^[0-9]+$'))[1:5]) AS w FROM part WHERE p_partkey % 50 = 0),
 h AS (SELECT query_id, p_partkey, sum(3 * contains(lower(p_name), w)::INT + contains(lower(p_type), w)::INT) AS score FROM q JOIN part ON contains(lower(p_name || chr(10) || p_type || chr(10) || p_brand), w) GROUP BY ALL),
 s AS (SELECT query_id, p_partkey, score::BIGINT AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p_partkey)::INT AS rank FROM h)"""
 
@@ -39,14 +39,14 @@ def j02_score_analogs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE l AS (SELECT p_size AS q, list(lower(trim(p_name))) AS seen FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 10 = 0 GROUP BY 1),
-e AS (SELECT p_size AS q, p_partkey AS s, lower(trim(p_name)) AS t, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS i FROM part WHERE p_partkey % 7 = 0),
+WITH RECURSIVE l AS (SELECT p_size AS q, list(lower(trim(p_name))) AS seen FROM part WHERE p_partkey % 3 = 0 GROUP BY 1),
+e AS (SELECT p_size AS q, p_partkey AS s, lower(trim(p_name)) AS t, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS i FROM part WHERE p_partkey % 3 <> 0),
 f AS (SELECT e.q, e.s, 1 AS i, coalesce(l.seen, []) AS before, e.t FROM e LEFT JOIN l ON l.q = e.q WHERE e.i = 1
  UNION ALL SELECT e.q, e.s, e.i::INT, CASE WHEN len(list_filter(f.before, lambda k: contains(k, substr(f.t, 1, 15)) OR contains(f.t, substr(k, 1, 15)))) > 0 THEN f.before ELSE list_append(f.before, f.t) END, e.t FROM f JOIN e ON e.q = f.q AND e.i = f.i + 1)
 SELECT q, s FROM f WHERE len(list_filter(before, lambda k: contains(k, substr(t, 1, 15)) OR contains(t, substr(k, 1, 15)))) = 0""")
 def j03_dedup_sources(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "part").select(F.col("p_size").alias("q"), F.col("p_partkey").alias("s"), F.col("p_name").alias("title"))
-    return J.dedup_sources(p.filter("s % 10 = 0"), p.filter("s % 7 = 0"), "q", "title", "s").select("q", "s")
+    return J.dedup_sources(p.filter("s % 3 = 0"), p.filter("s % 3 <> 0"), "q", "title", "s").select("q", "s")
 
 
 @query("""SELECT event_id, user_id, user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase') AS seen FROM events""")

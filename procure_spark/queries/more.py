@@ -1,6 +1,5 @@
 """Domain functions over texts built from the driver's tables, sources, jobs and streams."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,8 @@ from procure_spark.operators import facts, match, merge, rules
 from procure_spark.operators.rollup import report_summary
 from procure_spark.operators.split import markdown_tables, table_preview
 from procure_spark.plans.jobs import matching_text
-from procure_spark.registry import query, read
+from procure_spark.queries.text import BLOCKS
+from procure_spark.registry import query, read, shared_dir
 from procure_spark.sources.html import page_attachments, page_products
 from procure_spark.sources.tables import load_pages
 from procure_spark.streaming.jobs import stream_job_progress, stream_new_notices
@@ -58,10 +58,9 @@ def c12_measure(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", T.measure(raw, "thickness").alias("thickness"), T.measure(raw, "flexibility").alias("flexibility"))
 
 
-@query("""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '(?:^|[^\\pL\\pN_])(the|of|und)(?:$|[^\\pL\\pN_])', 1))), ',') AS marks FROM (SELECT doc_id, replace(text, ' ', '  ') AS text FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^ -~\\n]'))""")
+@query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^a-zа-я0-9.,+\-]+', ' ', 'g'), '[^a-zа-я0-9]+'), lambda w: w IN ('the', 'of', 'und')))), ',') AS marks FROM documents""")
 def c13_marks(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").filter("lang = 'en' and not text rlike '[^ -~\\n]'")
-    return docs.select("doc_id", F.array_join(T.marks(F.col("text"), ["the", "of", "und"]), ",").alias("marks"))
+    return read(spark, d, "documents").select("doc_id", F.array_join(T.marks(F.col("text"), ["the", "of", "und"]), ",").alias("marks"))
 
 
 @query("SELECT p_partkey, regexp_replace(trim(regexp_replace(p_name, '[\\\\/:*?\"<>|]', '_', 'g'), ' .'), ' +$', '') || '_a.docx' AS name FROM part")
@@ -148,7 +147,7 @@ def j13_attach_general(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH r AS (SELECT l_orderkey, l_returnflag, l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS seq, l_quantity, l_linestatus, l_discount FROM lineitem)
-SELECT l_orderkey, l_returnflag, min(seq) AS first_seq, arg_min(l_quantity, seq)::VARCHAR AS quantity, max(l_discount) AS confidence, CASE WHEN count(DISTINCT l_linestatus) > 1 THEN 'mixed' ELSE min(l_linestatus) END AS extraction_mode FROM r GROUP BY ALL""")
+SELECT l_orderkey, l_returnflag, min(seq) AS first_seq, arg_min(l_quantity::VARCHAR, struct_pack(a := seq, b := l_quantity::VARCHAR)) AS quantity, max(l_discount) AS confidence, CASE WHEN count(DISTINCT l_linestatus) > 1 THEN 'mixed' ELSE min(l_linestatus) END AS extraction_mode FROM r GROUP BY ALL""")
 def a03_merge_requirements(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "lineitem").select(
         "l_orderkey", "l_returnflag", F.expr("l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey % 1000 as seq"), F.lit("n").alias("position_name"), F.col("l_quantity").cast("string").alias("quantity"), F.lit("шт").alias("unit"),
@@ -163,20 +162,20 @@ def a20_report_summary(spark: SparkSession, d: str) -> DataFrame:
     return report_summary(read(spark, d, "part").select("p_partkey", text.alias("r")), "r", "## 1. Риски", "## 2.").select("p_partkey", "summary")
 
 
-@query("""
-WITH f AS (SELECT source, doc_id, text, CASE WHEN contains(lower(text), 'the') THEN 4 ELSE 0 END AS score FROM documents WHERE length(text) BETWEEN 30 AND 3000),
-b AS (SELECT source, doc_id, score, trim(text) AS block, sum(length(trim(text))) OVER (PARTITION BY source ORDER BY score DESC, doc_id::VARCHAR ROWS UNBOUNDED PRECEDING) AS used FROM f WHERE score >= 4)
-SELECT source, count(*) AS blocks, sha256(string_agg(block, chr(10) || chr(10) ORDER BY score DESC, doc_id::VARCHAR)) AS matching_text FROM b WHERE used <= 10000 GROUP BY 1""")
+@query(f"""WITH {BLOCKS.format(text="text")},
+g AS (SELECT source, doc_id::VARCHAR AS name, row_number() OVER (PARTITION BY doc_id ORDER BY i, p) AS pos, substr(b, 1, 3500) AS block FROM blocks JOIN documents USING (doc_id)),
+s AS (SELECT *, 3 + contains(lower(block), 'the')::INT AS score FROM g),
+u AS (SELECT *, sum(length(block)) OVER (PARTITION BY source ORDER BY score DESC, name, pos ROWS UNBOUNDED PRECEDING) AS used FROM s WHERE score >= 4)
+SELECT source, count(*) AS blocks, sha256(string_agg(block, chr(10) || chr(10) ORDER BY score DESC, name, pos)) AS matching_text FROM u WHERE used <= 10000 GROUP BY 1""")
 def q03_matching_text(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").filter("length(text) between 30 and 3000").select("source", F.col("doc_id").cast("string").alias("name"), "text")
+    docs = read(spark, d, "documents").select("source", F.col("doc_id").cast("string").alias("name"), "text")
     m = matching_text(docs, "source", "name", "text", 10000, 3500, [("spec", [""])], [("any", ["the"], 1)], ["spec"])
     return m.select("source", "blocks", F.sha2("matching_text", 256).alias("matching_text"))
 
 
 def _stream(spark: SparkSession, d: str, build, mode: str) -> DataFrame:
     """The result of a stream over the events' file, in a folder of its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     events = spark.readStream.schema(read(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
     stream = build(events)
     if mode == "append":
@@ -203,7 +202,7 @@ def x12_page_attachments(spark: SparkSession, d: str) -> DataFrame:
     return page_attachments(read(spark, d, "pages"), ("/",))
 
 
-@query("SELECT url, regexp_replace(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')), '\\s+', ' ', 'g') AS title FROM pages WHERE regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) <> '' AND NOT contains(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '&')")
+@query(r"""WITH t AS (SELECT url, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h FROM pages)
+SELECT url, regexp_replace(trim(replace(replace(replace(replace(regexp_replace(h, '<[^>]*>', '', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')), '\s+', ' ', 'g') AS title FROM t WHERE h <> ''""")
 def x14_page_products(spark: SparkSession, d: str) -> DataFrame:
-    pages = read(spark, d, "pages").filter(~F.contains(F.regexp_extract("html", "(?is)<h1[^>]*>(.*?)</h1>", 1), F.lit("&")))
-    return page_products(pages).select("url", "title")
+    return page_products(read(spark, d, "pages")).select("url", "title")

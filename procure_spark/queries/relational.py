@@ -21,8 +21,8 @@ def a01_merge_notices(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH r AS (SELECT l_orderkey, l_returnflag, l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS l_linenumber, l_quantity, l_linestatus, l_discount > 0.05 AS off FROM lineitem),
-m AS (SELECT l_orderkey, l_returnflag, min(l_linenumber) AS first_seq, arg_min(l_quantity, l_linenumber) AS l_quantity, bool_or(off) AS off, count(*) - 1 AS duplicates FROM r GROUP BY ALL),
-s AS (SELECT l_orderkey, l_returnflag, string_agg(l_linestatus, ',' ORDER BY f) AS statuses FROM (SELECT l_orderkey, l_returnflag, l_linestatus, min(l_linenumber) AS f FROM r GROUP BY ALL) GROUP BY ALL)
+m AS (SELECT l_orderkey, l_returnflag, min(l_linenumber) AS first_seq, arg_min(l_quantity, struct_pack(a := l_linenumber, b := l_quantity)) AS l_quantity, bool_or(off) AS off, count(*) - 1 AS duplicates FROM r GROUP BY ALL),
+s AS (SELECT l_orderkey, l_returnflag, string_agg(l_linestatus, ',' ORDER BY f, l_linestatus) AS statuses FROM (SELECT l_orderkey, l_returnflag, l_linestatus, min(l_linenumber) AS f FROM r GROUP BY ALL) GROUP BY ALL)
 SELECT l_orderkey, l_returnflag, first_seq, l_quantity, statuses, off, duplicates, row_number() OVER (PARTITION BY l_orderkey ORDER BY first_seq, l_returnflag)::INT AS number FROM m JOIN s USING (l_orderkey, l_returnflag)""")
 def a02_merge_positions(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "lineitem").select("l_orderkey", "l_returnflag", F.expr("l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey % 1000 as l_linenumber"), "l_quantity", F.array("l_linestatus").alias("statuses"), (F.col("l_discount") > 0.05).alias("off"))

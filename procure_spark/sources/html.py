@@ -86,7 +86,7 @@ def page_specs(df: DataFrame) -> DataFrame:
 
 
 def page_attachments(df: DataFrame, marks: tuple[str, ...] = L.DOWNLOAD_MARKS) -> DataFrame:
-    """(url, href, name, uid, kind): links to files, absolute, one for each uid or else link; names from the
+    """(url, href, name, uid, kind): links to files, absolute, the first of each uid or else link; names from the
     title or text, those with an extension first. kind is signature or file."""
 
     def find(page: Page) -> list[tuple]:
@@ -96,30 +96,31 @@ def page_attachments(df: DataFrame, marks: tuple[str, ...] = L.DOWNLOAD_MARKS) -
             if any(m in href.lower() for m in marks):
                 names = [x for x in (a["attrs"].get("title", "").strip(), page.text(a)) if x]
                 names.sort(key=lambda x: "." not in x[-6:])
-                out.append((href, names[0] if names else "file.bin"))
+                out.append((href, names[0] if names else "file.bin", len(out)))
         return out
 
-    found = _each_page(df, find, "href string, name string")
+    found = _each_page(df, find, "href string, name string, at int")
     href = absolute_url(F.col("url"), F.col("href"))
     uid = F.nullif(F.regexp_extract("href", r"[?&](?:uid|id)=([^&#]+)", 1), F.lit(""))
     found = found.withColumns({"href": href, "uid": uid, "kind": F.when(F.lower("href").rlike(r"sign|\.sig(\?|$)"), "signature").otherwise("file"), "name": T.repair_filename(F.col("name"))})
-    return found.withColumn("__k", F.coalesce("uid", "href")).dropDuplicates(["url", "kind", "__k"]).drop("__k")
+    first = found.groupBy("url", "kind", F.coalesce("uid", "href").alias("__k")).agg(F.min(F.struct("at", "href", "name", "uid")).alias("x"))
+    return first.select("url", "x.href", "x.name", "x.uid", "kind")
 
 
 def page_notices(df: DataFrame, card_class: str = "search-registry-entry-block", price_labels=("Начальная цена",), deadline_labels=("Окончание подачи заявок",), stops=("Начальная цена", "Окончание подачи заявок", "Размещено", "Обновлено")) -> DataFrame:
-    """(url, reg, ntype, title, href, price, deadline): a row for each card of a result page, by the link that
-    tells most of it (rank under 100) and its longest link text."""
+    """(url, card, reg, ntype, title, href, price, deadline): a row for each card of a result page, by the link
+    that tells most of it (rank under 100) and its longest link text, of equally long ones the first."""
 
     def find(page: Page) -> list[tuple]:
-        return [(i, page.text(card), a["attrs"].get("href", ""), page.text(a)) for i, card in enumerate(page.classed(card_class)) for a in page.all("a", within=card)]
+        return [(i, page.text(card), at, a["attrs"].get("href", ""), page.text(a)) for i, card in enumerate(page.classed(card_class)) for at, a in enumerate(page.all("a", within=card))]
 
-    links = _each_page(df, find, "card int, body string, href string, label string").withColumn("rank", T.href_rank(F.col("href")))
+    links = _each_page(df, find, "card int, body string, at int, href string, label string").withColumn("rank", T.href_rank(F.col("href")))
     cards = links.groupBy("url", "card").agg(
-        F.first("body").alias("body"), F.min(F.when(F.col("rank") < 100, F.struct("rank", "href")))["href"].alias("href"), F.max_by("label", F.length("label")).alias("title")
+        F.min("body").alias("body"), F.min(F.when(F.col("rank") < 100, F.struct("rank", "at", "href")))["href"].alias("href"), F.min(F.struct(-F.length("label"), "at", "label"))["label"].alias("title")
     )
     key = T.registry_key(F.col("href"))
     return cards.filter("href is not null").select(
-        "url", key.alias("reg"), T.notice_kind(F.col("href")).alias("ntype"), "title", absolute_url(F.col("url"), F.col("href")).alias("href"),
+        "url", "card", key.alias("reg"), T.notice_kind(F.col("href")).alias("ntype"), "title", absolute_url(F.col("url"), F.col("href")).alias("href"),
         T.card_price(F.col("body"), price_labels, stops).alias("price"), T.card_deadline(F.col("body"), deadline_labels, stops).alias("deadline"),
     )
 
