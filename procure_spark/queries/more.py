@@ -2,7 +2,7 @@
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procure_spark.functions import text as T
@@ -22,40 +22,58 @@ def s03_load_pages(spark: SparkSession, d: str) -> DataFrame:
     return load_pages(spark, f"{d}/pages.parquet")
 
 
-@query("SELECT p_partkey, (10 * p_size + 0.5)::DOUBLE AS price FROM part")
+def by_key(*variants: Column | str) -> Column:
+    """The variant that a part's key picks."""
+    k = F.col("p_partkey") % len(variants)
+    out = F.when(k == 0, variants[0])
+    for i, v in enumerate(variants[1:], 1):
+        out = out.when(k == i, v)
+    return out
+
+
+def said(*parts: str | Column) -> Column:
+    """Parts put together; strings that name a column of part are columns."""
+    return F.concat(*[p if isinstance(p, Column) else F.col(p).cast("string") if p in ("p_partkey", "p_name", "p_size", "p_brand", "p_type") else F.lit(p) for p in parts])
+
+
+@query("SELECT p_partkey, (CASE p_partkey % 5 WHEN 0 THEN 10 * p_size + 0.5 WHEN 1 THEN p_size WHEN 2 THEN 0 WHEN 3 THEN p_size ELSE p_size + 0.25 END)::DOUBLE AS price FROM part")
 def c02_catalog_price(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit("1 р./шт "), F.col("p_size") * 10, F.lit(",5 р./м2 РОЗН"))
+    n = F.col("p_size")
+    text = by_key(F.concat(F.lit("1 р./шт "), n * 10, F.lit(",5 р./м2 РОЗН")), said("цена ", "p_size", " р./шт, опт 3 р./м2"), said("p_size", " руб"), said("p_size", " р./м2 РОЗН"), said("2 р./м 3 шт ", "p_size", ".25 Р./кг розн"))
     return read(spark, d, "part").select("p_partkey", T.catalog_price(text).alias("price"))
 
 
-@query("SELECT p_partkey, p_name AS query FROM part")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 4 THEN '***' ELSE p_name END AS query FROM part")
 def c06_clean_query(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.concat(F.lit("Наименование | "), "p_name", F.lit(" (шт)* ГОСТ 12-"), "p_partkey", F.lit(" | a.docx |"))
+    raw = by_key(said("Наименование | ", "p_name", " (шт)* ГОСТ 12-", "p_partkey", " | a.docx |"), said("p_name", " (2,5 кг)"), said("/", "p_name", " ТУ 5774-003 "), said("p_name", " (не указано)*"), F.lit("***"))
     return read(spark, d, "part").select("p_partkey", T.clean_query(raw).alias("query"))
 
 
-@query("SELECT p_partkey, p_name || ' сталь' AS query FROM part")
+@query("SELECT p_partkey, p_name || CASE p_partkey % 4 WHEN 0 THEN ' сталь' WHEN 3 THEN ' брус' ELSE '' END AS query FROM part")
 def c08_norm_query(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.concat(F.col("p_partkey"), F.lit(". "), "p_name", F.lit(" | сталь или эквивалент тз.docx стр. 3"))
+    raw = by_key(said("p_partkey", ". ", "p_name", " | сталь или эквивалент тз.docx стр. 3"), said("p_name", " аналог"), said("3.1) ", "p_name", " - "), said("p_name", "|брус"))
     return read(spark, d, "part").select("p_partkey", T.norm_query(raw).alias("query"))
 
 
 @query("SELECT p_partkey, p_name AS name FROM part")
 def c09_norm_name(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.concat(F.col("p_partkey"), F.lit(") "), "p_name", F.lit(" или эквивалент, цена "), "p_retailprice")
+    raw = by_key(said("p_partkey", ") ", "p_name", " или эквивалент, цена ", F.col("p_retailprice")), said("p_name", " количество 5 шт"), said("Эквивалент ", "p_name"), said("12 ", "p_name", ";"), said("p_name", " : ОКПД2 23.99\nещё"))
     return read(spark, d, "part").select("p_partkey", T.norm_name(raw).alias("name"))
 
 
-@query("SELECT p_partkey, p_size::VARCHAR AS quantity, CASE p_partkey % 2 WHEN 0 THEN 'шт' ELSE 'м2' END AS unit FROM part")
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 2 THEN '1234.5' WHEN 3 THEN NULL ELSE p_size::VARCHAR END AS quantity,
+ CASE p_partkey % 6 WHEN 0 THEN 'шт' WHEN 1 THEN 'м2' WHEN 2 THEN 'кг' WHEN 3 THEN NULL ELSE 'мм' END AS unit FROM part""")
 def c11_qty_unit(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.concat("p_name", F.lit(" "), "p_size", F.when(F.col("p_partkey") % 2 == 0, " шт").otherwise("м2"))
+    raw = by_key(said("p_name", " ", "p_size", " шт"), said("p_name", " ", "p_size", "м2"), said("p_name", " 1 234,5 кг"), said("p_name", " ", "p_size"), said("p_name", " не менее ", "p_size", " мм"), said("№ ", "p_size", " мм и 7 шт"))
     return read(spark, d, "part").select("p_partkey", T.qty_unit(raw).alias("q")).select("p_partkey", "q.quantity", "q.unit")
 
 
-@query("SELECT p_partkey, p_size / 10 AS thickness, -p_size::DOUBLE AS flexibility FROM part")
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size / 10 WHEN 1 THEN p_size + 0.5 END::DOUBLE AS thickness, CASE WHEN p_partkey % 4 IN (0, 2) THEN -p_size END::DOUBLE AS flexibility,
+ CASE p_partkey % 4 WHEN 1 THEN 4.5 WHEN 3 THEN p_size END::DOUBLE AS mass FROM part""")
 def c12_measure(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.concat(F.lit("Толщина: "), F.regexp_replace((F.col("p_size") / 10).cast("string"), "\\.", ","), F.lit(" мм; гибкость -"), "p_size", F.lit(" °C"))
-    return read(spark, d, "part").select("p_partkey", T.measure(raw, "thickness").alias("thickness"), T.measure(raw, "flexibility").alias("flexibility"))
+    tenth = F.regexp_replace((F.col("p_size") / 10).cast("string"), "\\.", ",")
+    raw = by_key(said("Толщина: ", tenth, " мм; гибкость -", "p_size", " °C"), said("лист ", "p_size", ".5 мм, 4,5 кг/м2"), said("гибкость не выше -", "p_size"), said("Масса ", "p_size", " и всё"))
+    return read(spark, d, "part").select("p_partkey", *[T.measure(raw, m).alias(m) for m in ("thickness", "flexibility", "mass")])
 
 
 @query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^a-zа-я0-9.,+\-]+', ' ', 'g'), '[^a-zа-я0-9]+'), lambda w: w IN ('the', 'of', 'und')))), ',') AS marks FROM documents""")
@@ -63,48 +81,74 @@ def c13_marks(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", F.array_join(T.marks(F.col("text"), ["the", "of", "und"]), ",").alias("marks"))
 
 
-@query("SELECT p_partkey, regexp_replace(trim(regexp_replace(p_name, '[\\\\/:*?\"<>|]', '_', 'g'), ' .'), ' +$', '') || '_a.docx' AS name FROM part")
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || '_a.docx' WHEN 1 THEN 'a_b_' || p_name WHEN 2 THEN 'тз.docx' ELSE substr(repeat(p_name || 'x', 30), 1, 180) END AS name FROM part")
 def c21_repair_filename(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "part").select("p_partkey", T.repair_filename(F.concat("p_name", F.lit("?a.docx. "))).alias("name"))
+    misread = "тз".encode().decode("latin-1")
+    raw = by_key(said("p_name", "?a.docx. "), said(" a/b:", "p_name"), F.lit(f"{misread}.docx"), F.repeat(said("p_name", "x"), 30))
+    return read(spark, d, "part").select("p_partkey", T.repair_filename(raw).alias("name"))
 
 
-@query("SELECT p_partkey, p_brand AS customer, p_size || ',50' AS price, '05.03.2024' AS deadline FROM part")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN p_brand END AS customer, CASE p_partkey % 3 WHEN 0 THEN p_size || ',50' WHEN 1 THEN '1 ' || (100 + p_size) END AS price,
+ CASE p_partkey % 3 WHEN 0 THEN '05.03.2024' WHEN 1 THEN '05.03.2024 10:00' ELSE '01.01.2024' END AS deadline FROM part""")
 def c28_card_fields(spark: SparkSession, d: str) -> DataFrame:
-    body = F.concat(F.lit("Заказчик: "), "p_brand", F.lit(" Начальная цена "), "p_size", F.lit(",50 ₽ Окончание подачи заявок 05.03.2024 Размещено 01.01.2024"))
+    body = by_key(
+        said("Заказчик: ", "p_brand", " Начальная цена ", "p_size", ",50 ₽ Окончание подачи заявок 05.03.2024 Размещено 01.01.2024"),
+        said("заказчик ", "p_brand", " Окончание подачи заявок 05.03.2024 10:00 Начальная цена\n1 ", (F.col("p_size") + 100).cast("string"), " руб."),
+        said("Заказчик: Начальная цена ", "p_size", " Размещено 01.01.2024"),
+    )
     stops = ["Начальная цена", "Окончание подачи заявок", "Размещено"]
     return read(spark, d, "part").select("p_partkey", T.labelled_field(body, ["Заказчик"], stops).alias("customer"), T.card_price(body, ["Начальная цена"], stops).alias("price"), T.card_deadline(body, ["Окончание подачи заявок"], stops).alias("deadline"))
 
 
-@query("SELECT p_partkey, p_name || ' | толщина ' || p_size || ' мм; масса ' || p_size AS query FROM part")
+@query("""SELECT p_partkey, p_name || CASE p_partkey % 3 WHEN 0 THEN ' | толщина ' || p_size || ' мм; масса ' || p_size WHEN 1 THEN '' ELSE ' | длина 1; длина 2; длина 3; длина 4' END AS query FROM part""")
 def c32_compose_query(spark: SparkSession, d: str) -> DataFrame:
-    chars = F.array(F.concat(F.lit("толщина "), "p_size", F.lit(" мм")), F.lit("цена 5"), F.concat(F.lit("масса "), "p_size"))
+    chars = by_key(F.array(said("толщина ", "p_size", " мм"), F.lit("цена 5"), said("масса ", "p_size")), F.array(F.lit("цена 5")), F.array(*[F.lit(f"длина {i}") for i in range(1, 7)]))
     return read(spark, d, "part").select("p_partkey", T.compose_query(F.col("p_name"), chars).alias("query"))
 
 
-@query("SELECT p_partkey, p_name AS plain FROM part")
+@query("SELECT p_partkey, p_name || CASE p_partkey % 4 WHEN 1 THEN ' тз' WHEN 2 THEN chr(10) || chr(10) || 'x' ELSE '' END AS plain FROM part")
 def c34_strip_artifacts(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "part").select("p_partkey", T.strip_artifacts(F.concat(F.lit("[FILE: тз] "), "p_name", F.lit(" стр. 4\n=== ФАЙЛ: x"))).alias("plain"))
+    raw = by_key(said("[FILE: тз] ", "p_name", " стр. 4\n=== ФАЙЛ: x"), said("p_name", " тз.pdf"), said("p_name", "\n\n\n\nx"), said("--- СТРАНИЦА/ЛИСТ: ", "p_size", "\n[CRM_DESCRIPTION_FALLBACK]", "p_name"))
+    return read(spark, d, "part").select("p_partkey", T.strip_artifacts(raw).alias("plain"))
 
 
-@query("""SELECT p_partkey, 1 AS table_no, r AS row_no, CASE r WHEN 1 THEN 'name|size|brand' ELSE p_name || '|' || p_size || '|' END AS cells FROM part, (VALUES (1), (2)) x(r)""")
+@query("""SELECT p_partkey, 1 AS table_no, r AS row_no, CASE r WHEN 1 THEN 'name|size|brand' ELSE p_name || '|' || p_size || '|' END AS cells FROM part, (VALUES (1), (2)) x(r)
+UNION ALL SELECT p_partkey, 2, 1, p_brand || '|' FROM part WHERE p_partkey % 2 = 1 UNION ALL SELECT p_partkey, 2, 2, p_size || '|' || p_type FROM part WHERE p_partkey % 2 = 1""")
 def x04_markdown_tables(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit("intro\n| name | size | brand |\n|---|---|---|\n| "), "p_name", F.lit(" | "), "p_size", F.lit(" |\nend"))
-    t = markdown_tables(read(spark, d, "part").select("p_partkey", text.alias("text"))).select("p_partkey", F.col("table_no").cast("int").alias("table_no"), "row_no", F.array_join("cells", "|").alias("cells"))
-    return t
+    one = ("intro\n| name | size | brand |\n|---|:-:|---|\n| ", "p_name", " | ", "p_size", " |\nend")
+    text = by_key(said(*one), said(*one, "\n\n  | ", "p_brand", "\n|", "p_size", "|  ", "p_type", "|"))
+    t = markdown_tables(read(spark, d, "part").select("p_partkey", text.alias("text")))
+    return t.select("p_partkey", F.col("table_no").cast("int").alias("table_no"), "row_no", F.array_join("cells", "|").alias("cells"))
 
 
-@query("SELECT p_partkey, '| ' || p_name || ' | ' || p_size || ' |' AS preview FROM part")
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '| ' || p_name || ' | ' || p_size || ' |' WHEN 2 THEN array_to_string(list_transform(range(5), lambda i: '| ' || p_name || ' | ' || i || ' |'), chr(10)) END AS preview FROM part""")
 def x16_table_preview(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit("text\n| Наименование | Количество |\n| "), "p_name", F.lit(" | "), "p_size", F.lit(" |"))
+    text = by_key(
+        said("text\n| Наименование | Количество |\n| ", "p_name", " | ", "p_size", " |"), said("| Наименование | Цена |\n| ", "p_name", " | 1 |"),
+        said("| № |\n| НАИМЕНОВАНИЕ | количество |", *[x for i in range(7) for x in ("\n| ", "p_name", f" | {i} |")]),
+    )
     t = table_preview(read(spark, d, "part").select("p_partkey", text.alias("text")), ["наименование"], ["количество"])
     return t.select("p_partkey", F.array_join("preview", "\n").alias("preview"))
 
 
-@query("""WITH p AS (SELECT p_partkey AS g, p_size FROM part) SELECT g, 'nmcc' AS value_type, (1000 * p_size + 0.5)::DOUBLE AS value_num, 'high' AS confidence FROM p
-UNION ALL SELECT g, 'advance_percent', p_size::DOUBLE, 'medium' FROM p UNION ALL SELECT g, 'penalty_percent', 0.1, 'medium' FROM p UNION ALL SELECT g, 'payment_days', p_size::DOUBLE, 'high' FROM p UNION ALL SELECT g, 'policy', NULL, 'high' FROM p WHERE p_size % 2 = 0""")
+#: Contract texts of parts by key, and the facts in them: (group, topic, value_type, value_num, confidence).
+FACT_SQL = """WITH p AS (SELECT p_partkey AS g, p_partkey % 3 AS k, p_size AS n FROM part)
+SELECT g, 'nmcc' AS value_type, (1000 * n + 0.5)::DOUBLE AS value_num, 'high' AS confidence FROM p WHERE k = 0 UNION ALL SELECT g, 'nmcc', (2000000 + n)::DOUBLE, 'high' FROM p WHERE k = 1
+UNION ALL SELECT g, 'advance_percent', n::DOUBLE, 'medium' FROM p WHERE k = 0 UNION ALL SELECT g, 'penalty_percent', 0.1, 'medium' FROM p WHERE k < 2 UNION ALL SELECT g, 'penalty_percent', n::DOUBLE, 'medium' FROM p WHERE k = 1
+UNION ALL SELECT g, 'payment_days', n::DOUBLE, 'high' FROM p WHERE k < 2 UNION ALL SELECT g, 'policy', NULL, 'high' FROM p WHERE k = 0 AND n % 2 = 0 UNION ALL SELECT g, 'policy', NULL, 'medium' FROM p WHERE k = 1"""
+
+
+def contract_text() -> Column:
+    return by_key(
+        F.concat(F.lit("НМЦК: "), F.col("p_size") * 1000, F.lit(",5 руб. Аванс "), "p_size", F.lit(" %. Пени 0,1 %. Оплата в течение "), "p_size", F.lit(" рабочих дней."), F.when(F.col("p_size") % 2 == 0, " Без эквивалента.").otherwise("")),
+        F.concat(F.lit("Начальная (максимальная) цена контракта - "), F.col("p_size") + 2000000, F.lit(" ₽. Аванс не предусмотрен. Штраф 0,1 % от цены. Неустойка равна "), "p_size", F.lit("%. Оплата товара в течение "), "p_size", F.lit(" дней. Аналог возможен.")),
+        F.lit("НМЦК не указана руб. Оплата по факту."),
+    )
+
+
+@query(FACT_SQL)
 def f01_extract_facts(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit("НМЦК: "), F.col("p_size") * 1000, F.lit(",5 руб. Аванс "), "p_size", F.lit(" %. Пени 0,1 %. Оплата в течение "), "p_size", F.lit(" рабочих дней."), F.when(F.col("p_size") % 2 == 0, " Без эквивалента.").otherwise(""))
-    docs = read(spark, d, "part").select(F.col("p_partkey").alias("g"), F.lit("a").alias("f"), text.alias("t"))
+    docs = read(spark, d, "part").select(F.col("p_partkey").alias("g"), F.lit("a").alias("f"), contract_text().alias("t"))
     return facts.extract_facts(docs, "g", "f", "t").select("g", "value_type", "value_num", "confidence")
 
 
@@ -114,9 +158,9 @@ def p05_requirement_score(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", rules.requirement_score(F.col("text"), ["the"], ["haha"], ["the"]).alias("score"))
 
 
-@query("SELECT p_partkey, p_size % 2 = 0 AS spec, p_size % 2 <> 0 AS noise FROM part")
+@query("SELECT p_partkey, p_partkey % 5 IN (0, 4) AS spec, p_partkey % 5 IN (1, 2) AS noise FROM part")
 def p08_line_predicates(spark: SparkSession, d: str) -> DataFrame:
-    line = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("мембрана толщина "), "p_size", F.lit(" мм"))).otherwise(F.concat(F.lit("протокол "), "p_partkey"))
+    line = by_key(said("мембрана толщина ", "p_size", " мм"), said("протокол ", "p_partkey"), said("p_name", " стр. 12"), said("просто ", "p_name"), said("Наименование: ", "p_name"))
     return read(spark, d, "part").select("p_partkey", rules.is_spec_line(line).alias("spec"), rules.is_noise_line(line).alias("noise"))
 
 
@@ -156,9 +200,11 @@ def a03_merge_requirements(spark: SparkSession, d: str) -> DataFrame:
     return merge.merge_requirements(rows, ["l_orderkey", "l_returnflag"], "seq").select("l_orderkey", "l_returnflag", "first_seq", "quantity", "confidence", "extraction_mode")
 
 
-@query("SELECT p_partkey, 'body ' || p_name AS summary FROM part")
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'body ' || p_name WHEN 1 THEN 'a' || chr(10) || p_name WHEN 2 THEN '' ELSE substr(repeat(p_name, 200), 1, 1200) END AS summary FROM part")
 def a20_report_summary(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit("## 0\n| t |\n## 1. Риски\n| row |\nbody "), "p_name", F.lit("\n## 2. x"))
+    text = by_key(
+        said("## 0\n| t |\n## 1. Риски\n| row |\nbody ", "p_name", "\n## 2. x"), said("## 1. Риски\n\na\n  | row |\n", "p_name", "\n| last |"), said("## 0. ", "p_name", "\n## 2. x"), F.concat(F.lit("## 1. Риски\n"), F.repeat(F.col("p_name"), 200)),
+    )
     return report_summary(read(spark, d, "part").select("p_partkey", text.alias("r")), "r", "## 1. Риски", "## 2.").select("p_partkey", "summary")
 
 
