@@ -289,7 +289,7 @@ def repair_filename(col: Column, most: int = 180) -> Column:
 def audit_signature(content: Column, name: Column, magic: dict[str, list[str]] = L.MAGIC, least: int = 100) -> Column:
     """ok, empty, html, too_small, or mismatch, from a file's first bytes and its name's extension."""
     start = F.hex(F.substring(content, 1, 8))
-    head = F.lower(F.try_validate_utf8(F.substring(content, 1, 64).cast("string")))
+    head = F.lower(F.decode(F.substring(content, 1, 64), "ISO-8859-1"))  # any bytes: the cut may part a character
     ext = F.lower(F.regexp_extract(blank(name), r"\.([^.]+)$", 1))
     fits = reduce(lambda a, b: a | b, [(ext == e) & reduce(lambda x, y: x | y, [F.startswith(start, F.lit(m)) for m in ms]) for e, ms in magic.items()], ~ext.isin(*magic))
     return (

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from procure_spark.functions.text import query_keywords
 from procure_spark.operators import match as J
-from procure_spark.operators.split import page_links
 from procure_spark.plans.jobs import build_packet, match_analogs
 from procure_spark.registry import query, read
 
@@ -112,11 +111,6 @@ def j15_next_frontier(spark: SparkSession, d: str) -> DataFrame:
     return J.next_frontier(p, p.filter("page_id % 3 = 0"), "url")
 
 
-@query()
-def x10_page_links(spark: SparkSession, d: str) -> DataFrame:
-    return page_links(read(spark, d, "pages"), "")
-
-
 @query(f"""WITH {SEARCH}, a AS (SELECT s.query_id, s.p_partkey, p.p_name, trim(regexp_replace(lower(p.p_name), '[^a-z0-9.,+\\-]+', ' ', 'g')) AS t, trim(regexp_replace(lower(p.p_name || ' ' || p.p_brand), '[^a-z0-9.,+\\-]+', ' ', 'g')) AS h,
  trim(regexp_replace(lower(p.p_name || ' ' || p.p_brand || ' ' || p.p_type), '[^a-z0-9.,+\\-]+', ' ', 'g')) AS whole, trim(regexp_replace(lower(q.p_name || ' ' || q.p_type), '[^a-z0-9.,+\\-]+', ' ', 'g')) AS k FROM s JOIN part p ON p.p_partkey = s.p_partkey JOIN part q ON q.p_partkey = s.query_id WHERE rank <= 5),
 b AS (SELECT *, list_distinct(list_filter(string_split(k, ' '), lambda x: length(x) >= 2)) AS ws FROM a),

@@ -12,7 +12,7 @@ from procure_spark.operators.split import markdown_tables, table_preview
 from procure_spark.plans.jobs import matching_text
 from procure_spark.queries.text import BLOCKS
 from procure_spark.registry import query, read, shared_dir
-from procure_spark.sources.html import page_attachments, page_products
+from procure_spark.sources.html import page_products
 from procure_spark.sources.tables import load_pages
 from procure_spark.streaming.jobs import stream_job_progress, stream_new_notices
 
@@ -219,7 +219,7 @@ def q03_matching_text(spark: SparkSession, d: str) -> DataFrame:
     return m.select("source", "blocks", F.sha2("matching_text", 256).alias("matching_text"))
 
 
-def _stream(spark: SparkSession, d: str, build, mode: str) -> DataFrame:
+def run_stream(spark: SparkSession, d: str, build, mode: str) -> DataFrame:
     """The result of a stream over the events' file, in a folder of its own."""
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     events = spark.readStream.schema(read(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
@@ -235,17 +235,12 @@ def _stream(spark: SparkSession, d: str, build, mode: str) -> DataFrame:
 @query("SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE value > 99)")
 def t01_stream_new_notices(spark: SparkSession, d: str) -> DataFrame:
     ledger = read(spark, d, "events").filter("value > 99").select("user_id").distinct()
-    return _stream(spark, d, lambda e: stream_new_notices(e, ledger, "user_id", "ts"), "append").select("user_id")
+    return run_stream(spark, d, lambda e: stream_new_notices(e, ledger, "user_id", "ts"), "append").select("user_id")
 
 
 @query("SELECT user_id % 20 AS job, user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY ALL")
 def t03_stream_job_progress(spark: SparkSession, d: str) -> DataFrame:
-    return _stream(spark, d, lambda e: stream_job_progress(e.withColumn("job", F.col("user_id") % 20), "job", "user_id", "event_id", "event_type"), "complete")
-
-
-@query()
-def x12_page_attachments(spark: SparkSession, d: str) -> DataFrame:
-    return page_attachments(read(spark, d, "pages"), ("/",))
+    return run_stream(spark, d, lambda e: stream_job_progress(e.withColumn("job", F.col("user_id") % 20), "job", "user_id", "event_id", "event_type"), "complete")
 
 
 @query(r"""WITH t AS (SELECT url, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h FROM pages)
