@@ -23,8 +23,8 @@ anchor's rows has all rows of the anchor in one task; it spills. Hashes of conte
 top of equal 64-bit anchors; within sorted parts bytes are compared.
 
 Defined cases: a null or empty text has no bytes; texts under ``LENGTH`` bytes lose nothing; rows that
-share a doc_id are told apart by their text, and equal rows count as one; rows with a null doc_id come
-first and lose nothing; texts of any length are treated whole; an empty table gives an empty result;
+share a doc_id are told apart by their text, and equal rows count as one; a null doc_id is an id like
+others, and the first; texts of any length are treated whole; an empty table gives an empty result;
 other columns are left out by ``dedup_substrings``.
 """
 
@@ -48,8 +48,11 @@ GRAMS = LENGTH - GRAM + 1
 #: Bytes by which multikey quicksort sorts before blind tries take over; contexts sorted in one block.
 SHALLOW, PART = 24, 2000
 
-#: Strings that a task sorts at once.
-AT_ONCE = 200_000
+#: Strings, and bytes of contexts, that a task sorts at once.
+AT_ONCE, BYTES = 200_000, 4_000_000
+
+#: Stands for a null doc_id: the least long.
+NO_ID = -(2**63)
 
 _random = np.random.default_rng(10)
 _LETTERS = _random.integers(0, 2**64, 256, dtype=np.uint64)
@@ -118,7 +121,7 @@ def tag_of(data: bytes) -> int:
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (h, c, doc, place)."""
+    """(doc, text) -> (h, c, doc, place)."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -137,9 +140,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
         cols = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 4
         return pd.DataFrame(dict(zip(("h", "c", "doc", "place"), cols, strict=True)))
 
-    # A null id comes first: as the least long.
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    return docs.select(doc.alias("doc"), "text").mapInPandas(emit, "h long, c long, doc long, place long")
+    return docs.mapInPandas(emit, "h long, c long, doc long, place long")
 
 
 def blind_trie(strings: list[bytes], members: list[int]) -> list[list[int]]:
@@ -180,32 +181,47 @@ def _common(a: bytes, b: bytes) -> int:
     return len(a) - ((int.from_bytes(a) ^ int.from_bytes(b)).bit_length() + 7) // 8
 
 
+def multikey_ties(data: bytes, starts: np.ndarray, depth: int = SHALLOW) -> list[np.ndarray]:
+    """Groups of two and more indices of ``starts`` whose strings agree in their first ``depth`` bytes.
+
+    Multikey quicksort by eight bytes at a time: in each round every segment is parted by its pivot into
+    smaller, equal and greater strings, all segments at once; equal ones go on with their next bytes.
+    Segments of one string are left, so that strings told apart from all others are sorted no further."""
+    words = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), 8)
+    index, at = np.arange(len(starts)), np.zeros(len(starts), np.int64)
+    begin = np.zeros(1, np.int64)  # of segments
+    tied: list[np.ndarray] = []
+    while len(index):
+        size = np.diff(np.append(begin, len(index)))
+        segment = np.repeat(np.arange(len(begin)), size)
+        key = words[starts[index] + at].view(">u8").ravel().astype(np.uint64)
+        pivot = key[begin + size // 2][segment]
+        side = (key >= pivot).astype(np.int64) + (key > pivot)
+        # Where strings go: behind those of smaller sides of their segment, and earlier ones of their own.
+        part = segment * 3 + side
+        count = np.bincount(part, minlength=3 * len(begin))
+        order = np.argsort(part, kind="stable")
+        index, at = index[order], at[order] + 8 * (side[order] == 1)
+        begin = np.cumsum(count) - count
+        ends, begin = (begin + count)[count > 1], begin[count > 1]
+        # Equal to a depth: ties. Other segments of two and more go on.
+        done = at[begin] >= depth
+        tied += [index[i:j] for i, j in zip(begin[done].tolist(), ends[done].tolist(), strict=True)]
+        begin, size = begin[~done], (ends - begin)[~done]
+        kept = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        index, at, begin = index[kept], at[kept], np.cumsum(size) - size
+    return tied
+
+
 def equal_strings(data: bytes, starts: np.ndarray) -> list[list[int]]:
     """Groups of two and more indices of ``starts`` at which equal strings of LENGTH bytes begin, by
-    deep-shallow sorting. Suffixes that are told apart from all others are left as soon as they are."""
-    raw = np.frombuffer(data, np.uint8).astype(np.uint64)
-    words = np.zeros(max(0, len(raw) - 7), np.uint64)
-    for i in range(8):
-        words = (words << np.uint64(8)) | raw[i : len(raw) - 7 + i]
-    order, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
-    for depth in range(0, SHALLOW, 8):
-        key = words[starts[order] + depth]
-        by = np.lexsort((key, group))
-        order, key, group = order[by], key[by], group[by]
-        split = np.ones(len(order), bool)
-        split[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
-        group = np.cumsum(split) - 1
-        tied = np.bincount(group, minlength=1)[group] > 1
-        order, group = order[tied], group[tied]
-    if not len(order):
+    deep-shallow sorting: multikey quicksort, and blind tries for what is still tied."""
+    if not len(starts):
         return []
     out = []
-    ends = np.concatenate([np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]]).tolist()
-    order, at, begin = order.tolist(), starts[order].tolist(), 0
-    for end in ends:
-        strings = [data[i : i + LENGTH] for i in at[begin:end]]
-        out += [x for x in blind_trie(strings, order[begin:end]) if len(x) > 1]
-        begin = end
+    for group in multikey_ties(data, starts):
+        strings = [data[i : i + LENGTH] for i in starts[group].tolist()]
+        out += [x for x in blind_trie(strings, group.tolist()) if len(x) > 1]
     return out
 
 
@@ -241,7 +257,7 @@ def sorted_units(contexts: DataFrame, hand_on: bool) -> DataFrame:
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
-        strings = 0
+        strings = size = 0
 
         def done(rows: list[tuple]) -> Iterator[pd.DataFrame]:
             runs: list[list[int]] = []
@@ -266,11 +282,12 @@ def sorted_units(contexts: DataFrame, hand_on: bool) -> DataFrame:
 
         for b in batches:  # sorted by unit
             for row in b.itertuples(index=False, name=None):
-                if strings >= (AT_ONCE // 4 if hand_on else AT_ONCE) and row[0] != held[-1][0]:
+                if (strings >= (AT_ONCE // 4 if hand_on else AT_ONCE) or size >= BYTES) and row[0] != held[-1][0]:
                     yield from done(held)
-                    held, strings = [], 0
+                    held, strings, size = [], 0, 0
                 held.append(row)
                 strings += (row[4] & 127) + 1
+                size += len(row[5])
         if held:
             yield from done(held)
 
@@ -314,15 +331,15 @@ def sorted_rounds(contexts: DataFrame, most: int) -> DataFrame:
 
 
 def cut_out(texts: DataFrame) -> DataFrame:
-    """(doc_id, text, disputed: array of (place, h, n)) -> the contexts."""
+    """(doc, text, disputed: array of (place, h, n)) -> the contexts."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc, text, disputed in zip(b["doc_id"], b["text"], b["disputed"], strict=True):
+            for doc, text, disputed in zip(b["doc"], b["text"], b["disputed"], strict=True):
                 if disputed is None or not len(disputed):
                     continue
-                data = text.encode("utf-8", "surrogatepass")
+                data = (text or "").encode("utf-8", "surrogatepass")
                 own = tag_of(data)
                 for d in disputed:
                     _, tag, first, last = unpacked(d["place"])
@@ -334,12 +351,12 @@ def cut_out(texts: DataFrame) -> DataFrame:
 
 
 def removed(texts: DataFrame) -> DataFrame:
-    """(doc_id, text, runs: array of (tag, start, end)) -> (doc_id, n_bytes, n_removed, n_spans, kept)."""
+    """(doc, text, runs: array of (tag, start, end)) -> (doc_id, n_bytes, n_removed, n_spans, kept_bytes)."""
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc, text, runs in zip(b["doc_id"], b["text"], b["runs"], strict=True):
+            for text, runs in zip(b["text"], b["runs"], strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 left, spans, gone, at, own = [], 0, 0, 0, tag_of(data)
                 to = -1  # the end of the last span
@@ -354,14 +371,15 @@ def removed(texts: DataFrame) -> DataFrame:
                         at = to = end
                 left.append(data[at:])
                 rows.append((len(data), gone, spans, b"".join(left)))
-            yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_bytes"]).assign(doc_id=b["doc_id"].array)
+            yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_bytes"]).assign(doc=b["doc"].array)
 
-    return texts.mapInPandas(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_bytes binary")
+    left = texts.mapInPandas(remove, "doc long, n_bytes long, n_removed long, n_spans long, kept_bytes binary")
+    return left.withColumnsRenamed({"doc": "doc_id"}).withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID)))
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_bytes, n_removed, n_spans, kept_bytes)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
     by_anchor = Window.partitionBy("h").orderBy("c", "doc", "place")
     whole = by_anchor.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = lambda name: F.coalesce(F.lag(name).over(by_anchor) == F.col(name), F.lit(False))
@@ -379,11 +397,11 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     resolved = found.filter("again").select("doc", tag.cast("int").alias("tag"), first.alias("start"), (first + F.col("place").bitwiseAND(127) + LENGTH).alias("end"))
     disputed = found.filter("not again").groupBy("doc").agg(F.collect_list(F.struct("place", "h", "n")).alias("disputed"))
     # Both joins need the texts by id; as both are left joins of the same columns, Spark shuffles the texts once.
-    sought = docs.join(disputed.withColumnRenamed("doc", "__doc"), docs["doc_id"] == F.col("__doc"), "left").select("doc_id", "text", "disputed")
+    sought = docs.join(disputed.withColumnRenamed("doc", "__doc"), docs["doc"] == F.col("__doc"), "left").select("doc", "text", "disputed")
     most = found.filter("not again").agg(F.max("n")).first()[0] or 0
     marked = resolved.unionByName(sorted_rounds(cut_out(sought), most))
     runs = marked.groupBy("doc").agg(F.collect_list(F.struct("tag", "start", "end")).alias("runs"))
-    final = docs.join(runs.withColumnRenamed("doc", "__doc"), docs["doc_id"] == F.col("__doc"), "left").select("doc_id", "text", "runs")
+    final = docs.join(runs.withColumnRenamed("doc", "__doc"), docs["doc"] == F.col("__doc"), "left").select("doc", "text", "runs")
     return removed(final)
 
 

@@ -173,6 +173,42 @@ def test_equal_rows_count_as_one(spark):
     assert [r[2] for r in got if r[0] == 1] == [0, 0]
 
 
+def test_multikey_quicksort_finds_all_ties():
+    rng = random.Random(9)
+    for n, letters in ((0, b"ab"), (1, b"ab"), (400, b"ab"), (3000, b"abcd"), (300, b"a")):
+        data = bytes(rng.choices(letters, k=n + 40))
+        starts = [rng.randrange(n + 1) for _ in range(n)]
+        wanted = {}
+        for i, at in enumerate(starts):
+            wanted.setdefault(data[at : at + 24], set()).add(i)
+        got = [set(g.tolist()) for g in sub.multikey_ties(data, sub.np.array(starts, sub.np.int64), 24)]
+        assert sorted(map(sorted, got)) == sorted(sorted(x) for x in wanted.values() if len(x) > 1)
+
+
+def test_null_ids_lose_their_own_repeats(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(None, f"{passage} | {passage}"), (3, f"a {passage} b"), (None, None)]
+    got = {(r["doc_id"], r["n_bytes"]): r for r in sub.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wanted = {(d if d >= 0 else None, n): (gone, spans) for d, n, gone, spans, _ in brute_sub([(-1, rows[0][1]), (3, rows[1][1]), (-2, None)])}
+    assert {k: (r["n_removed"], r["n_spans"]) for k, r in got.items()} == wanted
+
+
+def test_substring_query(spark, tmp_path):
+    rows = passages(random.Random(11))
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("x")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sub.op10_deep_shallow_dedup(spark, str(tmp_path))
+    assert dict(got.dtypes) == {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"}
+    assert sorted(map(tuple, got.collect())) == brute_sub(rows)
+
+
+def test_near_duplicate_query(spark, tmp_path):
+    rows = make(random.Random(12)) + [(9000, "long " * 30_000), (9001, "long " * 30_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = near.op7_hamming_neardup(spark, str(tmp_path))
+    assert dict(got.dtypes) == {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"}
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_near(rows)
+
+
 def test_blind_tries_group_and_order():
     rng = random.Random(7)
     strings = [bytes(rng.choices(b"ab", k=8)) for _ in range(300)]
