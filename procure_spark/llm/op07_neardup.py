@@ -12,9 +12,12 @@ similar ones less often; for 0.8, 12 chunks give 4e-6.
    (as many as there are classes), confirmed on full sets.
 3. Between members of a key that are not yet connected, all pairs within the distance of the
    signatures, and of longer ones, are confirmed on full sets. Keys of many members are cut into
-   blocks and every two blocks are compared as a unit of their own. First signatures say which members
+   blocks, those of a large component apart from others, and every two blocks that aren't of one and
+   the same component are compared as a unit of their own. First signatures say which members
    of a unit have a candidate at all; their full sets are brought to the unit and compared there, so
    that no row is made for a pair but a confirmed link, and pairs that a unit's links connect are left.
+   The longer signatures are a second loss: a pair of the similarity has more differing components
+   than ``long_errors`` with probability 1e-9.
 4. Connected components of the confirmed links are the groups.
 
 Defined cases: null and empty texts, and texts without a word, have an empty set and no links, and are
@@ -47,7 +50,7 @@ IN_CHUNK, CHUNKS = 4, 8
 LONG = 256
 
 #: Members of a key that are compared at once.
-BLOCK = 1024
+BLOCK = 512
 
 _random = np.random.default_rng(7)
 _LETTERS = _random.integers(0, 2**64, 256, dtype=np.uint64)
@@ -104,20 +107,21 @@ def long_errors(percent: int) -> int:
 
 
 def signed(docs: DataFrame, chunks: int) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_shingles, class, sig); class is a digest of the set."""
+    """(doc_id, text) -> (doc_id, text_hash, n_shingles, class, sig); class is a digest of the set."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [shingle_set(text) for text in b["text"]]
             yield pd.DataFrame({
                 "doc_id": b["doc_id"],
+                "text_hash": b["text_hash"],
                 "n_shingles": [len(s) for s in sets],
                 "class": [digest(s) if len(s) else None for s in sets],
                 "sig": [signature(s, chunks * IN_CHUNK, 16) if len(s) else None for s in sets],
             })
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(sign, f"doc_id {id_type}, n_shingles long, class binary, sig binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInPandas(sign, f"doc_id {id_type}, text_hash long, n_shingles long, class binary, sig binary")
 
 
 def keys(classes: DataFrame, chunks: int) -> DataFrame:
@@ -242,7 +246,7 @@ def unit_links(members: DataFrame, percent: int, chunks: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, chunks: int = CHUNKS) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_shingles, component_id, kept)."""
     documents = written(signed(docs, chunks), "op7-signatures")
-    classes = documents.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n"))
+    classes = documents.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n"))
     classes = written(classes, "op7-classes")
     keyed = keys(classes, chunks)
     # A random member of each key (another one for each, so that no odd document stands in for all).
@@ -252,7 +256,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, chunks: int = CHUNK
     sig = classes.select("class", "sig", "n")
     star = shared.filter(F.col("class") != F.col("pivot")).select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
     # Full sets and longer signatures of the classes that share any key, from one text of each.
-    wanted = shared.select("class").distinct().join(classes.select("class", F.col("rep").alias("doc_id")), "class")
+    wanted = shared.select("class").distinct().join(classes.select("class", "one.doc_id", "one.text_hash"), "class")
     sets = written(full_sets(docs, wanted), "op7-sets")
     star_links = written(confirmed(star, sets, percent), "op7-links")
     labels = components(star_links, "op7-components")
@@ -272,30 +276,43 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, chunks: int = CHUNK
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(class, hashes, long) of the wanted (class, doc_id)."""
+    """(class, hashes, long) of the wanted (class, doc_id, text_hash): one text of each class, told by both, as
+    rows may share an id."""
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for text, cls in zip(b["text"], b["class"], strict=True):
                 s = shingle_set(text)
-                if digest(s) == cls:  # rows may share a doc_id
+                if digest(s) == cls:
                     rows.append((cls, s.astype("<u8").tobytes(), signature(s, LONG, 8)))
             yield pd.DataFrame(rows, columns=["class", "hashes", "long"])
 
-    texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("class", "text")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["text_hash"] == wanted["text_hash"])).select("class", "text")
     return texts.mapInPandas(expand, "class binary, hashes binary, long binary").dropDuplicates(["class"])
 
 
 def in_blocks(members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """members with unit and side: keys of up to ``block`` members are one unit; larger ones are cut
-    into blocks by a hash, and every two blocks are one."""
-    n = F.ceil(F.col("members") / block).cast("int")
-    own = F.pmod(F.xxhash64("class", F.lit(3)), n).cast("int")
-    unit = members.withColumns({"__n": n, "__own": own}).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    side = F.when(F.col("__other") == F.col("__own"), -1).when(F.col("__own") < F.col("__other"), 0).otherwise(1)
-    key = F.xxhash64("key", F.least("__own", "__other"), F.greatest("__own", "__other"))
-    return unit.select(key.alias("unit"), side.alias("side"), "class", "slot", "sig", "long", "n", "label")
+    """members with unit and side. A key's members are cut into blocks of about ``block``: those of a label
+    that has as many there into blocks of its own, all others into mixed ones. Two blocks are a unit, unless
+    they are of one label; a mixed block is a unit by itself too (side -1)."""
+    per = members.groupBy("key", "label").agg(F.count("*").alias("__m"))
+    cut = lambda n: F.ceil(n / block).cast("int")
+    large = F.collect_list(F.when(F.col("__m") >= block, F.struct(F.col("label").alias("of"), cut(F.col("__m")).alias("n"))))
+    keys = per.groupBy("key").agg(large.alias("__large"), F.coalesce(F.sum(F.when(F.col("__m") < block, F.col("__m"))), F.lit(0)).alias("__small"))
+    numbers = lambda n: F.slice(F.sequence(F.lit(0), n), F.lit(1), n)  # noqa: E731  0 to n - 1
+    own_ones = F.flatten(F.transform("__large", lambda x: F.transform(numbers(x["n"]), lambda i: F.struct(x["of"].alias("of"), i.alias("no")))))
+    mixed = F.transform(numbers(cut(F.col("__small"))), lambda i: F.struct(F.lit(None).cast("binary").alias("of"), i.alias("no")))
+    keys = keys.select("key", F.concat(own_ones, mixed).alias("__blocks"), cut(F.col("__small")).alias("__mixed"))
+    own = F.when(F.col("__m") >= block, F.col("label")).alias("of")
+    number = F.pmod(F.xxhash64("class", F.lit(3)), F.when(F.col("__m") >= block, cut(F.col("__m"))).otherwise(F.col("__mixed"))).cast("int").alias("no")
+    rows = members.join(per, ["key", "label"]).join(keys, "key").withColumn("__own", F.struct(own, number))
+    rows = rows.withColumn("__at", (F.array_position("__blocks", F.col("__own")) - 1).cast("int"))
+    rows = rows.select("*", F.posexplode("__blocks").alias("__other", "__b")).filter(F.col("__own.of").isNull() | ~F.col("__b.of").eqNullSafe(F.col("__own.of")))
+    side = F.when(F.col("__other") == F.col("__at"), -1).when(F.col("__at") < F.col("__other"), 0).otherwise(1)
+    key = F.xxhash64("key", F.least("__at", "__other"), F.greatest("__at", "__other"))
+    return rows.select(key.alias("unit"), side.alias("side"), "class", "slot", "sig", "long", "n", "label")
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, chunks: int = CHUNKS) -> DataFrame:

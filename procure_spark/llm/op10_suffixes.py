@@ -18,9 +18,10 @@ A group of contexts that many documents share is sorted in rounds. First its con
 blocks of about ``PART`` by their places; a block marks all but the earliest of its equal strings and
 hands on the rest. These are dealt by their own hash, so that equal strings meet, and a string that is
 still found in many blocks is dealt into fewer blocks again, until one is left (``rounds``). So no unit
-that a task sorts grows with the number of documents that share a passage. The window that counts an
-anchor's rows has all rows of the anchor in one task; it spills. Hashes of contexts have 64 bits, on
-top of equal 64-bit anchors; within sorted parts bytes are compared.
+that a task sorts grows with the number of documents that share a passage. Nor has a window
+all rows of such an anchor: the most frequent anchors (``hottest``) are dealt by context and salt, and what
+is left of them, few rows a context, meets in a second step. Hashes of contexts have 64 bits, on top of
+equal 64-bit anchors; within sorted parts bytes are compared.
 
 Defined cases: a null or empty text has no bytes; texts under ``LENGTH`` bytes lose nothing; rows that
 share a doc_id are told apart by their text, and equal rows count as one; a null doc_id is an id like
@@ -54,6 +55,10 @@ AT_ONCE, BYTES = 200_000, 4_000_000
 #: Stands for a null doc_id: the least long.
 NO_ID = -(2**63)
 
+#: Of the documents one in SAMPLED tells which anchors are hot: the HOT most frequent ones at most, found
+#: HOT_COUNT times and more there. Rows of a hot context are dealt to SALTS tasks.
+SAMPLED, HOT, HOT_COUNT, SALTS = 64, 1000, 8, 1024
+
 _random = np.random.default_rng(10)
 _LETTERS = _random.integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = int(_random.integers(0, 2**62)) * 2 + 1
@@ -377,28 +382,55 @@ def removed(texts: DataFrame) -> DataFrame:
     return left.withColumnsRenamed({"doc": "doc_id"}).withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID)))
 
 
-def dedup_substrings(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_bytes, n_removed, n_spans, kept_bytes)."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
-    by_anchor = Window.partitionBy("h").orderBy("c", "doc", "place")
+def hottest(docs: DataFrame) -> list[int]:
+    """The anchors that most rows have, as far as a share of the documents tells: HOT numbers at most. They
+    are only dealt in another way; whether an anchor is among them changes no result."""
+    sampled = docs.filter(F.pmod(F.xxhash64("doc", F.lit(10)), F.lit(SAMPLED)) == 0)
+    counts = anchor_rows(sampled).groupBy("h").count().filter(F.col("count") >= HOT_COUNT)
+    return [r["h"] for r in counts.orderBy(F.desc("count"), "h").limit(HOT).collect()]
+
+
+def found_twice(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Anchors whose context has come before (doc, place), and those of different contexts of one anchor
+    (doc, place, h, n), n of them."""
+    hot = hottest(docs)
+    rows = anchor_rows(docs).withColumn("hot", F.col("h").isin(hot) if hot else F.lit(False))
+    # All rows of an anchor meet, but those of a hot one: there equal contexts do, and dealt by their text.
+    spread = F.when(F.col("hot"), F.struct("c", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).alias("salt")))
+    by_anchor = Window.partitionBy("h", spread).orderBy("c", "doc", "place")
     whole = by_anchor.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = lambda name: F.coalesce(F.lag(name).over(by_anchor) == F.col(name), F.lit(False))
-    found = anchor_rows(docs).select(
-        "doc", "place", "h",
+    found = rows.select(
+        "doc", "place", "h", "c", "hot",
         F.count("*").over(whole).alias("n"),
         before("c").alias("again"),
         (before("c") & before("doc") & before("place")).alias("same"),
         (F.first("c").over(whole) != F.last("c").over(whole)).alias("differ"),
     )
     # Equal rows have equal places; the first of them stands for all, as marks meet texts by doc_id and tag.
-    found = written(found.filter("not same and (again or differ)").drop("same"), "op10-anchors")
+    found = written(found.filter("not same and (again or differ or hot)").drop("same"), "op10-anchors")
+    # Of a hot context at most SALTS rows are left that none of their own salt came before.
+    firsts = found.filter("hot and not again")
+    firsts = firsts.withColumn("again", F.row_number().over(Window.partitionBy("h", "c").orderBy("doc", "place")) > 1)
+    firsts = firsts.select("doc", "place", "h", "again")
+    firsts = written(firsts, "op10-firsts") if hot else firsts
+    several = F.broadcast(firsts.filter("not again").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))  # HOT rows at most
+    again = found.filter("again").select("doc", "place").unionByName(firsts.filter("again").select("doc", "place"))
+    differing = found.filter("not hot and not again").select("doc", "place", "h", "n").unionByName(firsts.filter("not again").join(several, "h").select("doc", "place", "h", "n"))
+    return again, differing
+
+
+def dedup_substrings(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> (doc_id, n_bytes, n_removed, n_spans, kept_bytes)."""
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
+    again, differing = found_twice(docs)
     tag, at = F.shiftright("place", 14).bitwiseAND(0xFFFF), F.shiftright("place", 30)
     first = at - F.shiftright("place", 7).bitwiseAND(127)
-    resolved = found.filter("again").select("doc", tag.cast("int").alias("tag"), first.alias("start"), (first + F.col("place").bitwiseAND(127) + LENGTH).alias("end"))
-    disputed = found.filter("not again").groupBy("doc").agg(F.collect_list(F.struct("place", "h", "n")).alias("disputed"))
+    resolved = again.select("doc", tag.cast("int").alias("tag"), first.alias("start"), (first + F.col("place").bitwiseAND(127) + LENGTH).alias("end"))
+    disputed = differing.groupBy("doc").agg(F.collect_list(F.struct("place", "h", "n")).alias("disputed"))
     # Both joins need the texts by id; as both are left joins of the same columns, Spark shuffles the texts once.
     sought = docs.join(disputed.withColumnRenamed("doc", "__doc"), docs["doc"] == F.col("__doc"), "left").select("doc", "text", "disputed")
-    most = found.filter("not again").agg(F.max("n")).first()[0] or 0
+    most = differing.agg(F.max("n")).first()[0] or 0
     marked = resolved.unionByName(sorted_rounds(cut_out(sought), most))
     runs = marked.groupBy("doc").agg(F.collect_list(F.struct("tag", "start", "end")).alias("runs"))
     final = docs.join(runs.withColumnRenamed("doc", "__doc"), docs["doc"] == F.col("__doc"), "left").select("doc", "text", "runs")

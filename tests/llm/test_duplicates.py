@@ -66,6 +66,35 @@ def test_large_keys_are_compared_block_by_block(spark, monkeypatch):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_near(rows)
 
 
+def test_blocks_hold_every_pair_of_labels_once(spark):
+    rng = random.Random(16)
+    rows = [(k, bytes([k, i]), bytes([label])) for k, sizes in ((1, [20, 9, 1, 1, 2]), (2, [3, 2]), (3, [12, 12])) for label, n in enumerate(sizes) for i in range(label * 40, label * 40 + n)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "key long, class binary, label binary").withColumns({"slot": F.lit(0), "sig": F.lit(b""), "long": F.lit(b""), "n": F.lit(1)})
+    units = {}
+    for r in near.in_blocks(df, 8).collect():
+        units.setdefault(r["unit"], []).append((r["side"], bytes(r["class"]), bytes(r["label"])))
+    seen = {}
+    for held in units.values():
+        assert len(held) <= 60 and {s for s, _, _ in held} in ({0, 1}, {-1})
+        assert len({label for _, _, label in held}) > 1 or all(s == -1 for s, _, _ in held)
+        for s, a, la in held:
+            for t, b, lb in held:
+                if la != lb and a < b and ({s, t} == {0, 1} or s == -1):
+                    seen[a, b] = seen.get((a, b), 0) + 1
+    assert seen == {(a, b): 1 for k, a, la in rows for j, b, lb in rows if k == j and a < b and la != lb}
+
+
+def test_ids_that_many_texts_share(spark):
+    rng = random.Random(17)
+    rows = [(None, " ".join(f"t{rng.randrange(10**6)}" for _ in range(30))) for _ in range(40)]
+    rows += [(None, text + " more") for _, text in rows[:10]]
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 50 and all(r["component_id"] is None and r["kept"] for r in got)
+    kept = near.drop_near_duplicates(spark.createDataFrame([(5, text) for _, text in rows[:10]] + [(4, text + " more") for _, text in rows[:10]], "doc_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == {4}
+
+
 def test_repeated_and_null_ids(spark):
     text = " ".join(f"x{i}" for i in range(30))
     df = spark.createDataFrame([(1, text), (1, text), (1, "other words here"), (None, text), (None, "alone")], "doc_id long, text string")
@@ -143,6 +172,24 @@ def test_repeated_and_null_ids_of_substrings(spark):
     assert got == sorted([(1, True), (1, True), (1, True), (None, False), (2, True)], key=str)
 
 
+def test_hot_anchors_change_no_result(spark, monkeypatch):
+    rng = random.Random(15)
+    passage = " ".join(str(rng.random()) for _ in range(20))
+    rows = passages(rng) + [(1000 + i, f"{rng.random()} {passage} {rng.random()}" if i % 3 else passage) for i in range(150)] + [(1001, f"{rng.random()} {passage}")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    once = brute_sub([(d, t) for d, t in dict.fromkeys(rows) if d != 1001])
+    results = []
+    for sampled, count in ((64, 10**9), (1, 1), (1, 20)):
+        monkeypatch.setattr(sub, "SAMPLED", sampled)
+        monkeypatch.setattr(sub, "HOT_COUNT", count)
+        monkeypatch.setattr(sub, "SALTS", 7)
+        hot = sub.hottest(df.select(F.col("doc_id").alias("doc"), "text"))
+        assert bool(hot) == (count < 10**9) and len(hot) <= sub.HOT
+        results.append(sorted(map(tuple, sub.dedup_substrings(df).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256)).collect())))
+    assert results[0] == results[1] == results[2]
+    assert [r for r in results[0] if r[0] < 1000] == [r for r in once if r[0] < 1000]
+
+
 def test_no_unit_grows_with_a_passage(spark, monkeypatch):
     monkeypatch.setattr(sub, "PART", 8)
     rng = random.Random(8)
