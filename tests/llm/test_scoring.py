@@ -1,10 +1,12 @@
 """Quality classifier (5), outliers (6) and top-k search (8)."""
 
+import itertools
 import math
 import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from procure_spark.llm import op05_classifier as quality
@@ -101,12 +103,75 @@ def test_estimated_covariance_decides(spark):
     assert sum(got[i] for i in range(900)) >= 895
 
 
+ROWS = "grp string, up string, x array<double>, g array<double>"
+
+
+def row(grp, up, x):
+    return grp, up, [float(v) for v in x], [0.0] * outliers.D
+
+
 def test_mcd_resists_contamination(spark):
     rng = np.random.default_rng(4)
     good, bad = rng.normal(0, 3, (2000, outliers.D)), rng.normal(40, 1, (300, outliers.D))
-    rows = spark.createDataFrame([("g", *map(float, x)) for x in np.vstack([good, bad])], "grp string, " + ", ".join(f"x{i} double" for i in range(outliers.D)))
-    f = outliers.fit(rows).first()
-    assert all(abs(f[f"m{i}"]) < 0.4 for i in range(outliers.D)) and all(0.6 < f[f"i{i}{i}"] * 9 < 1.6 for i in range(outliers.D))
+    f = outliers.fit(spark.createDataFrame([row("g", None, x) for x in np.vstack([good, bad])], ROWS)).first()
+    diagonal = [x for x, (i, j) in zip(f["i"], outliers.PAIRS, strict=True) if i == j]
+    assert all(abs(x) < 0.4 for x in f["m"]) and all(0.6 < x * 9 < 1.6 for x in diagonal)
+
+
+def test_fits_equal_the_least_determinant_of_all_subsets(spark):
+    rng, n, h, d = np.random.default_rng(8), 14, 11, outliers.D
+    groups = {}
+    for g in range(3):
+        x = rng.normal(0, 1, (n, d)) @ rng.normal(0, 1, (d, d))
+        x[: n - h] += 60 * rng.normal(0, 1, (n - h, d) if g else d)  # a cluster of outliers, or each on its own
+        groups[f"g{g}"] = x
+    fits = {r["grp"]: r for r in outliers.fit(spark.createDataFrame([row(g, None, r) for g, x in groups.items() for r in x], ROWS), cover=h / n).collect()}
+    for g, x in groups.items():
+        subsets = [list(s) for s in itertools.combinations(range(n), h)]
+        least = min(subsets, key=lambda s: np.linalg.slogdet(np.cov(x[s].T))[1])
+        assert fits[g]["n"] == h and np.allclose(fits[g]["m"], x[least].mean(axis=0), atol=1e-6), g
+
+
+def test_small_groups_lean_on_their_language(spark):
+    rng, d = np.random.default_rng(9), outliers.D
+    rows = [row("l", None, x) for x in rng.normal(0, 2, (1500, d))] + [row("l-few", "l", x) for x in rng.normal(1, 0.01, (3, d))] + [row("l-many", "l", x) for x in rng.normal(1, 5, (1500, d))]
+    f = {r["grp"]: r for r in outliers.fit(spark.createDataFrame(rows, ROWS)).collect()}
+    assert set(f) == {"l", "l-few", "l-many"}
+    assert all(0.5 * f["l"]["v"][i] < f["l-few"]["v"][i] < 1.1 * f["l"]["v"][i] and abs(f["l-few"]["m"][i]) < 0.4 for i in range(d))
+    assert all(15 < f["l-many"]["v"][i] < 40 and 0.5 < f["l-many"]["m"][i] < 1.5 for i in range(d))
+
+
+def test_constant_groups_ties_and_long_texts(spark):
+    same = "alpha beta gamma delta " * 3 + " ".join(f"w{i}" for i in range(90))
+    rows = [(i, same, "en", "s") for i in range(60)] + [(100, " ".join(f"word{i}" for i in range(60_000)), "en", "long"), (101, same, None, None), (101, same, None, None)]
+    got = {r["doc_id"]: r for r in outliers.judge(spark.createDataFrame(rows, "doc_id int, text string, lang string, source string")).collect()}
+    assert all(got[i]["kept"] and got[i]["distance"] < 1 for i in range(60)) and got[101]["kept"] and got[100]["n_words"] == 60_000
+
+
+def test_outlier_query(spark, tmp_path):
+    rng = random.Random(13)
+    rows = [(i, " ".join(f"{rng.choice('abc')}{rng.randrange(99)}" for _ in range(rng.randrange(30, 90))), rng.choice(["en", None]), f"s{i % 4}") for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = outliers.op6_robust_outliers(spark, str(tmp_path))
+    wanted = {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"}
+    assert {k: v for k, v in got.dtypes if k in wanted} == wanted
+    for r in got.collect():
+        counts = brute_stats(rows[r["doc_id"]][1])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == counts
+        assert r["base_failed"] == (counts[0] < 50 or 100 * counts[4] > 50 * counts[0]) and not (r["base_failed"] and r["kept"])
+
+
+def test_quality_query(spark, tmp_path):
+    rng = random.Random(14)
+    texts = [prose(rng) if i % 3 else junk(rng) for i in range(400)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(380)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = quality.op5_rule_ensemble(spark, str(tmp_path))
+    assert dict(got.dtypes) == {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"}
+    rows = got.collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+    held = [r for r in rows if r["held_out"]]
+    assert len(rows) == 400 and sum(r["predicted"] == int(r["doc_id"] % 3 > 0) for r in held) / len(held) > 0.95
 
 
 def brute_top(vectors, k):
@@ -126,12 +191,39 @@ def test_top_k_equals_brute_force(spark):
     vectors += [(400, None), (450, [None] * 20), (451, [float("nan")] * 20), (452, [float("inf")] * 20), (500, [1.0, 2.0]), (501, [3.0, 1.0]), (None, same), (550, [])]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("rank", F.lit("clash")).repartition(5)
     rows = topk.usable(df, "vec_id", "embedding")
-    got = topk.top_k(rows.filter("id % 50 = 0"), rows, block=64)
+    got = topk.top_k(rows.filter("id % 50 = 0"), rows, block=64, query_block=5)
     assert sorted(map(tuple, got.collect())) == brute_top(vectors, 5)
     none = rows.limit(0)
     assert topk.top_k(none, none).count() == 0
 
 
+def test_large_components_are_exact(spark):
+    vectors = [(0, [1.0, 2.0]), (50, [2.0, 1.0]), (51, [2e12, 1.0]), (52, [2e12, 1.0 + 2**-8]), (53, [3e8, -3e8]), (100, [-3.0, 5.0])]
+    rows = topk.usable(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got = topk.top_k(rows.filter("id % 50 = 0"), rows).collect()
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in vectors}
+    wanted = []
+    for q in (0, 50, 100):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:5]
+        wanted += [(q, r, i, -x) for r, (x, i) in enumerate(best, 1)]
+    assert sorted(map(tuple, got)) == sorted(wanted) and [w[2] for w in wanted if w[1] == 1] == [52, 52, 0]
+    huge = topk.usable(spark.createDataFrame([(0, [1e13]), (1, [1e13])], "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    with pytest.raises(Exception, match="beyond the range of long"):
+        topk.top_k(huge, huge).collect()
+
+
+def test_bounds_drop_most_candidates_of_structured_vectors():
+    rng = np.random.default_rng(10)
+    steps = np.cumsum(rng.normal(0, 1, (4000, 64)), axis=1)  # smooth vectors, as of time series
+    v = np.floor(256 * steps)
+    q, told = v[::50], {}
+    best = topk.search(np.arange(0, 4000, 50), q, np.arange(4000), v, 5, told=told)
+    assert len(best) == 400 and told[1] >= told[4] >= told[16] >= told[32] and told[16] < 0.35 * told["pairs"]
+    score = q @ v.T
+    score[np.arange(80), np.arange(0, 4000, 50)] = -np.inf
+    assert [x[2] for x in best] == [int(x) for row in score for x in sorted(row, reverse=True)[:5]]
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(6)
     q, v = rng.integers(-500, 500, (5, 64)), rng.integers(-500, 500, (300, 64))
