@@ -311,6 +311,54 @@ def strip_markdown(col: Column) -> Column:
     return F.regexp_replace(chain(blank(col), (r"\*\*|\*|__|_", ""), (r"#+\s+", ""), (r"(?m)^-{3,}\s*$", ""), (r"\n{3,}", "\n\n")), r"^\s+|\s+$", "")
 
 
+def table_row(line: Column) -> Column:
+    """A line of a pipe table: one pipe between cells and at both ends, cells trimmed."""
+    inner = chain(line, (r"\|\|+", "|"), (r"^\s+|\s+$", ""), (r"^\|+|\|+$", ""))
+    return F.concat(F.lit("| "), F.array_join(F.transform(F.split(inner, "\\|"), lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")), " | "), F.lit(" |"))
+
+
+def repair_report(col: Column, title: str = L.REPORT_TITLE, empty: str = L.REPORT_EMPTY, sections: str = L.REPORT_SECTION) -> Column:
+    """A report in Markdown: headings start lines, one title stands first, every pipe table has even rows and a
+    separator below its first. A blank report is the title and a note."""
+    text = F.regexp_replace(F.replace(blank(col), F.lit("\r\n"), F.lit("\n")), r"^\s+|\s+$", "")
+    words = title.lstrip("# ")
+    text = F.regexp_replace(text, rf"(?U)(?<!\n)(##\s+(?:{sections})|#\s+\Q{words}\E)", "\n$1")
+    # Of several titles the first; what stands before it goes.
+    times = (F.length(text) - F.length(F.replace(text, F.lit(title), F.lit("")))) / len(title)
+    tail = F.regexp_replace(F.substr(text, F.instr(text, title)), rf"(?:\n|^)\Q{title}\E\n*", "\n")
+    text = F.when(times > 1, F.concat(F.lit(f"{title}\n\n"), F.regexp_replace(tail, r"^\s+|\s+$", ""))).otherwise(text)
+    headed = F.startswith(F.regexp_replace(text, r"^\s+", ""), F.lit(title))
+    text = F.when(headed, text).otherwise(F.concat(F.lit(f"{title}\n\n"), F.regexp_replace(text, r"^\s+|\s+$", "")))
+    tabular = lambda x: F.contains(x, F.lit(" | ")) | x.rlike(r"^\s*\|") | (F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit(""))) >= 2)
+    # A heading and a table's first row in one line are two.
+    rows = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"\s+$", ""))
+    glued = lambda x: F.array(F.trim(F.substring_index(x, "|", 1)), F.substr(x, F.instr(x, "|")))
+    rows = F.flatten(F.transform(rows, lambda x: F.when(tabular(x) & x.rlike(r"^\s*## "), glued(x)).otherwise(F.array(x))))
+    rows = F.transform(rows, lambda x: F.struct(tabular(x).alias("table"), F.when(tabular(x), table_row(x)).otherwise(x).alias("line")))
+
+    def whole(x: Column, before: Column, after: Column) -> Column:
+        first = x["table"] & ~F.coalesce(before["table"], F.lit(False))
+        ruled = F.coalesce(after["table"] & after["line"].rlike(r"^\|\s*:?-{3,}:?(?:\s*\|\s*:?-{3,}:?)+\s*\|$"), F.lit(False))
+        rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.size(F.split(x["line"], "\\|")) - 2))
+        return F.when(first & ~ruled, F.concat_ws("\n", x["line"], rule)).otherwise(x["line"])
+
+    out = F.transform(F.arrays_zip(rows.alias("x"), F.concat(F.array(F.lit(None)), F.slice(rows, 1, F.size(rows) - 1)).alias("b"), F.concat(F.slice(rows, 2, F.size(rows)), F.array(F.lit(None))).alias("a")), lambda z: whole(z["x"], z["b"], z["a"]))
+    repaired = chain(F.array_join(out, "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", ""))
+    return F.when(F.regexp_replace(blank(col), r"\s", "") == "", F.lit(f"{title}\n\n{empty}")).otherwise(repaired)
+
+
+def distinct_sources(col: Column, most: int = 500) -> Column:
+    """An array of structs (file, page_or_sheet, fragment_type, evidence), each once whatever its case, at its
+    first place; without such as name neither file nor evidence; evidence cut to ``most`` characters."""
+    fields = ("file", "page_or_sheet", "fragment_type", "evidence")
+    even = lambda x: chain(F.replace(blank(x), F.lit(NBSP), F.lit(" ")), (r"^\s+|\s+$", ""), (r"\s{2,}", " "))
+    clean = F.transform(col, lambda s: F.struct(*[even(s[f]).alias(f) for f in fields]))
+    told = F.filter(clean, lambda s: (s["file"] != "") | (s["evidence"] != ""))
+    keys = F.transform(told, lambda s: F.array(*[F.lower(s[f]) for f in fields]))
+    once = F.filter(told, lambda s, i: F.array_position(keys, F.array(*[F.lower(s[f]) for f in fields])) == i + 1)
+    return F.coalesce(F.transform(once, lambda s: s.withField("evidence", F.substring(s["evidence"], 1, most))), F.array().cast("array<struct<file:string,page_or_sheet:string,fragment_type:string,evidence:string>>"))
+
+
 def parse_json_lenient(col: Column, schema: str) -> Column:
     """JSON between the outermost braces, fences and commas before a closing brace left out."""
     body = F.regexp_extract(F.regexp_replace(blank(col), "```(?:json)?|﻿", ""), r"(?s)(\{.*\})", 1)

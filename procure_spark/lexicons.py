@@ -198,6 +198,11 @@ MAGIC = {"pdf": ["25504446"], "docx": ["504B0304"], "xlsx": ["504B0304"], "zip":
 #: Marks of links to files.
 DOWNLOAD_MARKS = ("download", "downloadfile", "download.html?id=", "attachment", "filestore")
 
+#: A report's title, what an empty one says, and how its sections begin (a pattern).
+REPORT_TITLE = "# Юридическое заключение по тендеру"
+REPORT_EMPTY = "Отчет не сформирован."
+REPORT_SECTION = r"\d|Краткое резюме"
+
 REPORT_HEADERS = [
     "## 0. Карточка Заказчика",
     "## 1. Риски участия и исполнения договора",

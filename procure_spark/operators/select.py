@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def take_budget_prefix(df: DataFrame, group: Sequence[str], order: Sequence[Column], size: Column, budget: int) -> DataFrame:
@@ -16,21 +18,29 @@ def take_budget_prefix(df: DataFrame, group: Sequence[str], order: Sequence[Colu
 
 def take_budget_greedy(df: DataFrame, group: Sequence[str], key: str, order: Sequence[str], size: str, budget: int, skip_reason: Column | None = None) -> DataFrame:
     """(group, key, reason): in order, rows that still fit are taken (reason null), others skipped
-    (``over_budget``); rows with a reason of their own never count. Only keys, orders and sizes of a
-    group come together, in a fold; they meet their texts again by key."""
+    (``over_budget``); rows with a reason of their own never count. What a row may take depends on all before
+    it, so a group is gone through in order: sorted keys and sizes alone, one at a time, with a running sum;
+    they meet their texts again by key. Rows larger than the budget never fit and aren't sorted."""
     reason = skip_reason if skip_reason is not None else F.lit(None).cast("string")
-    lean = df.select(*group, key, *[F.col(o).alias(f"__o{i}") for i, o in enumerate(order)], F.col(size).cast("long").alias("__size"), reason.alias("__why"))
+    lean = df.select(*group, key, *[F.col(o).alias(f"__o{i}") for i, o in enumerate(order)], F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")).alias("__size"), reason.alias("__why"))
+    lean = lean.withColumn("__why", F.coalesce("__why", F.when(F.col("__size") > budget, "over_budget")))
     own = lean.filter("__why is not null").select(*group, key, F.col("__why").alias("reason"))
-    fields = [*(f"__o{i}" for i in range(len(order))), key, "__size"]
-    rows = lean.filter("__why is null").groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<k:{df.schema[key].dataType.simpleString()},ok:boolean>>").alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        fits = acc["used"] + r["__size"] <= budget
-        return F.struct(F.when(fits, acc["used"] + r["__size"]).otherwise(acc["used"]).alias("used"), F.array_append(acc["out"], F.struct(r[key].alias("k"), fits.alias("ok"))).alias("out"))
-
-    taken = rows.select(*group, F.explode(F.aggregate("rows", start, step, lambda a: a["out"])).alias("x"))
-    return taken.select(*group, F.col("x.k").alias(key), F.when(~F.col("x.ok"), "over_budget").alias("reason")).unionByName(own)
+    in_order = Window.partitionBy(*group).orderBy(*[f"__o{i}" for i in range(len(order))], key, "__size")
+    rows = lean.filter("__why is null").select(*group, key, "__size", (F.row_number().over(in_order) == 1).alias("__first"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = 0
+        for b in batches:
+            reasons = []
+            for first, n in zip(b.column("__first").to_pylist(), b.column("__size").to_pylist(), strict=True):
+                used = 0 if first else used
+                fits = used + n <= budget
+                used += n if fits else 0
+                reasons.append(None if fits else "over_budget")
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*group, key)), pa.array(reasons, pa.string())], names=[*group, key, "reason"])
+
+    schema = T.StructType([*(rows.schema[c] for c in (*group, key)), T.StructField("reason", T.StringType())])
+    return rows.mapInArrow(fold, schema).unionByName(own)
 
 
 def select_sections(df: DataFrame, group: Sequence[str], order: Sequence[str], text: str, start: str, end: str, excluded: str) -> DataFrame:

@@ -208,6 +208,24 @@ def a20_report_summary(spark: SparkSession, d: str) -> DataFrame:
     return report_summary(read(spark, d, "part").select("p_partkey", text.alias("r")), "r", "## 1. Риски", "## 2.").select("p_partkey", "summary")
 
 
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '# Юридическое заключение по тендеру' || chr(10) || chr(10) || p_name WHEN 1 THEN '# Юридическое заключение по тендеру' || chr(10) || chr(10) || 'a' || chr(10) || '## 1. ' || p_name || chr(10) || '| x | ' || p_size || ' |' || chr(10) || '| --- | --- |'
+ WHEN 2 THEN '# Юридическое заключение по тендеру' || chr(10) || chr(10) || p_name || chr(10) || 'b' ELSE '# Юридическое заключение по тендеру' || chr(10) || chr(10) || 'Отчет не сформирован.' END AS report FROM part""")
+def c36_repair_report(spark: SparkSession, d: str) -> DataFrame:
+    title = "# Юридическое заключение по тендеру"
+    raw = by_key(said("\n", "p_name", "\r\n"), said("a## 1. ", "p_name", " | x || ", "p_size", " |"), said(f"old {title}\n", "p_name", f"\n{title}\n\n\nb"), F.lit(None).cast("string"))
+    return read(spark, d, "part").select("p_partkey", T.repair_report(raw).alias("report"))
+
+
+@query("""SELECT p_partkey, p_brand || ':' || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'стр. ' || p_size END || ':' || p_name || CASE WHEN p_partkey % 3 = 0 THEN '|::' || p_type ELSE '' END AS sources FROM part""")
+def c37_distinct_sources(spark: SparkSession, d: str) -> DataFrame:
+    page = F.when(F.col("p_partkey") % 2 == 1, said(" стр.  ", "p_size"))
+    one = lambda f, p, e: F.struct(f.alias("file"), p.alias("page_or_sheet"), F.lit("spec").alias("fragment_type"), e.alias("evidence"))
+    none = F.lit(None).cast("string")
+    found = F.array(one(F.col("p_brand"), page, F.col("p_name")), one(F.upper("p_brand"), page, F.upper("p_name")), one(F.lit(" "), page, none), one(none, none, F.when(F.col("p_partkey") % 3 == 0, F.col("p_type"))))
+    told = F.transform(T.distinct_sources(found), lambda s: F.concat_ws(":", s["file"], s["page_or_sheet"], s["evidence"]))
+    return read(spark, d, "part").select("p_partkey", F.array_join(told, "|").alias("sources"))
+
+
 @query(f"""WITH {BLOCKS.format(text="text")},
 g AS (SELECT source, doc_id::VARCHAR AS name, row_number() OVER (PARTITION BY doc_id ORDER BY i, p) AS pos, substr(b, 1, 3500) AS block FROM blocks JOIN documents USING (doc_id)),
 s AS (SELECT *, 3 + contains(lower(block), 'the')::INT AS score FROM g),

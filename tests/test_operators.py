@@ -104,6 +104,31 @@ def test_reports(spark):
     assert rollup.report_summary(df, "r", "## 1. Риски", "## 2. Конец").first()["summary"] == "текст\nещё"
 
 
+TITLE = "# Юридическое заключение по тендеру"
+
+
+def test_reports_are_repaired(spark):
+    from procure_spark.functions import text as T
+
+    rows = [
+        (None, f"{TITLE}\n\nОтчет не сформирован."), (" \r\n", f"{TITLE}\n\nОтчет не сформирован."), ("текст", f"{TITLE}\n\nтекст"),
+        (f"мусор {TITLE}\n\n\n\nа ## 1. Риски | х | у |\n| 1 || 2\nконец", f"{TITLE}\n\nмусор\n{TITLE}\n\nа\n## 1. Риски\n| х | у |\n| --- | --- |\n| 1 | 2 |\nконец"),
+        (f"x{TITLE}\nа\n{TITLE}\nб## Краткое резюме", f"{TITLE}\n\nа\nб\n## Краткое резюме"),
+        (f"{TITLE}\n| a | b |\n|---|:---:|\n|1|2|\n\n| одна |", f"{TITLE}\n| a | b |\n| --- | :---: |\n| 1 | 2 |\n\n| одна |\n| --- |"),
+    ]
+    got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string").select("i", T.repair_report(F.col("t")).alias("r")).collect()
+    assert {r["i"]: r["r"] for r in got} == {i: w for i, (_, w) in enumerate(rows)}
+
+
+def test_sources_are_united(spark):
+    from procure_spark.functions import text as T
+
+    rows = [("a.docx", " 1 ", "spec", "x" * 600), ("A.DOCX", "1", "Spec", "X" * 600), (None, "2", "spec", " "), (None, None, None, "б  в"), ("b", None, None, None)]
+    schema = "s array<struct<file:string,page_or_sheet:string,fragment_type:string,evidence:string>>"
+    got = [r[0] for r in spark.createDataFrame([(rows,), (None,), ([],)], schema).select(T.distinct_sources(F.col("s"))).collect()]
+    assert [tuple(x) for x in got[0]] == [("a.docx", "1", "spec", "x" * 500), ("", "", "", "б в"), ("b", "", "", "")] and got[1] == got[2] == []
+
+
 def test_requirement_extraction(spark):
     text = "Вступление\nТехническое задание\nКирпич красный | 1 200 | шт | прочность не менее 100\nМастика битумная 20 кг\nСертификат обязателен\nПроект договора\nШтраф 1 %"
     docs = spark.createDataFrame([("d", text)], "doc string, text string")
