@@ -61,7 +61,7 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    if len(_powers.get(base, ())) < n:
+    if base not in _powers or len(_powers[base]) < n:
         step = np.full(max(n, 1 << 16), base, np.uint64)
         step[0] = 1
         _powers[base] = np.multiply.accumulate(step)

@@ -80,3 +80,10 @@ def test_redaction_keeps_rows_and_other_columns(spark):
     got = sorted(map(tuple, op.redact(df).collect()), key=str)
     assert got == [(1, "[assign]!", "s")] * 2 + [(2, None, "t")]
     assert op.scan(df.limit(0)).count() == 0 and op.scan(df).columns.count("spans") == 1
+
+
+def test_query(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = op.op1_multipart_secrets(spark, str(tmp_path))
+    assert dict(got.dtypes) == {"doc_id": "bigint", "n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint", "base_sha256": "string", "spans": "string"}
+    assert {r["doc_id"]: r["spans"] for r in got.collect()} == {i: spans(t or "") for i, t in enumerate(TEXTS)}

@@ -63,5 +63,25 @@ def test_round_trip_and_rows(spark):
     key = lambda r: (r["doc_id"], r["rank"], r["ids"], r["perturbed"])
     assert sorted(map(key, rows), key=str) == sorted(map(key, again), key=str)
     assert op.sample(df.limit(0)).count() == 0
+    assert [r["ids"] for r in op.sample(df.filter("doc_id < 2").coalesce(1)).collect()] == [[], []]
     back = op.decode(op.sample(df, k=1).drop("text")).collect()
     assert {r["doc_id"]: r["text"] for r in back} == {i: t or "" for i, t in enumerate(ODD)}
+
+
+def test_lattices_are_kept_cleared_and_drawn_from_in_pieces(vocab, monkeypatch):
+    texts = ["then an of the word, " * 30 + str(i) for i in range(20)] + ["", "é" * 700, "x y" * 900]
+    seeds = list(range(len(texts)))
+    whole = op.top_segmentations(texts, vocab, 3, seeds)
+    monkeypatch.setattr(op, "AT_ONCE", 50)
+    lattices = op.Lattices(vocab, room=20)
+    pieces = op.top_segmentations(texts, vocab, 3, seeds, lattices)
+    one = [op.top_segmentations([t], vocab, 3, [s])[0] for t, s in zip(texts, seeds, strict=True)]
+    plain = lambda drawn: [[(p, g, q, ids.tolist(), same) for p, g, q, ids, same in own] for own in drawn]
+    assert plain(whole) == plain(pieces) == plain(one) and lattices.times > 3
+    assert all(same and op.decode_ids(ids.tolist(), vocab["table"]) == t for own, t in zip(whole, texts, strict=True) for _, _, _, ids, same in own)
+
+
+def test_query(spark, tmp_path):
+    spark.createDataFrame([(1, "two words"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = op.op2_gumbel_pieces(spark, str(tmp_path)).collect()
+    assert [(r["doc_id"], r["rank"], r["round_trip"]) for r in sorted(got)] == [(1, 1, True), (1, 2, True), (2, 1, True)]
