@@ -55,7 +55,7 @@ AT_ONCE, BYTES = 200_000, 4_000_000
 #: Stands for a null doc_id: the least long.
 NO_ID = -(2**63)
 
-#: Of the documents one in SAMPLED tells which anchors are hot: the HOT most frequent ones at most, found
+#: Of the documents one in SAMPLED tells which anchors are hot: those of more than one in HOT rows, found
 #: HOT_COUNT times and more there. Rows of a hot context are dealt to SALTS tasks.
 SAMPLED, HOT, HOT_COUNT, SALTS = 64, 1000, 8, 1024
 
@@ -383,11 +383,13 @@ def removed(texts: DataFrame) -> DataFrame:
 
 
 def hottest(docs: DataFrame) -> list[int]:
-    """The anchors that most rows have, as far as a share of the documents tells: HOT numbers at most. They
-    are only dealt in another way; whether an anchor is among them changes no result."""
+    """The anchors that more than one in HOT of all rows have, as far as a share of the documents tells: few
+    more than HOT numbers, by their definition, and no more than twice that. They are only dealt in another
+    way; whether an anchor is among them changes no result."""
     sampled = docs.filter(F.pmod(F.xxhash64("doc", F.lit(10)), F.lit(SAMPLED)) == 0)
-    counts = anchor_rows(sampled).groupBy("h").count().filter(F.col("count") >= HOT_COUNT)
-    return [r["h"] for r in counts.orderBy(F.desc("count"), "h").limit(HOT).collect()]
+    rows = (sampled.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / GRAMS * 2  # about: two anchors in GRAMS bytes
+    counts = anchor_rows(sampled).groupBy("h").count().filter(F.col("count") >= max(HOT_COUNT, rows / HOT))
+    return [r["h"] for r in counts.orderBy(F.desc("count"), "h").limit(2 * HOT).collect()]
 
 
 def found_twice(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -396,7 +398,7 @@ def found_twice(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hot = hottest(docs)
     rows = anchor_rows(docs).withColumn("hot", F.col("h").isin(hot) if hot else F.lit(False))
     # All rows of an anchor meet, but those of a hot one: there equal contexts do, and dealt by their text.
-    spread = F.when(F.col("hot"), F.struct("c", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).alias("salt")))
+    spread = F.when(F.col("hot"), F.xxhash64("c", F.pmod(F.xxhash64("doc"), F.lit(SALTS)))).otherwise(F.lit(0).cast("long"))
     by_anchor = Window.partitionBy("h", spread).orderBy("c", "doc", "place")
     whole = by_anchor.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = lambda name: F.coalesce(F.lag(name).over(by_anchor) == F.col(name), F.lit(False))
@@ -414,7 +416,7 @@ def found_twice(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     firsts = firsts.withColumn("again", F.row_number().over(Window.partitionBy("h", "c").orderBy("doc", "place")) > 1)
     firsts = firsts.select("doc", "place", "h", "again")
     firsts = written(firsts, "op10-firsts") if hot else firsts
-    several = F.broadcast(firsts.filter("not again").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))  # HOT rows at most
+    several = F.broadcast(firsts.filter("not again").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))  # a row for each of the hot ones at most
     again = found.filter("again").select("doc", "place").unionByName(firsts.filter("again").select("doc", "place"))
     differing = found.filter("not hot and not again").select("doc", "place", "h", "n").unionByName(firsts.filter("not again").join(several, "h").select("doc", "place", "h", "n"))
     return again, differing

@@ -180,6 +180,7 @@ def test_hot_anchors_change_no_result(spark, monkeypatch):
     once = brute_sub([(d, t) for d, t in dict.fromkeys(rows) if d != 1001])
     results = []
     for sampled, count in ((64, 10**9), (1, 1), (1, 20)):
+        monkeypatch.setattr(sub, "HOT", 10**6)
         monkeypatch.setattr(sub, "SAMPLED", sampled)
         monkeypatch.setattr(sub, "HOT_COUNT", count)
         monkeypatch.setattr(sub, "SALTS", 7)
