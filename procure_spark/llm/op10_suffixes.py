@@ -317,8 +317,8 @@ def sorted_rounds(contexts: DataFrame, most: int) -> DataFrame:
     # Equal rows have equal contexts, which no block would part.
     own, left = F.xxhash64("doc", "place"), contexts.filter(F.col("n") > PART).distinct()
     for k, size in enumerate(rounds(most)):
-        parts = F.ceil(F.col("n") / PART)
-        # From the second round on, rows are strings and dealt by what they are.
+        # From the second round on, rows are strings, up to GRAMS and more of a context, and dealt by what they are.
+        parts = F.ceil(F.col("n") * (GRAMS if k else 1) / PART)
         of = F.pmod(F.xxhash64("context"), parts) if k else F.lit(0)
         block = F.pmod(own, F.ceil(F.col("n") / size))
         last = size >= most
