@@ -245,8 +245,15 @@ def unit_links(members: DataFrame, percent: int, chunks: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, chunks: int = CHUNKS) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_shingles, component_id, kept)."""
+    return grouped(docs, percent, chunks).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def grouped(docs: DataFrame, percent: int = PERCENT, chunks: int = CHUNKS) -> DataFrame:
+    """(doc_id, text) -> (doc_id, text_hash, n_shingles, component_id, first): a row for each row. first is the
+    hash of a text under the group's least id, the least hash if there are several."""
     documents = written(signed(docs, chunks), "op7-signatures")
-    classes = documents.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n"))
+    # A struct's null would come first; ids that are null come last.
+    classes = documents.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n"))
     classes = written(classes, "op7-classes")
     keyed = keys(classes, chunks)
     # A random member of each key (another one for each, so that no odd document stands in for all).
@@ -268,11 +275,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, chunks: int = CHUNK
     more = written(unit_links(met.join(sets.select("class", "hashes"), "class"), percent, chunks), "op7-links")
     labels = components(star_links.unionByName(more), "op7-components")
     named = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    groups = named.join(least, "label").select("class", "component_id")
+    least = named.groupBy("label").agg(F.min("rep").alias("component_id"), F.min("one")["text_hash"].alias("first"))
+    groups = named.join(least, "label").select("class", "component_id", "first")
     own = documents.join(groups, "class", "left")
-    own = own.withColumn("component_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return own.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    lonely = F.col("class").isNull()
+    return own.select("doc_id", "text_hash", "n_shingles", F.when(lonely, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(lonely, F.col("text_hash")).otherwise(F.col("first")).alias("first"))
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -316,9 +323,12 @@ def in_blocks(members: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, chunks: int = CHUNKS) -> DataFrame:
-    """docs of which one of each group stays: the one whose doc_id is the group's least."""
-    kept = near_duplicates(docs, percent, chunks).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    """docs of which one document of each group stays: that of the group's least id, and of the least text hash
+    if several texts of the group share that id. Rows are told apart by id and text, so that an id or a null id
+    that many texts share keeps none of them alive for another's sake; rows equal in both are one document."""
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first"))
+    kept = grouped(docs, percent, chunks).filter(first).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left_semi")
 
 
 def op7_hamming_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
