@@ -24,15 +24,13 @@ is left of them, few rows a context, meets in a second step. Hashes of contexts
 equal 64-bit anchors; within sorted parts bytes are compared.
 
 Defined cases: a null or empty text has no bytes; texts under ``LENGTH`` bytes lose nothing; rows that
-share a doc_id are told apart by their text, and equal rows count as one; a null doc_id is an id like
+share a doc_id are told apart by a 64-bit hash of their text and stand in its order, and equal rows count as one; a null doc_id is an id like
 others, and the first; texts of any length are treated whole; an empty table gives an empty result;
 other columns are left out by ``dedup_substrings``.
 """
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -110,42 +108,38 @@ def _anchors(data: np.ndarray, offset: int):
     return h[at], context, at + offset, first + offset, last + offset
 
 
-def packed(at: np.ndarray, tag: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Position, tag of the text, strings before the position and after the first, in one number."""
-    return (at << 30) | (tag << 14) | ((at - first) << 7) | (last - first)
+def packed(at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Position, strings before the position and after the first, in one number."""
+    return (at << 14) | ((at - first) << 7) | (last - first)
 
 
-def unpacked(place: int) -> tuple[int, int, int, int]:
-    """(position, tag, first, last)."""
-    at, first = place >> 30, (place >> 30) - (place >> 7 & 127)
-    return at, place >> 14 & 0xFFFF, first, first + (place & 127)
-
-
-def tag_of(data: bytes) -> int:
-    return zlib.crc32(data) & 0xFFFF
+def unpacked(place: int) -> tuple[int, int]:
+    """(first, last)."""
+    first = (place >> 14) - (place >> 7 & 127)
+    return first, first + (place & 127)
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """(doc, text) -> (h, c, doc, place)."""
+    """(doc, t, text) -> (h, c, doc, t, place); t is the hash of a text, which tells those of one id apart."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = []
-            for doc, text in zip(b["doc"], b["text"], strict=True):
+            for doc, t, text in zip(b["doc"], b["t"], b["text"], strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 if len(data) >= LENGTH:
                     h, c, at, first, last = anchors(data)
-                    found.append((h.view(np.int64), c.view(np.int64), np.full(len(h), doc), packed(at, tag_of(data), first, last)))
+                    found.append((h.view(np.int64), c.view(np.int64), np.full(len(h), doc), np.full(len(h), t), packed(at, first, last)))
                 if len(found) >= 500:
                     yield frame(found)
                     found = []
             yield frame(found)
 
     def frame(found: list) -> pd.DataFrame:
-        cols = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 4
-        return pd.DataFrame(dict(zip(("h", "c", "doc", "place"), cols, strict=True)))
+        cols = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 5
+        return pd.DataFrame(dict(zip(("h", "c", "doc", "t", "place"), cols, strict=True)))
 
-    return docs.mapInPandas(emit, "h long, c long, doc long, place long")
+    return docs.mapInPandas(emit, "h long, c long, doc long, t long, place long")
 
 
 def blind_trie(strings: list[bytes], members: list[int]) -> list[list[int]]:
@@ -230,35 +224,36 @@ def equal_strings(data: bytes, starts: np.ndarray) -> list[list[int]]:
     return out
 
 
-def repeated(rows: list[tuple[int, int, bytes]], hand_on: bool) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, bytes]]]:
-    """(doc, place, context) -> (doc, tag, start) of strings that also start earlier, and if hand_on
-    the others as (doc, place, string)."""
-    docs, tags, places, starts, at = [], [], [], [], 0
-    for doc, place, context in rows:
-        _, tag, first, last = unpacked(place)
+def repeated(rows: list[tuple[int, int, int, bytes]], hand_on: bool) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, bytes]]]:
+    """(doc, t, place, context) -> (doc, t, start) of strings that also start earlier, and if hand_on
+    the others as (doc, t, place, string)."""
+    docs, texts, places, starts, at = [], [], [], [], 0
+    for doc, t, place, context in rows:
+        first, last = unpacked(place)
         n = last - first + 1
         docs += [doc] * n
-        tags += [tag] * n
+        texts += [t] * n
         places += range(first, first + n)
         starts += range(at, at + n)
         at += len(context)
-    data, out, gone = b"".join(r[2] for r in rows), [], set()
+    data, out, gone = b"".join(r[3] for r in rows), [], set()
     for group in equal_strings(data, np.array(starts, np.int64)):
-        first = min((docs[i], places[i]) for i in group)
-        again = [i for i in group if (docs[i], places[i]) != first]
+        of = {i: (docs[i], texts[i], places[i]) for i in group}
+        first = min(of.values())
+        again = [i for i in group if of[i] != first]
         # Equal rows may stand in different blocks: the earliest is handed on once.
-        gone.update(again, [i for i in group if (docs[i], places[i]) == first][1:])
-        out += [(docs[i], tags[i], places[i]) for i in again]
-    left = [(docs[i], (places[i] << 30) | (tags[i] << 14), data[starts[i] : starts[i] + LENGTH]) for i in range(len(docs)) if i not in gone] if hand_on else []
+        gone.update(again, [i for i in group if of[i] == first][1:])
+        out += [of[i] for i in again]
+    left = [(docs[i], texts[i], places[i] << 14, data[starts[i] : starts[i] + LENGTH]) for i in range(len(docs)) if i not in gone] if hand_on else []
     return out, left
 
 
-CONTEXTS = "h long, n long, doc long, place long, context binary"
+CONTEXTS = "h long, n long, doc long, t long, place long, context binary"
 
 
 def sorted_units(contexts: DataFrame, hand_on: bool) -> DataFrame:
-    """(unit, h, n, doc, place, context) -> (doc, tag, start, end) of repeated bytes, and if hand_on
-    also rows (h, n, doc, place, context) of the strings that are left, a context each."""
+    """(unit, h, n, doc, t, place, context) -> (doc, t, start, end) of repeated bytes, and if hand_on
+    also rows (h, n, doc, t, place, context) of the strings that are left, a context each."""
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
@@ -274,15 +269,15 @@ def sorted_units(contexts: DataFrame, hand_on: bool) -> DataFrame:
                     found += again
                     left = [(*unit[0][1:3], *x) for x in others]
                     for i in range(0, len(left), AT_ONCE // 20):
-                        yield pd.DataFrame(left[i : i + AT_ONCE // 20], columns=["h", "n", "doc", "place", "context"]).assign(tag=None, start=None, end=None)
+                        yield pd.DataFrame(left[i : i + AT_ONCE // 20], columns=["h", "n", "doc", "t", "place", "context"]).assign(start=None, end=None)
             else:
                 found, _ = repeated([r[3:] for r in rows], False)
-            for doc, tag, start in sorted(found):
-                if runs and runs[-1][:2] == [doc, tag] and runs[-1][3] >= start:
+            for doc, t, start in sorted(found):
+                if runs and runs[-1][:2] == [doc, t] and runs[-1][3] >= start:
                     runs[-1][3] = start + LENGTH
                 else:
-                    runs.append([doc, tag, start, start + LENGTH])
-            marks = pd.DataFrame(runs, columns=["doc", "tag", "start", "end"])
+                    runs.append([doc, t, start, start + LENGTH])
+            marks = pd.DataFrame(runs, columns=["doc", "t", "start", "end"])
             yield marks.assign(h=None, n=None, place=None, context=None) if hand_on else marks
 
         for b in batches:  # sorted by unit
@@ -291,13 +286,13 @@ def sorted_units(contexts: DataFrame, hand_on: bool) -> DataFrame:
                     yield from done(held)
                     held, strings, size = [], 0, 0
                 held.append(row)
-                strings += (row[4] & 127) + 1
-                size += len(row[5])
+                strings += (row[5] & 127) + 1
+                size += len(row[6])
         if held:
             yield from done(held)
 
-    ordered = contexts.repartition("unit").sortWithinPartitions("unit").select("unit", "h", "n", "doc", "place", "context")
-    return ordered.mapInPandas(sort, ("" if not hand_on else "h long, n long, place long, context binary, ") + "doc long, tag int, start long, end long")
+    ordered = contexts.repartition("unit").sortWithinPartitions("unit").select("unit", "h", "n", "doc", "t", "place", "context")
+    return ordered.mapInPandas(sort, ("" if not hand_on else "h long, n long, place long, context binary, ") + "doc long, t long, start long, end long")
 
 
 def rounds(most: int) -> list[int]:
@@ -309,13 +304,13 @@ def rounds(most: int) -> list[int]:
 
 
 def sorted_rounds(contexts: DataFrame, most: int) -> DataFrame:
-    """(h, n, doc, place, context), groups of n -> (doc, tag, start, end) of repeated bytes."""
+    """(h, n, doc, t, place, context), groups of n -> (doc, t, start, end) of repeated bytes."""
     if most <= PART:
         return sorted_units(contexts.withColumn("unit", F.xxhash64("h")), False)
     contexts = written(contexts, "op10-contexts")
     marks = [sorted_units(contexts.filter(F.col("n") <= PART).withColumn("unit", F.xxhash64("h")), False)]
     # Equal rows have equal contexts, which no block would part.
-    own, left = F.xxhash64("doc", "place"), contexts.filter(F.col("n") > PART).distinct()
+    own, left = F.xxhash64("doc", "t", "place"), contexts.filter(F.col("n") > PART).distinct()
     for k, size in enumerate(rounds(most)):
         # From the second round on, rows are strings, up to GRAMS and more of a context, and dealt by what they are.
         parts = F.ceil(F.col("n") * (GRAMS if k else 1) / PART)
@@ -327,8 +322,8 @@ def sorted_rounds(contexts: DataFrame, most: int) -> DataFrame:
             marks.append(found)
         else:
             found = written(found, "op10-round")
-            marks.append(found.filter("start is not null").select("doc", "tag", "start", "end"))
-            left = found.filter("start is null").select("h", "n", "doc", "place", "context")
+            marks.append(found.filter("start is not null").select("doc", "t", "start", "end"))
+            left = found.filter("start is null").select("h", "n", "doc", "t", "place", "context")
     out = marks[0]
     for m in marks[1:]:
         out = out.unionByName(m)
@@ -336,36 +331,34 @@ def sorted_rounds(contexts: DataFrame, most: int) -> DataFrame:
 
 
 def cut_out(texts: DataFrame) -> DataFrame:
-    """(doc, text, disputed: array of (place, h, n)) -> the contexts."""
+    """(doc, t, text, disputed: array of (place, h, n)) -> the contexts."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc, text, disputed in zip(b["doc"], b["text"], b["disputed"], strict=True):
+            for doc, t, text, disputed in zip(b["doc"], b["t"], b["text"], b["disputed"], strict=True):
                 if disputed is None or not len(disputed):
                     continue
                 data = (text or "").encode("utf-8", "surrogatepass")
-                own = tag_of(data)
                 for d in disputed:
-                    _, tag, first, last = unpacked(d["place"])
-                    if tag == own:
-                        rows.append((d["h"], d["n"], doc, d["place"], data[first : last + LENGTH]))
-            yield pd.DataFrame(rows, columns=["h", "n", "doc", "place", "context"])
+                    first, last = unpacked(d["place"])
+                    rows.append((d["h"], d["n"], doc, t, d["place"], data[first : last + LENGTH]))
+            yield pd.DataFrame(rows, columns=["h", "n", "doc", "t", "place", "context"])
 
     return texts.mapInPandas(cut, CONTEXTS)
 
 
 def removed(texts: DataFrame) -> DataFrame:
-    """(doc, text, runs: array of (tag, start, end)) -> (doc_id, n_bytes, n_removed, n_spans, kept_bytes)."""
+    """(doc, text, runs: array of (start, end)) -> (doc_id, n_bytes, n_removed, n_spans, kept_bytes)."""
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for text, runs in zip(b["text"], b["runs"], strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
-                left, spans, gone, at, own = [], 0, 0, 0, tag_of(data)
+                left, spans, gone, at = [], 0, 0, 0
                 to = -1  # the end of the last span
-                for start, end in sorted((r["start"], r["end"]) for r in (() if runs is None else runs) if r["tag"] == own):
+                for start, end in sorted((r["start"], r["end"]) for r in (() if runs is None else runs)):
                     if start > to:
                         left.append(data[at:start])
                         spans += 1
@@ -386,56 +379,57 @@ def hottest(docs: DataFrame) -> list[int]:
     """The anchors that more than one in HOT of all rows have, as far as a share of the documents tells: few
     more than HOT numbers, by their definition, and no more than twice that. They are only dealt in another
     way; whether an anchor is among them changes no result."""
-    sampled = docs.filter(F.pmod(F.xxhash64("doc", F.lit(10)), F.lit(SAMPLED)) == 0)
+    docs = docs.select("doc", F.xxhash64("text").alias("t"), "text")
+    sampled = docs.filter(F.pmod(F.xxhash64("doc", "t", F.lit(10)), F.lit(SAMPLED)) == 0)
     rows = (sampled.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / GRAMS * 2  # about: two anchors in GRAMS bytes
     counts = anchor_rows(sampled).groupBy("h").count().filter(F.col("count") >= max(HOT_COUNT, rows / HOT))
     return [r["h"] for r in counts.orderBy(F.desc("count"), "h").limit(2 * HOT).collect()]
 
 
 def found_twice(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Anchors whose context has come before (doc, place), and those of different contexts of one anchor
-    (doc, place, h, n), n of them."""
+    """Anchors whose context has come before (doc, t, place), and those of different contexts of one anchor
+    (doc, t, place, h, n), n of them."""
     hot = hottest(docs)
     rows = anchor_rows(docs).withColumn("hot", F.col("h").isin(hot) if hot else F.lit(False))
     # All rows of an anchor meet, but those of a hot one: there equal contexts do, and dealt by their text.
-    spread = F.when(F.col("hot"), F.xxhash64("c", F.pmod(F.xxhash64("doc"), F.lit(SALTS)))).otherwise(F.lit(0).cast("long"))
-    by_anchor = Window.partitionBy("h", spread).orderBy("c", "doc", "place")
+    spread = F.when(F.col("hot"), F.xxhash64("c", F.pmod(F.xxhash64("doc", "t"), F.lit(SALTS)))).otherwise(F.lit(0).cast("long"))
+    by_anchor = Window.partitionBy("h", spread).orderBy("c", "doc", "t", "place")
     whole = by_anchor.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = lambda name: F.coalesce(F.lag(name).over(by_anchor) == F.col(name), F.lit(False))
     found = rows.select(
-        "doc", "place", "h", "c", "hot",
+        "doc", "t", "place", "h", "c", "hot",
         F.count("*").over(whole).alias("n"),
         before("c").alias("again"),
-        (before("c") & before("doc") & before("place")).alias("same"),
+        (before("c") & before("doc") & before("t") & before("place")).alias("same"),
         (F.first("c").over(whole) != F.last("c").over(whole)).alias("differ"),
     )
-    # Equal rows have equal places; the first of them stands for all, as marks meet texts by doc_id and tag.
+    # Equal rows have equal places; the first of them stands for all, as marks meet texts by id and hash.
     found = written(found.filter("not same and (again or differ or hot)").drop("same"), "op10-anchors")
     # Of a hot context at most SALTS rows are left that none of their own salt came before.
     firsts = found.filter("hot and not again")
-    firsts = firsts.withColumn("again", F.row_number().over(Window.partitionBy("h", "c").orderBy("doc", "place")) > 1)
-    firsts = firsts.select("doc", "place", "h", "again")
+    firsts = firsts.withColumn("again", F.row_number().over(Window.partitionBy("h", "c").orderBy("doc", "t", "place")) > 1)
+    firsts = firsts.select("doc", "t", "place", "h", "again")
     firsts = written(firsts, "op10-firsts") if hot else firsts
     several = F.broadcast(firsts.filter("not again").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))  # a row for each of the hot ones at most
-    again = found.filter("again").select("doc", "place").unionByName(firsts.filter("again").select("doc", "place"))
-    differing = found.filter("not hot and not again").select("doc", "place", "h", "n").unionByName(firsts.filter("not again").join(several, "h").select("doc", "place", "h", "n"))
+    again = found.filter("again").select("doc", "t", "place").unionByName(firsts.filter("again").select("doc", "t", "place"))
+    differing = found.filter("not hot and not again").select("doc", "t", "place", "h", "n").unionByName(firsts.filter("not again").join(several, "h").select("doc", "t", "place", "h", "n"))
     return again, differing
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_bytes, n_removed, n_spans, kept_bytes)."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("t"), "text")
     again, differing = found_twice(docs)
-    tag, at = F.shiftright("place", 14).bitwiseAND(0xFFFF), F.shiftright("place", 30)
-    first = at - F.shiftright("place", 7).bitwiseAND(127)
-    resolved = again.select("doc", tag.cast("int").alias("tag"), first.alias("start"), (first + F.col("place").bitwiseAND(127) + LENGTH).alias("end"))
-    disputed = differing.groupBy("doc").agg(F.collect_list(F.struct("place", "h", "n")).alias("disputed"))
-    # Both joins need the texts by id; as both are left joins of the same columns, Spark shuffles the texts once.
-    sought = docs.join(disputed.withColumnRenamed("doc", "__doc"), docs["doc"] == F.col("__doc"), "left").select("doc", "text", "disputed")
+    first = F.shiftright("place", 14) - F.shiftright("place", 7).bitwiseAND(127)
+    resolved = again.select("doc", "t", first.alias("start"), (first + F.col("place").bitwiseAND(127) + LENGTH).alias("end"))
+    disputed = differing.groupBy("doc", "t").agg(F.collect_list(F.struct("place", "h", "n")).alias("disputed"))
+    # Both joins need the texts by id and hash, each its own marks alone; as both are left joins of the same
+    # columns, Spark shuffles the texts once.
+    sought = docs.join(disputed, ["doc", "t"], "left").select("doc", "t", "text", "disputed")
     most = differing.agg(F.max("n")).first()[0] or 0
     marked = resolved.unionByName(sorted_rounds(cut_out(sought), most))
-    runs = marked.groupBy("doc").agg(F.collect_list(F.struct("tag", "start", "end")).alias("runs"))
-    final = docs.join(runs.withColumnRenamed("doc", "__doc"), docs["doc"] == F.col("__doc"), "left").select("doc", "text", "runs")
+    runs = marked.groupBy("doc", "t").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    final = docs.join(runs, ["doc", "t"], "left").select("doc", "text", "runs")
     return removed(final)
 
 

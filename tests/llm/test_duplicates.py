@@ -95,6 +95,18 @@ def test_ids_that_many_texts_share(spark):
     assert {r["doc_id"] for r in kept.collect()} == {4}
 
 
+def test_copies_go_where_an_id_has_other_texts(spark):
+    texts = {c: " ".join(f"{c}{i}" for i in range(40)) for c in "abcd"}
+    rows = [(5, texts["c"]), (6, texts["c"] + " x"), (6, texts["d"]), (1, texts["a"]), (None, texts["a"] + " x"), (None, texts["b"]), (None, None), (6, ""), (8, texts["c"]), (8, texts["c"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("clash"))
+    got = near.drop_near_duplicates(df, 80, 12)
+    assert got.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(5, texts["c"]), (6, texts["d"]), (1, texts["a"]), (None, texts["b"]), (None, None), (6, "")], key=str)
+    one_id = spark.createDataFrame([(7, texts["a"]), (7, texts["a"] + " x"), (7, texts["b"])], "doc_id long, text string")
+    left = [r["text"] for r in near.drop_near_duplicates(one_id).collect()]
+    assert len(left) == 2 and texts["b"] in left
+
+
 def test_repeated_and_null_ids(spark):
     text = " ".join(f"x{i}" for i in range(30))
     df = spark.createDataFrame([(1, text), (1, text), (1, "other words here"), (None, text), (None, "alone")], "doc_id long, text string")
@@ -241,6 +253,18 @@ def test_null_ids_lose_their_own_repeats(spark):
     assert {k: (r["n_removed"], r["n_spans"]) for k, r in got.items()} == wanted
 
 
+def test_unique_texts_of_a_shared_id_lose_nothing(spark):
+    # Many texts under one id, and under none: only those with the passage lose it, and all but one do.
+    passage = " ".join(f"p{i}" for i in range(60))
+    for doc in (7, None):
+        rows = [(1, f"0 {passage} end")] + [(doc, f"{i} {passage} {i * 7}") for i in range(300)] + [(doc, " ".join(f"u{i}_{j}" for j in range(30))) for i in range(1500)]
+        got = sub.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", F.decode("kept_bytes", F.lit("UTF-8")).alias("kept")).collect()
+        lost = [r for r in got if r["n_removed"]]
+        assert len(got) == len(rows) and len(lost) == 300
+        kept = {r["kept"] for r in got}
+        assert all(text in kept for _, text in rows[301:])
+
+
 def test_substring_query(spark, tmp_path):
     rows = passages(random.Random(11))
     spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("x")).write.parquet(str(tmp_path / "documents.parquet"))
