@@ -258,7 +258,7 @@ def test_unique_texts_of_a_shared_id_lose_nothing(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     for doc in (7, None):
         rows = [(1, f"0 {passage} end")] + [(doc, f"{i} {passage} {i * 7}") for i in range(300)] + [(doc, " ".join(f"u{i}_{j}" for j in range(30))) for i in range(1500)]
-        got = sub.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", F.decode("kept_bytes", F.lit("UTF-8")).alias("kept")).collect()
+        got = sub.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", F.decode("kept_bytes", "UTF-8").alias("kept")).collect()
         lost = [r for r in got if r["n_removed"]]
         assert len(got) == len(rows) and len(lost) == 300
         kept = {r["kept"] for r in got}
