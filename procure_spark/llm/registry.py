@@ -1,6 +1,6 @@
 """The corpus operators' queries and, where SQL can express them, their SQL."""
 
-from procure_spark.llm import op01_secrets, op02_pieces, op03_sharding, op04_chat, op05_classifier, op06_outliers, op07_neardup, op08_topk, op09_mixing, op10_suffixes, op11_repair, op13_licenses
+from procure_spark.llm import op01_secrets, op02_pieces, op03_sharding, op04_chat, op05_classifier, op06_outliers, op07_neardup, op08_topk, op09_mixing, op10_suffixes, op11_repair, op12_negatives, op13_licenses
 
 QUERIES = {
     "op1_multipart_secrets": op01_secrets.op1_multipart_secrets,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_curriculum_mixing": op09_mixing.op9_curriculum_mixing,
     "op10_deep_shallow_dedup": op10_suffixes.op10_deep_shallow_dedup,
     "op11_structure_repair": op11_repair.op11_structure_repair,
+    "op12_shared_list_negatives": op12_negatives.op12_shared_list_negatives,
     "op13_license_join": op13_licenses.op13_license_join,
 }
 ORACLE_SQL = {
@@ -21,5 +22,6 @@ ORACLE_SQL = {
     "op8_segment_topk": op08_topk.SQL,
     "op9_curriculum_mixing": op09_mixing.SQL,
     "op11_structure_repair": op11_repair.SQL,
+    "op12_shared_list_negatives": op12_negatives.SQL,
     "op13_license_join": op13_licenses.SQL,
 }
