@@ -39,7 +39,7 @@ from procure_spark.llm.common import table
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 1, 2, 5, 5
 
 #: Turns that are searched at once.
-STRETCH = 48
+STRETCH = 16
 
 #: State -> role initial -> next state: at the start, behind s, behind u, behind a. Accepted: the start, behind a.
 NEXT = ({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2})
@@ -67,11 +67,28 @@ def moves(state: int, turn: str) -> list[tuple[str, str, int, int, int]]:
     return out
 
 
+def reached(start: int, to: int, turns: str) -> bool:
+    """Whether any edits lead from a state to another: none lead back to the start, and behind s leads only an s."""
+    return to >= 2 or start == to or (start, to) == (0, 1) and ("1" in turns or "5" in turns)
+
+
+def least_costs(turns: str) -> list[int]:
+    """What the turns from each one on cost at least: a faulty one is deleted or costs more, one of no known role is
+    reroled or more, and so is one of two neighbours that both are u or both a, by the cheapest remedy."""
+    ahead = [0] * (len(turns) + 2)
+    for i in range(len(turns) - 1, -1, -1):
+        t = turns[i]
+        ahead[i] = ahead[i + 1] + (DELETE if t in "x4567" else REROLE if t == "0" else 0)
+        if t in "23" and turns[i + 1 : i + 2] == t:
+            ahead[i] = max(ahead[i], ahead[i + 2] + REROLE)
+    return ahead
+
+
 def repair(turns: str, start: int, goals: tuple[int, ...]) -> tuple[int, Edits] | None:
     """The cheapest edits, first in ASCII order, that lead from a state over all turns to one of the goals."""
-    ahead = [0] * (len(turns) + 1)  # faulty turns cost this at least
-    for i in range(len(turns) - 1, -1, -1):
-        ahead[i] = ahead[i + 1] + (min(DELETE, TRUNCATED) if turns[i] == "x" or int(turns[i]) >= 4 else 0)
+    if not any(reached(start, to, turns) for to in goals):
+        return None
+    ahead = least_costs(turns)
     bound = ahead[0]
     while True:
         failed: dict[tuple[int, int], int] = {}
@@ -99,11 +116,7 @@ def repair(turns: str, start: int, goals: tuple[int, ...]) -> tuple[int, Edits]
                 failed[at, state] = max(failed.get((at, state), -1), bound - cost)
                 if path:
                     path.pop()
-        # A bound that nothing exceeded won't be met by a larger one either. With INSERT there is always more to try;
-        # goals that no insertion reaches are beyond any bound of all turns deleted and two inserted.
-        if over is None or over > DELETE * len(turns) + 2 * INSERT:
-            return None
-        bound = over
+        bound = over  # a goal that is reached at all is reached by some bound
 
 
 def before(a: Iterator[str], b: Iterator[str]) -> bool:
