@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from procure_spark.functions import text as T
 from procure_spark.operators import facts, rules
@@ -12,7 +13,8 @@ from procure_spark.plans import jobs
 from procure_spark.queries.more import by_key, contract_text, run_stream, said
 from procure_spark.registry import query, read, shared_dir
 from procure_spark.sources import html, tables
-from procure_spark.streaming.jobs import stream_ttl_dedup
+from procure_spark.sources.versions import read_version
+from procure_spark.streaming.jobs import job_progress_sink, stream_ttl_dedup, ttl_openings
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -76,10 +78,34 @@ def c23_ext_from_ctype(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", T.ext_from_ctype(by_key(*[F.lit(t) for t, _ in KINDS])).alias("ext"))
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events")
+OPENINGS = """WITH RECURSIVE o AS (SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY user_id, event_type
+  UNION ALL SELECT e.user_id, e.event_type, min(e.ts) FROM o JOIN events e ON e.user_id = o.user_id AND e.event_type = o.event_type AND e.ts >= o.ts + INTERVAL 1 HOUR GROUP BY e.user_id, e.event_type)
+SELECT user_id, event_type, ts FROM o"""
+
+
+@query(f"{OPENINGS} WHERE epoch_ms(ts) < (SELECT epoch_ms(max(ts)) FROM events) - 600000")
 def t02_stream_ttl_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """In one batch a content's state is never dropped, so that each comes once."""
-    return run_stream(spark, d, lambda e: stream_ttl_dedup(e, ["user_id", "event_type"], "ts"), "append").select("user_id", "event_type")
+    """What the stream tells once the watermark, ten minutes behind the last event, has passed it."""
+    return run_stream(spark, d, lambda e: stream_ttl_dedup(e, ["user_id", "event_type"], "ts"), "append").select("user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query(OPENINGS)
+def t04_ttl_openings(spark: SparkSession, d: str) -> DataFrame:
+    return ttl_openings(read(spark, d, "events"), ["user_id", "event_type"], "ts").select("user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("""WITH l AS (SELECT user_id % 20 AS job, user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY ALL)
+SELECT *, CASE WHEN bool_and(event_type IN ('purchase', 'click')) OVER (PARTITION BY job) THEN 'completed' ELSE 'running' END AS status FROM l""")
+def t05_job_completion(spark: SparkSession, d: str) -> DataFrame:
+    """The table of jobs after the events have come in three batches."""
+    path = _folder(spark, "t05")
+    events = read(spark, d, "events").select((F.col("user_id") % 20).alias("job"), "user_id", "event_id", "event_type")
+    events.repartitionByRange(3, "event_id").write.parquet(f"{path}/in")
+    table = T_.StructType([*events.schema, T_.StructField("status", T_.StringType())])
+    sink = job_progress_sink(f"{path}/jobs", table, "job", "user_id", "event_id", "event_type", ["purchase", "click"])
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return read_version(spark, f"{path}/jobs", table)
 
 
 LINKS = r"""WITH a AS (SELECT url, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<a\b[^>]*?\bhref\s*=\s*["'']([^"''#]+)["''#]', 1)) AS h FROM pages),

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from procure_spark.operators.chains import openings
+from procure_spark.sources.versions import upsert_version
 
 
 def stream_new_notices(events: DataFrame, ledger: DataFrame, key: str, ts: str, delay: str = "60 days") -> DataFrame:
@@ -13,12 +20,70 @@ def stream_new_notices(events: DataFrame, ledger: DataFrame, key: str, ts: str,
     return new.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def stream_ttl_dedup(events: DataFrame, content: list[str], ts: str, ttl: str = "1 hour") -> DataFrame:
-    """Events with a content hash, each content once within the time to live after its first event."""
-    hashed = events.withColumns({ts: F.col(ts).cast("timestamp"), "content_hash": F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in content]))})
-    return hashed.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(["content_hash"])
+def content_hash(content: Sequence[str]) -> Column:
+    return F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in content]))
+
+
+def ttl_openings(events: DataFrame, content: Sequence[str], ts: str, ttl_s: int = 3600) -> DataFrame:
+    """(content, content_hash, ts): the events that find no stored answer. A content's first event stores one for the time to
+    live; the first event at or after its end stores the next. The batch twin of ``stream_ttl_dedup``."""
+    rows = events.select(*content, F.unix_micros(F.col(ts).cast("timestamp")).alias(ts))
+    return openings(rows, content, ts, ttl_s * 10**6).withColumns({ts: F.timestamp_micros(ts), "content_hash": content_hash(content)})
+
+
+def stream_ttl_dedup(events: DataFrame, content: Sequence[str], ts: str, ttl_s: int = 3600, delay: str = "10 minutes") -> DataFrame:
+    """Events that find no stored answer, as ``ttl_openings`` tells them, from a stream whose events come in any order within
+    ``delay``: a content's events wait until the watermark has passed them and are then taken in the order of their times. State
+    is the end of the stored answer and the times that wait; a content with neither is forgotten. Events without a time, and
+    those that come behind the watermark, are left out."""
+    rows = events.select(*content, F.col(ts).cast("timestamp").alias(ts)).filter(F.col(ts).isNotNull()).withWatermark(ts, delay)
+    rows = rows.withColumns({"__us": F.unix_micros(ts), "content_hash": content_hash(content)})
+    ttl = ttl_s * 10**6
+
+    def take(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        ends, waiting = state.get if state.exists else (None, [])
+        passed = state.getCurrentWatermarkMs()
+        waiting = sorted([*waiting, *(int(x) for b in batches for x in b["__us"])])
+        opened = []
+        for at in waiting:
+            if at // 1000 >= passed:
+                break
+            if ends is None or at >= ends:
+                opened.append(at)
+                ends = at + ttl
+        waiting = [at for at in waiting if at // 1000 >= passed]
+        ends = ends if ends is not None and ends // 1000 >= passed else None
+        if waiting or ends is not None:
+            state.update((ends, waiting))
+            state.setTimeoutTimestamp(max(passed, waiting[0] // 1000 if waiting else ends // 1000))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame([(*key, at) for at in opened], columns=[*content, "content_hash", "__us"])
+
+    out = T.StructType([*(rows.schema[c] for c in (*content, "content_hash")), T.StructField("__us", T.LongType())])
+    found = rows.groupBy(*content, "content_hash").applyInPandasWithState(take, out, "ends long, waiting array<long>", "append", "EventTimeTimeout")
+    return found.select(*content, "content_hash", F.timestamp_micros("__us").alias(ts))
 
 
 def stream_job_progress(events: DataFrame, job: str, tender: str, seq: str, stage: str) -> DataFrame:
     """The latest stage of each tender of each job (update or complete mode)."""
     return events.groupBy(job, tender).agg(F.max_by(stage, seq).alias(stage), F.max(seq).alias(seq))
+
+
+def job_progress_sink(path: str, schema: T.StructType, job: str, tender: str, seq: str, stage: str, terminal: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: writes each batch of events into the table of latest stages at ``path``, whose status says of each job
+    whether all its tenders have ended. Jobs that a batch doesn't touch aren't written; a batch that comes again under its number
+    leaves the table as it was. schema: of job, tender, seq, stage and status, as the table holds them."""
+
+    def merged(old: DataFrame, new: DataFrame) -> DataFrame:
+        rows = old.select(job, tender, seq, stage).unionByName(new.select(job, tender, seq, stage))
+        last = rows.groupBy(job, tender).agg(F.max(seq).alias(seq), F.max_by(stage, seq).alias(stage))
+        ended = F.min(F.coalesce(F.col(stage).isin(*terminal), F.lit(False))).over(Window.partitionBy(job))
+        return last.withColumn("status", F.when(ended, "completed").otherwise("running"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()  # read for its buckets and its rows
+        upsert_version(batch.sparkSession, path, batch, job, merged, schema, number)
+        batch.unpersist()
+
+    return write
