@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from procure_spark.registry import shared_dir
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from procure_spark.registry import written
 
 
 def _joined(left: DataFrame, right: DataFrame, on: dict[str, str], how: str = "inner") -> DataFrame:
@@ -47,18 +40,18 @@ def openings(rows: DataFrame, group: Sequence[str], at: str, reach: int, stretch
     """(group, at) -> the distinct (group, at) that open. Those behind a gap of ``reach`` open in any case; from there chains
     are followed by doubled steps, so that the rounds grow with the logarithm of the longest chain without a gap."""
     points = rows.select(*group, F.col(at).cast("long").alias(at)).filter(F.col(at).isNotNull()).distinct()
-    points = _written(points, "chain-points")
-    steps = _written(with_next(points, group, at, reach, stretch or 64 * reach), "chain-steps")
+    points = written(points, "chain-points")
+    steps = written(with_next(points, group, at, reach, stretch or 64 * reach), "chain-steps")
     before = F.lag(at).over(Window.partitionBy(*group).orderBy(at))
-    open_ones = _written(points.withColumn("__b", before).filter(F.col("__b").isNull() | (F.col(at) - F.col("__b") >= reach)).drop("__b"), "chain-open")
+    open_ones = written(points.withColumn("__b", before).filter(F.col("__b").isNull() | (F.col(at) - F.col("__b") >= reach)).drop("__b"), "chain-open")
     count = open_ones.count()
     own = {c: c for c in group}
     while True:
         ahead = _joined(open_ones, steps, {**own, at: at}).select(*group, F.col("_next").alias(at)).filter(F.col(at).isNotNull())
-        more = _written(open_ones.unionByName(ahead).distinct(), "chain-open")
+        more = written(open_ones.unionByName(ahead).distinct(), "chain-open")
         now = more.count()
         if now == count:
             return more
         open_ones, count = more, now
         twice = _joined(steps, steps, {**own, "next": at}).select(*group, at, F.col("_next").alias("next"))
-        steps = _written(twice.filter("next is not null"), "chain-steps")
+        steps = written(twice.filter("next is not null"), "chain-steps")

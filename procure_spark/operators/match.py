@@ -10,33 +10,65 @@ from pyspark.sql import functions as F
 from procure_spark import lexicons as L
 from procure_spark.functions.text import blank, flatten_specs, marks, measure, tokens, words_text
 from procure_spark.operators.upsert import one_each
+from procure_spark.registry import written
 
 GRAM = 3
 
+#: Words and grams that are broadcast at most.
+ASKED = 100_000
+
 
 def _grams(text: Column) -> Column:
     n = F.length(text) - GRAM + 1
     return F.array_distinct(F.when(n >= 1, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i + 1, F.lit(GRAM)))).otherwise(F.array().cast("array<string>")))
 
 
+def _rarest_grams(words: DataFrame, lean: DataFrame) -> DataFrame:
+    """(word) -> (word, gram): of each word's grams the one that the fewest rows hold. Grams that no word asks for are dropped
+    where rows are read, so that what is counted depends on the questions."""
+    asked = words.select("__word", F.explode(_grams(F.col("__word"))).alias("__gram"))
+    only = asked.select("__gram").distinct()
+    held = lean.select(F.explode(_grams(F.col("__text"))).alias("__gram"))
+    sizes = held.join(F.broadcast(only) if only.count() <= ASKED else only, "__gram", "left_semi").groupBy("__gram").agg(F.count("*").alias("__n"))
+    # A gram that no row holds has size 0 and rules its word out.
+    return asked.join(sizes, "__gram", "left").groupBy("__word").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__gram")))["__gram"].alias("__gram"))
+
+
+def _word_hits(words: DataFrame, lean: DataFrame) -> DataFrame:
+    """(word, key, points): rows that contain a word. Few words (at most ASKED) go to where the rows are read, and nothing else
+    is moved; more meet the rows' grams by a shuffle of grams and keys, in which Spark splits grams that many rows hold."""
+    few = words.count() <= ASKED
+    rarest = _rarest_grams(words, lean)
+    if few:
+        met = lean.withColumn("__gram", F.explode(_grams(F.col("__text")))).join(F.broadcast(rarest), "__gram")
+    else:
+        met = lean.select("__key", F.explode(_grams(F.col("__text"))).alias("__gram")).join(rarest, "__gram").select("__word", "__key").join(lean, "__key")
+    points = F.contains("__title", F.col("__word")).cast("int") * 3 + F.contains("__about", F.col("__word")).cast("int")
+    return met.filter(F.contains("__text", F.col("__word"))).select("__word", "__key", points.alias("__points"))
+
+
 def search_catalog(queries: DataFrame, catalog: DataFrame, query_id: str, keywords: str, key: str, title: str, searched: Sequence[str], n: int = 10, described: str | None = None) -> DataFrame:
     """(query_id, key, score, rank): rows that contain any keyword, by 3 for each keyword in the title and
-    1 for each in the description, ties by key.
+    1 for each in the description, ties by key. Keys tell the catalog's rows apart.
 
     Keywords have three characters and more (``query_keywords``), so each has a gram, and the gram that
-    the fewest rows hold leads to all rows that can contain it: an equi-join, then ``contains``."""
+    the fewest rows hold leads to all rows that can contain it: an equi-join, then ``contains``. Rows in which the same
+    words score the same points have equal scores for every query, so queries meet such classes of rows, a row each, and of a
+    class only its n least keys can be among the n best."""
     text = F.concat_ws("\n", *[F.lower(blank(F.col(c).cast("string"))) for c in searched])
     lean = catalog.select(F.col(key).alias("__key"), text.alias("__text"), F.lower(blank(F.col(title).cast("string"))).alias("__title"), F.lower(blank(F.col(described).cast("string")) if described else F.lit("")).alias("__about"))
-    posted = lean.select("__key", F.explode(_grams(F.col("__text"))).alias("__gram"))
-    words = queries.select(F.col(query_id).alias("__q"), F.explode(F.array_distinct(keywords)).alias("__word")).filter(F.length("__word") >= GRAM)
-    word_grams = words.select("__word").distinct().select("__word", F.explode(_grams(F.col("__word"))).alias("__gram"))
-    sizes = posted.groupBy("__gram").agg(F.count("*").alias("__n"))
-    # A gram that no row holds has size 0 and rules its word out.
-    rarest = word_grams.join(sizes, "__gram", "left").groupBy("__word").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__gram")))["__gram"].alias("__gram"))
-    hits = rarest.join(posted, "__gram").join(lean, "__key").filter(F.contains("__text", F.col("__word")))
-    hits = hits.select("__word", "__key", (F.contains("__title", F.col("__word")).cast("int") * 3 + F.contains("__about", F.col("__word")).cast("int")).alias("__points"))
-    scored = words.join(hits, "__word").groupBy("__q", "__key").agg(F.sum("__points").alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("__q").orderBy(F.desc("score"), "__key"))).filter(F.col("rank") <= n)
+    words = queries.select(F.col(query_id).alias("__q"), F.explode(F.array_distinct(keywords)).alias("__word")).filter(F.length("__word") >= GRAM).distinct()
+    hits = _word_hits(words.select("__word").distinct(), lean)
+    rows = hits.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("__word", "__points"))).alias("__hits"))  # of one row's words
+    least = rows.withColumn("__at", F.row_number().over(Window.partitionBy("__hits").orderBy("__key"))).filter(F.col("__at") <= n)
+    least = written(least.withColumn("__class", F.xxhash64("__hits")), "search-classes")
+    classes = least.filter("__at = 1").select("__class", F.col("__key").alias("__first"), F.inline("__hits"))
+    scored = words.join(classes, "__word").groupBy("__q", "__class", "__first").agg(F.sum("__points").alias("score"))
+    # Each of the n best rows is in one of the n classes that come first by score and least key.
+    near = scored.withColumn("__r", F.row_number().over(Window.partitionBy("__q").orderBy(F.desc("score"), "__first"))).filter(F.col("__r") <= n)
+    members = least.select("__class", "__key", F.min("__key").over(Window.partitionBy("__hits")).alias("__first"))
+    found = near.join(members, ["__class", "__first"])
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("__q").orderBy(F.desc("score"), "__key"))).filter(F.col("rank") <= n)
     return ranked.select(F.col("__q").alias(query_id), F.col("__key").alias(key), "score", "rank")
 
 
@@ -84,22 +116,51 @@ def _bands(delta: Column, steps: list[tuple[float, int, str]], other: tuple[int,
     return points.otherwise(other[0]), reason.otherwise(other[1])
 
 
+def _title_keys(titles: DataFrame, start: int) -> DataFrame:
+    """(q, o, t) -> (q, o, key, starts): the starts of titles that a title holds, with whether it starts so itself. Only pieces as
+    long as some start are looked at, and only starts are kept, so nothing is made for a pair of titles."""
+    begun = titles.select("q", "o", F.substring("t", 1, start).alias("key"))
+    lengths = begun.groupBy("q").agg(F.collect_set(F.length("key")).alias("ns"))  # start + 1 numbers at most
+    length = F.length("t")
+    pieces = F.transform("ns", lambda n: F.when(n == 0, F.array(F.lit(""))).when(n <= length, F.transform(F.sequence(F.lit(1), length - n + 1), lambda i: F.substring("t", i, n))).otherwise(F.array().cast("array<string>")))
+    held = titles.join(lengths, "q").select("q", "o", F.substring("t", 1, start).alias("own"), F.explode(F.array_distinct(F.flatten(pieces))).alias("key"))
+    return held.join(begun.select("q", "key").distinct(), ["q", "key"], "left_semi").select("q", "o", "key", (F.col("key") == F.col("own")).alias("starts"))
+
+
 def dedup_sources(local: DataFrame, external: DataFrame, query_id: str, title: str, seq: str, start: int = 15) -> DataFrame:
     """External rows that no kept title of their query resembles: the first characters of one in the
-    other. Local titles are all kept; external ones join them in order, in a fold over one query's rows."""
+    other. Local titles are all kept; external ones join them in order (of equal order numbers the smaller title first, and
+    rows equal in both are one). A title is dropped once one that it resembles is kept, and kept once none that comes before it and that
+    it resembles is open; both are found for all titles at once, by what they start with, in rounds until none is
+    open. The work of a round is that of the titles' pieces, however many of them resemble each other."""
     low = F.lower(F.trim(blank(F.col(title))))
-    kept = local.groupBy(query_id).agg(F.collect_list(low).alias("__kept"))
-    rows = external.groupBy(query_id).agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), low.alias("t")))).alias("__rows")).join(kept, query_id, "left")
-    rows = rows.withColumn("__kept", F.coalesce("__kept", F.array().cast("array<string>")))
-    alike = lambda a, b: F.contains(b, F.substring(a, 1, start)) | F.contains(a, F.substring(b, 1, start))
-    state = F.struct(F.col("__kept").alias("seen"), F.array().cast(f"array<{external.schema[seq].dataType.simpleString()}>").alias("new"))
-
-    def step(acc: Column, r: Column) -> Column:
-        dup = F.exists(acc["seen"], lambda k: alike(k, r["t"]))
-        return F.struct(F.when(dup, acc["seen"]).otherwise(F.array_append(acc["seen"], r["t"])).alias("seen"), F.when(dup, acc["new"]).otherwise(F.array_append(acc["new"], r["s"])).alias("new"))
-
-    new = rows.select(query_id, F.explode(F.aggregate("__rows", state, step, lambda a: a["new"])).alias(seq))
-    return external.join(new, [query_id, seq], "left_semi")
+    of = F.to_json(F.struct(F.col(query_id).alias("q")))  # tells nulls, which are a query like others
+    number = external.schema[seq].dataType
+    order = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.alias("s"), F.col("t"))
+    ours = local.select(of.alias("q"), low.alias("t")).distinct().select("q", order(0, F.lit(None).cast(number)).alias("o"), "t")
+    theirs = external.select(of.alias("q"), F.col(seq).alias("s"), low.alias("t")).distinct().select("q", order(1, F.col("s")).alias("o"), "t")
+    rows = written(_title_keys(ours.unionByName(theirs), start).withColumn("kept", F.col("o.kind") == 0), "j03-keys")
+    found = []
+    while True:
+        open_one = ~F.col("kept")
+        keys = rows.groupBy("q", "key").agg(
+            F.min(F.when(open_one & F.col("starts"), F.col("o"))).alias("first_start"), F.min(F.when(open_one, F.col("o"))).alias("first"),
+            F.bool_or(F.col("kept") & F.col("starts")).alias("kept_start"), F.bool_or("kept").alias("kept_any"),
+        )
+        met = rows.filter(open_one).join(keys, ["q", "key"])
+        gone = F.col("kept_start") | (F.col("starts") & F.col("kept_any"))
+        waits = F.coalesce(F.col("first_start") < F.col("o"), F.lit(False)) | (F.col("starts") & F.coalesce(F.col("first") < F.col("o"), F.lit(False)))
+        told = met.groupBy("q", "o").agg(F.bool_or(gone).alias("gone"), F.bool_or(waits).alias("waits")).filter("not gone")
+        told = written(told.select("q", "o", (~F.col("waits")).alias("now")), "j03-round")
+        found.append(told.filter("now").select("q", F.col("o.s").alias("s"), F.col("o.t").alias("t")))
+        if not told.filter("not now").limit(1).count():
+            break
+        rows = written(rows.filter(open_one).join(told, ["q", "o"]).select("q", "o", "key", "starts", F.col("now").alias("kept")), "j03-keys")
+    new = found[0]
+    for f in found[1:]:
+        new = new.unionByName(f)
+    new = new.select(F.col("q").alias("__q"), F.col("s").alias("__s"), F.col("t").alias("__t"))
+    return external.join(new, (of == F.col("__q")) & external[seq].eqNullSafe(F.col("__s")) & (F.lower(F.trim(blank(external[title]))) == F.col("__t")), "left_semi")
 
 
 def flag_seen(df: DataFrame, ledger: DataFrame, key: str) -> DataFrame:

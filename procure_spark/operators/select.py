@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from procure_spark.registry import written
+
+#: Steps of the greedy budget between looks at what is open.
+STEPS = 4
 
 
 def take_budget_prefix(df: DataFrame, group: Sequence[str], order: Sequence[Column], size: Column, budget: int) -> DataFrame:
@@ -16,31 +19,42 @@ def take_budget_prefix(df: DataFrame, group: Sequence[str], order: Sequence[Colu
     return df.withColumn("used", F.sum(size).over(w)).filter(F.col("used") <= budget)
 
 
+def _greedy_step(rows: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Takes each group's longest run of open rows that fits what is left, and drops rows that don't fit any more."""
+    upto = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    whole = upto.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    is_open = F.col("__taken").isNull()
+    rows = rows.withColumn("__run", F.sum(F.when(is_open, F.col("__size")).otherwise(0)).over(upto))
+    rows = rows.withColumn("__over", F.max(is_open & (F.col("__run") > F.col("__left"))).over(upto))
+    takes = is_open & ~F.col("__over")
+    rows = rows.withColumn("__used", F.coalesce(F.max(F.when(takes, F.col("__run"))).over(whole), F.lit(0)))
+    left = F.col("__left") - F.col("__used")
+    taken = F.when(~is_open, F.col("__taken")).when(takes, True).when(F.col("__size") > left, False)
+    return rows.withColumns({"__taken": taken, "__left": left}).drop("__run", "__over", "__used")
+
+
 def take_budget_greedy(df: DataFrame, group: Sequence[str], key: str, order: Sequence[str], size: str, budget: int, skip_reason: Column | None = None) -> DataFrame:
     """(group, key, reason): in order, rows that still fit are taken (reason null), others skipped
-    (``over_budget``); rows with a reason of their own never count. What a row may take depends on all before
-    it, so a group is gone through in order: sorted keys and sizes alone, one at a time, with a running sum;
-    they meet their texts again by key. Rows larger than the budget never fit and aren't sorted."""
+    (``over_budget``); rows with a reason of their own never count.
+
+    Up to the first row that doesn't fit, what is used is a running sum. So each step takes the longest run of rows that fits, and drops the
+    row behind it with all that are larger than what is left; the next step does so with the rest. Steps share one shuffle and
+    sort of keys and sizes; after ``STEPS`` of them rows are written and those that are open are gone on with. A step takes or drops
+    a row of each group at least; as what is left shrinks and larger rows go at once, a few steps are the rule."""
     reason = skip_reason if skip_reason is not None else F.lit(None).cast("string")
-    lean = df.select(*group, key, *[F.col(o).alias(f"__o{i}") for i, o in enumerate(order)], F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")).alias("__size"), reason.alias("__why"))
+    by = [f"__o{i}" for i in range(len(order))]
+    lean = df.select(*group, key, *[F.col(o).alias(n) for o, n in zip(order, by, strict=True)], F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")).alias("__size"), reason.alias("__why"))
     lean = lean.withColumn("__why", F.coalesce("__why", F.when(F.col("__size") > budget, "over_budget")))
-    own = lean.filter("__why is not null").select(*group, key, F.col("__why").alias("reason"))
-    in_order = Window.partitionBy(*group).orderBy(*[f"__o{i}" for i in range(len(order))], key, "__size")
-    rows = lean.filter("__why is null").select(*group, key, "__size", (F.row_number().over(in_order) == 1).alias("__first"))
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        used = 0
-        for b in batches:
-            reasons = []
-            for first, n in zip(b.column("__first").to_pylist(), b.column("__size").to_pylist(), strict=True):
-                used = 0 if first else used
-                fits = used + n <= budget
-                used += n if fits else 0
-                reasons.append(None if fits else "over_budget")
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*group, key)), pa.array(reasons, pa.string())], names=[*group, key, "reason"])
-
-    schema = T.StructType([*(rows.schema[c] for c in (*group, key)), T.StructField("reason", T.StringType())])
-    return rows.mapInArrow(fold, schema).unionByName(own)
+    out = lean.filter("__why is not null").select(*group, key, F.col("__why").alias("reason"))
+    rows = lean.filter("__why is null").drop("__why").withColumns({"__taken": F.lit(None).cast("boolean"), "__left": F.lit(budget).cast("long")})
+    while True:
+        for _ in range(STEPS):
+            rows = _greedy_step(rows, group, [*by, key, "__size"])
+        rows = written(rows, "greedy")
+        out = out.unionByName(rows.filter("__taken is not null").select(*group, key, F.when(~F.col("__taken"), "over_budget").alias("reason")))
+        rows = rows.filter("__taken is null")
+        if not rows.limit(1).count():
+            return out
 
 
 def select_sections(df: DataFrame, group: Sequence[str], order: Sequence[str], text: str, start: str, end: str, excluded: str) -> DataFrame:

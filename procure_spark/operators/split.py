@@ -8,21 +8,39 @@ from pyspark.sql import functions as F
 from procure_spark.functions.text import allowed_url, blank, canonical_url
 
 
+#: Pieces, or parts, of a part that is folded at once; levels of parts.
+PART, LEVELS = 64, 3
+
+
 def _parts(df: DataFrame, parts: Column, name: str) -> DataFrame:
     return df.select("*", F.posexplode(parts).alias("pos", name))
 
 
 def packed(pieces: Column, limit: int, separator: str) -> Column:
     """An array's strings joined in order to strings of up to ``limit`` characters; a longer one stands
-    alone. A fold over one row's pieces."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
+    alone. A fold over one row's pieces. What a fold holds is copied at each step, so pieces are folded by parts of ``PART``, these by parts of
+    as many parts, and so on for ``LEVELS``: at each level what is done grows within a part only, and a very long text costs little
+    more a piece than a short one."""
+    state = lambda done, open_: F.struct(done.alias("done"), open_.alias("open"))
+    nothing = F.array().cast("array<string>")
+    once = lambda c, f: F.element_at(F.transform(F.array(c), f), 1)  # noqa: E731  c is computed once, whatever f does with it
 
     def add(acc: Column, piece: Column) -> Column:
         fits = F.length(acc["open"]) + len(separator) + F.length(piece) <= limit
         done = F.when(acc["open"].isNull() | fits, acc["done"]).otherwise(F.array_append(acc["done"], acc["open"]))
-        return F.struct(done.alias("done"), F.when(acc["open"].isNotNull() & fits, F.concat(acc["open"], F.lit(separator), piece)).otherwise(piece).alias("open"))
-
-    return F.aggregate(pieces, start, add, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
+        return state(done, F.when(acc["open"].isNotNull() & fits, F.concat(acc["open"], F.lit(separator), piece)).otherwise(piece))
+
+    def fold(level: int, open_: Column, own: Column) -> Column:
+        if level == 0:
+            return F.aggregate(own, state(nothing, open_), add)
+        size = PART**level
+        starts = F.when(F.size(own) > 0, F.sequence(F.lit(1), F.size(own), F.lit(size))).otherwise(F.array().cast("array<int>"))
+        parts = F.transform(starts, lambda i: F.slice(own, i, size))
+        step = lambda acc, part: once(fold(level - 1, acc["open"], part), lambda x: state(F.concat(acc["done"], x["done"]), x["open"]))
+        return F.aggregate(parts, state(nothing, open_), step)
+
+    ended = lambda x: F.when(x["open"].isNull(), x["done"]).otherwise(F.array_append(x["done"], x["open"]))
+    return once(pieces, lambda own: once(fold(LEVELS, F.lit(None).cast("string"), own), ended))
 
 
 def blocks(text: Column, large: int = 5000, repack: int = 2500) -> Column:
