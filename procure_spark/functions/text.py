@@ -277,15 +277,38 @@ def allowed_url(col: Column, domain: str, force: tuple[str, str] | None = None,
     return fine
 
 
-def repair_filename(col: Column, most: int = 180) -> Column:
-    """A file name fit for any file system; latin-1 readings of UTF-8 are undone where Cyrillic appears."""
-    name = blank(col)
-    raw = F.encode(name, "ISO-8859-1")
-    fixed = F.when(F.is_valid_utf8(F.try_validate_utf8(raw.cast("string"))), F.try_validate_utf8(raw.cast("string")))
-    name = F.when(~name.rlike("[^\\x00-\\xff]") & fixed.rlike("[а-яА-ЯёЁ]"), fixed).otherwise(name)
+#: What windows-1251 reads where latin-1 reads the characters 128 to 255; one byte stands for none.
+_LATIN = bytes(range(128, 256)).decode("latin-1").replace("\x98", "")
+_CYRILLIC = bytes(b for b in range(128, 256) if b != 0x98).decode("cp1251")
+
+
+def _reread(name: Column) -> Column:
+    """A name whose bytes were read as latin-1: read as UTF-8, or else as windows-1251, where Cyrillic appears by it. Names that hold
+    Cyrillic or other characters beyond latin-1 stay."""
+    raw = F.encode(name, "ISO-8859-1").cast("string")
+    utf8, cyrillic = F.try_validate_utf8(raw), "[а-яА-ЯёЁ]"
+    windows = F.translate(F.replace(name, F.lit("\x98"), F.lit("")), _LATIN, _CYRILLIC)
+    return F.when(name.rlike("[^\\x00-\\xff]"), name).when(utf8.rlike(cyrillic), utf8).when(windows.rlike(cyrillic), windows).otherwise(name)
+
+
+def _safe_name(name: Column, most: int) -> Column:
     return F.substring(chain(name, (r'[\\/:*?"<>|\x00-\x1f]', "_"), (r"^[ .]+|[ .]+$", "")), 1, most)
 
 
+def repair_filename(col: Column, most: int = 180) -> Column:
+    """A file name fit for any file system; latin-1 readings of UTF-8 and windows-1251 are undone where Cyrillic appears."""
+    return _safe_name(_reread(blank(col)), most)
+
+
+def disposition_filename(col: Column, most: int = 180) -> Column:
+    """The file name that a Content-Disposition header tells: ``filename*=UTF-8''…`` if it can be decoded, else ``filename=``
+    repaired; null without either."""
+    star = F.regexp_extract(col, r"(?i)filename\*\s*=\s*UTF-8''([^;]+)", 1)
+    told = F.try_url_decode(F.replace(F.nullif(star, F.lit("")), F.lit("+"), F.lit("%2B")))
+    plain = F.nullif(F.regexp_extract(col, r'(?i)filename\s*=\s*"?([^";]+)"?', 1), F.lit(""))
+    return F.coalesce(_safe_name(told, most), F.when(plain.isNotNull(), repair_filename(F.trim(plain), most)))
+
+
 def audit_signature(content: Column, name: Column, magic: dict[str, list[str]] = L.MAGIC, least: int = 100) -> Column:
     """ok, empty, html, too_small, or mismatch, from a file's first bytes and its name's extension."""
     start = F.hex(F.substring(content, 1, 8))

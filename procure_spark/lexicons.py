@@ -219,3 +219,7 @@ REPORT_HEADERS = [
 ]
 
 REPORT_TABLES = ["## 0. Карточка Заказчика", "## 0.1. Сводная таблица товаров", "## 3.1. Возможность поставки эквивалентов"]
+
+# Parts of a category and the material types that they tell; the type of all others.
+MATERIAL_TYPES = [("рулон", "Рулонный")]
+OTHER_MATERIAL = "Гидроизоляция"

@@ -6,11 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from procure_spark import lexicons as L
 from procure_spark.functions import text as T
 from procure_spark.operators import facts, match, merge, rules, select, split, upsert
 from procure_spark.registry import written
+from procure_spark.sources import versions
 
 
 def match_analogs(requirements: DataFrame, catalog: DataFrame, external: DataFrame | None, query_id: str, query: str, key: str, title: str, searched: Sequence[str], n: int = 10, stop: Sequence[str] = tuple(L.KEYWORD_STOPWORDS), whitelist: Sequence[str] | None = None, searchable: str | None = None, mode: str = "both", **columns) -> DataFrame:
@@ -102,6 +104,35 @@ def notices_from_pages(pages: DataFrame, ledger: DataFrame, key: str = "reg") ->
     return match.flag_seen(one, ledger, key)
 
 
+#: The columns of the CRM's tenders.
+CRM = "id string, title string, initial_price double, deadline string, status string, risk_level string, region string, law_type string, url string, ntype string"
+
+#: What a new tender has where nothing is told of it.
+CRM_DEFAULTS = {"status": "Found", "risk_level": "Low", "region": "РФ"}
+
+
+def store_tenders(tenders: DataFrame, path: str, version: int, defaults: dict[str, str] = CRM_DEFAULTS) -> DataFrame:
+    """Writes tenders (of the CRM's columns) over those stored at ``path`` by id, where only the buckets that they touch are written anew;
+    status, risk and region stay what they are where nothing new is told. The rows that are returned have no id or no title, and
+    aren't stored."""
+    good, rejected = upsert.split_valid(tenders, ["id", "title"])
+    merge_rows = lambda old, new: upsert.upsert(old, new.select(*old.columns), "id", "title", list(defaults), defaults)
+    versions.upsert_version(tenders.sparkSession, path, good, "id", merge_rows, StructType.fromDDL(CRM), version)
+    return rejected
+
+
+def crm_from_pages(pages: DataFrame, ledger: DataFrame, path: str, version: int) -> DataFrame:
+    """Result pages as merged notices in the CRM at ``path``; returns the notices that it rejects."""
+    found = written(notices_from_pages(pages, ledger), "notices")  # read for the buckets, the rows and the rejects
+    nothing = F.lit(None).cast("string")
+    kind = T.law_type(F.col("reg"), nothing, F.col("href"), nothing, nothing)
+    tenders = found.select(
+        F.trim("reg").alias("id"), F.trim(T.blank(F.col("title"))).alias("title"), T.parse_price(F.col("price")).alias("initial_price"), T.blank(F.col("deadline")).alias("deadline"),
+        *[nothing.alias(c) for c in CRM_DEFAULTS], kind.alias("law_type"), T.blank(F.col("href")).alias("url"), F.lit("").alias("ntype"),
+    )
+    return store_tenders(tenders, path, version)
+
+
 def tender_facts(docs: DataFrame, tender: str, file: str, text: str, status: str | None = None) -> DataFrame:
     """Facts by pattern, reconciled to a row per tender and topic."""
     found = facts.extract_facts(docs, tender, file, text, status)

@@ -88,6 +88,18 @@ def c21_repair_filename(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", T.repair_filename(raw).alias("name"))
 
 
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'тз ' || p_name || '+.pdf' WHEN 1 THEN 'смета ' || p_size || '.xls' WHEN 2 THEN 'тз_' || p_name WHEN 3 THEN p_name || '_b.doc' END AS name FROM part""")
+def c38_disposition_filename(spark: SparkSession, d: str) -> DataFrame:
+    """Headers whose names are encoded, read as latin-1 from windows-1251 and from UTF-8, plain, and missing."""
+    windows, utf8 = "смета".encode("cp1251").decode("latin-1"), "тз".encode().decode("latin-1")
+    header = by_key(
+        F.concat(F.lit("attachment; filename=\"x.pdf\"; FILENAME* = UTF-8''%D1%82%D0%B7%20"), F.replace("p_name", F.lit(" "), F.lit("%20")), F.lit("+.pdf;a")),
+        F.concat(F.lit(f'attachment; filename="{windows} '), "p_size", F.lit('.xls"')), F.concat(F.lit(f"inline;filename={utf8}/"), "p_name"),
+        F.concat(F.lit("filename*=UTF-8''%zz; filename = "), "p_name", F.lit("?b.doc .")), F.lit("inline"),
+    )
+    return read(spark, d, "part").select("p_partkey", T.disposition_filename(header).alias("name"))
+
+
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN p_brand END AS customer, CASE p_partkey % 3 WHEN 0 THEN p_size || ',50' WHEN 1 THEN '1 ' || (100 + p_size) END AS price,
  CASE p_partkey % 3 WHEN 0 THEN '05.03.2024' WHEN 1 THEN '05.03.2024 10:00' ELSE '01.01.2024' END AS deadline FROM part""")
 def c28_card_fields(spark: SparkSession, d: str) -> DataFrame:

@@ -255,6 +255,46 @@ def q06_notices_from_pages(spark: SparkSession, d: str) -> DataFrame:
     return jobs.notices_from_pages(_result_pages(spark, d), ledger)
 
 
+@query(f"""WITH n AS ({NOTICES}), f AS (SELECT reg, arg_min(title, struct_pack(a := -length(title), b := url)) AS title, max(price) AS price, arg_min(href, url) AS href, arg_min(deadline, struct_pack(a := -length(deadline), b := url)) AS deadline FROM n GROUP BY reg),
+c AS (SELECT c_custkey::VARCHAR AS id, CASE WHEN c_custkey % 5 > 0 THEN c_name ELSE ' ' END AS title, 'Won' AS status, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS region FROM customer),
+k AS (SELECT * FROM c WHERE trim(title) <> '')
+SELECT coalesce(reg, id) AS id, coalesce(f.title, k.title) AS title, CASE WHEN reg IS NULL THEN 1.5 WHEN price IS NULL THEN 0 ELSE 1000 END::DOUBLE AS initial_price, coalesce(deadline, '') AS deadline, coalesce(k.status, 'Found') AS status, coalesce(k.region, 'РФ') AS region,
+  CASE WHEN starts_with(reg, '223-') THEN '223-ФЗ' ELSE '44-ФЗ' END AS law_type, 'stored' AS kind FROM f FULL JOIN k ON f.reg = k.id
+UNION ALL SELECT id, title, 1.5, '', status, region, '44-ФЗ', 'rejected' FROM c WHERE trim(title) = ''""")
+def q09_crm_from_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as stored tenders (a fifth of them without a title), notices written over them, twice; what is stored and what isn't."""
+    path = _folder(spark, "q09")
+    nothing = F.lit(None).cast("string")
+    title, region = F.when(F.col("c_custkey") % 5 > 0, F.col("c_name")).otherwise(" "), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment"))
+    first = read(spark, d, "customer").select(
+        F.col("c_custkey").cast("string").alias("id"), title.alias("title"), F.lit(1.5).alias("initial_price"), F.lit("").alias("deadline"), F.lit("Won").alias("status"), nothing.alias("risk_level"),
+        region.alias("region"), F.lit("44-ФЗ").alias("law_type"), F.lit("").alias("url"), F.lit("").alias("ntype"),
+    )
+    rejected = jobs.store_tenders(first, path, 1)
+    ledger = read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("reg"))
+    for version in (2, 3):
+        rejected = rejected.unionByName(jobs.crm_from_pages(_result_pages(spark, d), ledger, path, version))
+    stored = read_version(spark, path, T_.StructType.fromDDL(jobs.CRM))
+    rows = stored.withColumn("kind", F.lit("stored")).unionByName(rejected.withColumn("kind", F.lit("rejected")))
+    return rows.select("id", "title", "initial_price", "deadline", "status", "region", "law_type", "kind")
+
+
+def layouts() -> Column:
+    """Product pages of each layout: rows of divs, a marked table among others, rows of three cells, features, none."""
+    return by_key(
+        said("<h1>a</h1><table><tr><td>no</td><td>x</td></tr></table><div class='a table_dop-info'><div class='table-row'><div class='table-cell'>size:</div><div class='table-cell b'>", "p_size", "</div></div><div class='table-row'>brand: ", "p_brand", "</div></div>"),
+        said("<table><tr><td>no</td><td>x</td></tr></table><table class='specs'><tr><td>size</td><td>", "p_size", "</td><td>mm</td></tr><tr><td>empty</td><td></td></tr></table>"),
+        said("<div class='table-row'>no: x</div><table><tr><td><b>brand</b>:</td><td>", "p_brand", "</td><td>z</td></tr><tr><th>type: ", "p_type", "</th></tr></table>"),
+        said("<ul class='product-features'><li>size: ", "p_size", "</li><li>plain</li></ul><ul><li>no: x</li></ul>"), said("<p>", "p_name", "</p>"),
+    )
+
+
+@query("""SELECT p_partkey::VARCHAR AS url, CASE p_partkey % 5 WHEN 0 THEN 'size: ' || p_size || ' ; brand: ' || p_brand WHEN 1 THEN 'size: ' || p_size WHEN 2 THEN 'brand: ' || p_brand || ' ; type: ' || p_type ELSE 'size: ' || p_size END AS specs FROM part WHERE p_partkey % 5 < 4""")
+def x17_spec_layouts(spark: SparkSession, d: str) -> DataFrame:
+    pages = read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("url"), layouts().alias("html"))
+    return html.page_specs(pages).select("url", T.flatten_specs(F.col("specs")).alias("specs"))
+
+
 TENDER_TOPICS = ("nmcc_prices", "payment", "liability", "equivalents")
 
 

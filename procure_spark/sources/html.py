@@ -3,12 +3,14 @@ parser; what is found is ranked, cleaned and merged in Spark."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from procure_spark import lexicons as L
 from procure_spark.functions import text as T
@@ -17,18 +19,32 @@ from procure_spark.operators.split import absolute_url
 VOID = {"br", "img", "input", "meta", "link", "hr", "source", "wbr", "area", "base", "col", "embed", "track"}
 
 
+# Where rows of properties stand in a product page; the first of these that matches any element holds.
+SPEC_ROWS = ("div.table_dop-info .table-row", "table.specs tr", "table tr", ".product-features li")
+SPEC_CELLS = ("td", "div.table-cell")
+
+
 class Page(HTMLParser):
-    """A page's elements in order: (tag, attributes, text, depth), each with the text inside it."""
+    """A page's elements in the order in which they open. An element knows where it and the text inside it end, so what is
+    inside of it is a range of the elements, and its text a range of the page's."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.elements: list[dict] = []
         self.open: list[dict] = []
+        self.pieces: list[str] = []
         self.feed(html or "")
         self.close()
+        self._end(0)
+
+    def _end(self, at: int) -> None:
+        for element in self.open[at:]:
+            element["end"], element["text_end"] = len(self.elements), len(self.pieces)
+        del self.open[at:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        element = {"tag": tag, "attrs": {k: v or "" for k, v in attrs}, "text": [], "parents": [id(e) for e in self.open]}
+        here, text = len(self.elements), len(self.pieces)
+        element = {"tag": tag, "attrs": {k: v or "" for k, v in attrs}, "at": here, "end": here + 1, "text": text, "text_end": text}
         self.elements.append(element)
         if tag not in VOID:
             self.open.append(element)
@@ -36,53 +52,87 @@ class Page(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at]["tag"] == tag:
-                del self.open[at:]
+                self._end(at)
                 return
 
     def handle_data(self, data: str) -> None:
-        if self.open and self.open[-1]["tag"] in ("script", "style"):
-            return
-        for element in self.open:
-            element["text"].append(data)
+        if not self.open or self.open[-1]["tag"] not in ("script", "style"):
+            self.pieces.append(data)
 
     def text(self, element: dict) -> str:
-        return " ".join("".join(element["text"]).split())
+        return " ".join("".join(self.pieces[element["text"] : element["text_end"]]).split())
+
+    def inside(self, within: dict | None) -> list[dict]:
+        return self.elements if within is None else self.elements[within["at"] + 1 : within["end"]]
 
     def all(self, *tags: str, within: dict | None = None) -> list[dict]:
-        return [e for e in self.elements if e["tag"] in tags and (within is None or id(within) in e["parents"])]
+        return [e for e in self.inside(within) if e["tag"] in tags]
 
     def classed(self, mark: str) -> list[dict]:
         return [e for e in self.elements if mark in e["attrs"].get("class", "")]
 
+    def select(self, selector: str, within: dict | None = None) -> list[dict]:
+        """Elements by a selector of tags, ``.classes`` and ``#ids``, each part inside of the one before."""
+        *outer, last = [re.findall(r"([.#]?)([\w-]+)", part) for part in selector.split()]
+        scopes = [self.inside(within)]
+        for part in outer:
+            # Of nested matches the outer one has all that the inner ones have.
+            found, end = [], -1
+            for e in (e for scope in scopes for e in scope if _fits(e, part)):
+                if e["at"] >= end:
+                    found.append(self.inside(e))
+                    end = e["end"]
+            scopes = found
+        return [e for scope in scopes for e in scope if _fits(e, last)]
+
+    def specs(self, rows: Sequence[str] = SPEC_ROWS, cells: Sequence[str] = SPEC_CELLS) -> list[tuple[str, str]]:
+        """Property pairs: the first two cells of each row, or ``name: value`` in a row without cells; of a page without such rows its
+        definition list, or else the list items of that form. Of equal names the last holds."""
+        pairs = []
+        for row in next((found for found in map(self.select, rows) if found), []):
+            own = next((found for found in (self.select(c, row) for c in cells) if len(found) >= 2), None)
+            pairs.append((self.text(own[0]), self.text(own[1])) if own else self.text(row).partition(":")[::2])
+        pairs = [(k.replace(":", "").strip(), v.strip()) for k, v in pairs]
+        pairs = [(k, v) for k, v in pairs if k and v]
+        if not pairs:
+            pairs = list(zip(map(self.text, self.all("dt")), map(self.text, self.all("dd")), strict=False))
+        if not pairs:
+            pairs = [tuple(x.strip() for x in self.text(e).split(":", 1)) for e in self.all("li") if ":" in self.text(e)]
+        held: dict[str, str] = {}
+        for k, v in pairs:
+            held.pop(k, None)
+            held[k] = v
+        return list(held.items())
+
+
+def _fits(element: dict, part: list[tuple[str, str]]) -> bool:
+    classes, own = element["attrs"].get("class", "").split(), element["attrs"].get("id")
+    return all(name in classes if kind == "." else name == own if kind == "#" else name == element["tag"] for kind, name in part)
+
 
 def _each_page(df: DataFrame, find: Callable[[Page], list[tuple]], columns: str) -> DataFrame:
-    """A row with the given columns for each tuple that ``find`` gives for a page (url, html)."""
-    names = [c.split()[0] for c in columns.split(",")] if "<" not in columns else None
+    """A row with the given columns for each tuple that ``find`` gives for a page (url, html), which is parsed once."""
+    names = StructType.fromDDL(columns).names
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(url, *found) for url, html in zip(b["url"], b["html"], strict=True) for found in find(Page(html))]
-            yield pd.DataFrame(rows, columns=["url", *(names or [])])
+            yield pd.DataFrame(rows, columns=["url", *names])
 
     return df.select("url", "html").mapInPandas(parse, f"url string, {columns}")
 
 
-def page_specs(df: DataFrame) -> DataFrame:
-    """(url, specs): property pairs of a page from table rows, else definition lists, else ``name: value``
-    list items; of equal names the last holds."""
+PAIRS = "pairs array<struct<name: string, value: string>>"
 
-    def find(page: Page) -> list[tuple]:
-        rows = [[page.text(c) for c in page.all("td", "th", within=r)] for r in page.all("tr")]
-        pairs = [(r[0], r[1]) for r in rows if len(r) == 2 and r[0]]
-        if not pairs:
-            pairs = list(zip(map(page.text, page.all("dt")), map(page.text, page.all("dd")), strict=False))
-        if not pairs:
-            pairs = [tuple(x.strip() for x in page.text(e).split(":", 1)) for e in page.all("li") if ":" in page.text(e)]
-        return [(k, v, i) for i, (k, v) in enumerate(pairs)]
 
-    last = _each_page(df, find, "name string, value string, at int").groupBy("url", "name").agg(F.max_by("value", "at").alias("value"), F.max("at").alias("at"))
-    entries = F.transform(F.array_sort(F.collect_list(F.struct("at", "name", "value"))), lambda e: F.struct(e["name"], e["value"]))
-    return last.groupBy("url").agg(F.map_from_entries(entries).alias("specs"))
+def _named(pairs: list[tuple[str, str]]) -> list[dict]:
+    return [{"name": k, "value": v} for k, v in pairs]
+
+
+def page_specs(df: DataFrame, rows: Sequence[str] = SPEC_ROWS) -> DataFrame:
+    """(url, specs): the property pairs of each page that has any, in the order in which they were last named."""
+    found = _each_page(df, lambda page: [(_named(pairs),) for pairs in [page.specs(rows)] if pairs], PAIRS)
+    return found.select("url", F.map_from_entries("pairs").alias("specs"))
 
 
 def page_attachments(df: DataFrame, marks: tuple[str, ...] = L.DOWNLOAD_MARKS) -> DataFrame:
@@ -125,15 +175,21 @@ def page_notices(df: DataFrame, card_class: str = "search-registry-entry-block",
     )
 
 
-def page_products(df: DataFrame, crumbs_class: str = "breadcrumb", description_class: str = "description", most: int = 3000, stop=("Главная", "Каталог")) -> DataFrame:
-    """(url, title, category, price, description, specs) of product pages."""
+def page_products(df: DataFrame, crumbs_class: str = "breadcrumb", description_class: str = "description", most: int = 3000, stop=("Главная", "Каталог"), materials: Sequence[tuple[str, str]] = tuple(L.MATERIAL_TYPES), other: str = L.OTHER_MATERIAL) -> DataFrame:
+    """(url, title, category, price, description, specs, material_type) of product pages, each parsed once. material_type: that of
+    the first of ``materials`` (part of a category, type) which the category holds, or else ``other``."""
 
     def find(page: Page) -> list[tuple]:
         first = lambda es: page.text(es[0]) if es else ""
         crumbs = [page.text(a) for box in page.classed(crumbs_class)[:1] for a in page.all("a", "span", "li", within=box)]
-        body = page.all("body")
-        return [(first(page.all("h1")), "\x1f".join(crumbs), first(body), first(page.classed(description_class))[:most])]
+        return [(first(page.all("h1")), "\x1f".join(crumbs), first(page.all("body")), first(page.classed(description_class))[:most], _named(page.specs()))]
 
-    found = _each_page(df, find, "title string, crumbs string, body string, description string").filter("title <> ''")
-    rows = found.select("url", "title", T.category_path(F.array_distinct(F.split("crumbs", "\x1f")), F.col("title"), stop).alias("category"), T.catalog_price(F.col("body")).alias("price"), "description")
-    return rows.join(page_specs(df), "url", "left")
+    found = _each_page(df, find, f"title string, crumbs string, body string, description string, {PAIRS}").filter("title <> ''")
+    rows = found.select(
+        "url", "title", T.category_path(F.array_distinct(F.split("crumbs", "\x1f")), F.col("title"), stop).alias("category"), T.catalog_price(F.col("body")).alias("price"), "description",
+        F.when(F.size("pairs") > 0, F.map_from_entries("pairs")).alias("specs"),
+    )
+    kind = F.lit(other)
+    for part, name in reversed(materials):
+        kind = F.when(F.contains(F.lower(T.blank(F.col("category"))), F.lit(part.lower())), name).otherwise(kind)
+    return rows.withColumn("material_type", kind)

@@ -1,10 +1,12 @@
 """Golden rows of the row-producing operators and jobs."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from procure_spark.operators import facts, match, merge, rollup, rules, select, split, upsert
 from procure_spark.plans import jobs
 from procure_spark.sources import html, tables
+from procure_spark.sources.versions import read_version
 
 
 def test_markdown_tables_pad_rows(spark):
@@ -153,6 +155,32 @@ def test_pages(spark):
     assert len(paired) == 1 and paired[0]["signature"].endswith(".sig?uid=1")
 
 
+def test_long_tables_and_selectors(spark):
+    page = html.Page("<div class='a'><p id='x'>1<b>2</b></p><div class='a b'><p>3</p></div></div><p>4</p><div class='a'><p>5<br>6")
+    texts = lambda selector: [page.text(e) for e in page.select(selector)]
+    assert texts("p") == ["12", "3", "4", "56"] and texts(".a p") == ["12", "3", "56"] and texts("div.a.b p") == ["3"]
+    assert texts("#x b") == ["2"] and texts(".a .a p") == ["3"] and texts(".c p") == [] and page.all("p", within=page.select(".b")[0])[0]["at"] == 4
+    rows = "".join(f"<tr><td>k{i}:</td><td>v{i}</td><td>x</td></tr>" for i in range(50_000))
+    found = html.page_specs(spark.createDataFrame([("u", f"<table>{rows}</table>"), ("none", "<p>x</p>"), ("null", None)], "url string, html string")).collect()
+    assert len(found) == 1 and len(found[0]["specs"]) == 50_000 and found[0]["specs"]["k49999"] == "v49999"
+    felt = "<body><div class='breadcrumb'><a>Рулонные</a></div><h1>Рубероид</h1><p>10 р./м2</p></body>"
+    kinds = [(r["title"], r["material_type"], r["specs"]) for r in html.page_products(spark.createDataFrame([("u", felt), ("v", "<h1>Лак</h1>")], "url string, html string")).collect()]
+    assert sorted(kinds) == [("Лак", "Гидроизоляция", None), ("Рубероид", "Рулонный", None)]
+
+
+def test_tenders_are_stored_once(spark, tmp_path):
+    path, row = str(tmp_path / "crm"), ("1", "a", 1.0, "", None, None, None, "44-ФЗ", "", "")
+    schema = StructType.fromDDL(jobs.CRM)
+    stored = lambda: sorted(map(tuple, read_version(spark, path, schema).collect()))
+    rejected = jobs.store_tenders(spark.createDataFrame([row, ("2", " ", *row[2:]), (None, "x", *row[2:])], schema), path, 1)
+    assert rejected.count() == 2 and stored() == [("1", "a", 1.0, "", "Found", "Low", "РФ", "44-ФЗ", "", "")]
+    jobs.store_tenders(spark.createDataFrame([("1", "b", 2.0, "", "Won", None, None, "44-ФЗ", "", ""), ("3", "c", *row[2:])], schema), path, 2)
+    after = [("1", "b", 2.0, "", "Won", "Low", "РФ", "44-ФЗ", "", ""), ("3", "c", 1.0, "", "Found", "Low", "РФ", "44-ФЗ", "", "")]
+    assert stored() == after
+    jobs.store_tenders(spark.createDataFrame([("1", "b", 2.0, *row[3:]), ("3", "c", *row[2:])], schema), path, 3)
+    assert stored() == after
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "t1").mkdir()
     (tmp_path / "t1" / "A.PDF").write_bytes(b"12345")
