@@ -100,9 +100,16 @@ FACT_RULES = [
     ("nmcc_prices", "nmcc", "high", r"(нмцк|начальная\s*\(?максимальная\)?\s*цена\s*контракта)[\s:.-]*([\d\s.,]+)\s*(руб|₽)", 2),
     ("payment", "advance_percent", "medium", r"(аванс|авансовый\s*платеж)[^\.]{0,120}?(\d+(?:[.,]\d+)?)\s*%", 2),
     ("liability", "penalty_percent", "medium", r"(штраф|пеня|пени|неустойка)[^\.]{0,160}?(\d+(?:[.,]\d+)?)\s*%", 2),
-    ("payment", "payment_days", "high", r"оплат[^\.]{0,180}?в\s*течение\s*(\d+)\s*(рабочих|календарных)?\s*дней", 1),
+    ("payment", "payment_days", "high", r"оплат[^\.]{0,180}?в\s*течение\s*(\d+)\s*(рабочих|календарных)?\s*дней", 1, 2),
 ]
 
+# The kind of days where a term names none; what a header of a table of items names; warnings about positions.
+PLAIN_DAYS = "дней"
+ITEM_WORDS = ["наименование", "товар", "услуг", "работ"]
+QUANTITY_WORDS = ["количеств", "объем", "кол-во"]
+NO_CHARACTERISTICS = "У найденных позиций отсутствуют характеристики"
+NO_QUANTITIES = "У найденных позиций отсутствуют количества из-за неполного распознавания или их отсутствия в тексте"
+
 MEASURES = {
     "thickness": [r"толщин[аы]?[^\d]{0,15}(\d+(?:\.\d+)?)", r"\b(\d+(?:\.\d+)?)\s*мм\b"],
     "mass": [r"масс[аы]?[^\d]{0,15}(\d+(?:\.\d+)?)", r"\b(\d+(?:\.\d+)?)\s*кг/?м2\b", r"\b(\d+(?:\.\d+)?)\s*кг/?м²"],

@@ -119,12 +119,12 @@ def _bands(delta: Column, steps: list[tuple[float, int, str]], other: tuple[int,
 def _title_keys(titles: DataFrame, start: int) -> DataFrame:
     """(q, o, t) -> (q, o, key, starts): the starts of titles that a title holds, with whether it starts so itself. Only pieces as
     long as some start are looked at, and only starts are kept, so nothing is made for a pair of titles."""
-    begun = titles.select("q", "o", F.substring("t", 1, start).alias("key"))
+    begun = titles.select("q", F.substring("t", 1, start).alias("key")).distinct()
     lengths = begun.groupBy("q").agg(F.collect_set(F.length("key")).alias("ns"))  # start + 1 numbers at most
     length = F.length("t")
     pieces = F.transform("ns", lambda n: F.when(n == 0, F.array(F.lit(""))).when(n <= length, F.transform(F.sequence(F.lit(1), length - n + 1), lambda i: F.substring("t", i, n))).otherwise(F.array().cast("array<string>")))
     held = titles.join(lengths, "q").select("q", "o", F.substring("t", 1, start).alias("own"), F.explode(F.array_distinct(F.flatten(pieces))).alias("key"))
-    return held.join(begun.select("q", "key").distinct(), ["q", "key"], "left_semi").select("q", "o", "key", (F.col("key") == F.col("own")).alias("starts"))
+    return held.join(F.broadcast(begun) if begun.count() <= ASKED else begun, ["q", "key"], "left_semi").select("q", "o", "key", (F.col("key") == F.col("own")).alias("starts"))
 
 
 def dedup_sources(local: DataFrame, external: DataFrame, query_id: str, title: str, seq: str, start: int = 15) -> DataFrame:
@@ -134,12 +134,15 @@ def dedup_sources(local: DataFrame, external: DataFrame, query_id: str, title: s
     it resembles is open; both are found for all titles at once, by what they start with, in rounds until none is
     open. The work of a round is that of the titles' pieces, however many of them resemble each other."""
     low = F.lower(F.trim(blank(F.col(title))))
-    of = F.to_json(F.struct(F.col(query_id).alias("q")))  # tells nulls, which are a query like others
+    of = F.struct(F.col(query_id).alias("q"))  # structs of nulls are equal: a query like others
     number = external.schema[seq].dataType
     order = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.alias("s"), F.col("t"))
     ours = local.select(of.alias("q"), low.alias("t")).distinct().select("q", order(0, F.lit(None).cast(number)).alias("o"), "t")
-    theirs = external.select(of.alias("q"), F.col(seq).alias("s"), low.alias("t")).distinct().select("q", order(1, F.col("s")).alias("o"), "t")
-    rows = written(_title_keys(ours.unionByName(theirs), start).withColumn("kept", F.col("o.kind") == 0), "j03-keys")
+    # Of equal titles only the first can be kept: what drops it drops the others.
+    theirs = external.groupBy(of.alias("q"), low.alias("t")).agg(F.min(seq).alias("s"), F.count(F.lit(1)).alias("n"), F.count(seq).alias("m"))
+    theirs = theirs.select("q", F.when(F.col("n") == F.col("m"), F.col("s")).alias("s"), "t").select("q", order(1, F.col("s")).alias("o"), "t")
+    titles = written(ours.unionByName(theirs), "j03-titles")
+    rows = written(_title_keys(titles, start).withColumn("kept", F.col("o.kind") == 0), "j03-keys")
     found = []
     while True:
         open_one = ~F.col("kept")

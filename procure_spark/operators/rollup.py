@@ -48,22 +48,30 @@ def fragment_stats(df: DataFrame, keys: Sequence[str], kind: str, kinds: Sequenc
     return df.groupBy(*keys).agg(*[F.sum((F.col(kind) == k).cast("long")).alias(k.lower()) for k in kinds], F.count("*").alias("fragments"), F.sum(F.length(blank(F.col(text)))).alias("chars"))
 
 
-def packet_stats(df: DataFrame, group: str, status: str, text: str, success: Sequence[str] = ("success",), archive: Column | None = None) -> DataFrame:
+def packet_stats(df: DataFrame, group: str, status: str, text: str, success: Sequence[str] = ("success",), archive: Column | None = None, pages: Column | None = None, tables: Column | None = None) -> DataFrame:
+    """A packet's files, and the characters of those that were read; with the numbers of each file's pages or tables also those."""
     ok = F.col(status).isin(*success)
     archives = archive if archive is not None else F.lit(False)
     n = lambda c: F.sum(c.cast("long"))
     return df.groupBy(group).agg(
-        F.count("*").alias("files"), n(ok).alias("success"), n(~ok).alias("failed"), n(archives).alias("archives"), F.sum(F.when(ok, F.length(blank(F.col(text)))).otherwise(0)).alias("chars"), (n(~ok) + n(archives) > 0).alias("degraded")
-    )
+        F.count("*").alias("files"), n(ok).alias("success"), n(~ok).alias("failed"), n(archives).alias("archives"), F.sum(F.when(ok, F.length(blank(F.col(text)))).otherwise(0)).alias("chars"), (n(~ok) + n(archives) > 0).alias("degraded"),
+        *[F.coalesce(F.sum(F.when(ok, c)), F.lit(0)).cast("long").alias(name) for name, c in (("pages", pages), ("tables", tables)) if c is not None],
+    )
 
 
-def quality_summary(df: DataFrame, group: Sequence[str], quantity: str, unit: str, n_characteristics: str, blanks: Sequence[str] = tuple(L.BLANK_VALUES)) -> DataFrame:
+def quality_summary(df: DataFrame, group: Sequence[str], quantity: str, unit: str, n_characteristics: str, blanks: Sequence[str] = tuple(L.BLANK_VALUES), archive: Column | None = None) -> DataFrame:
+    """How many positions have what; degraded if none has a quantity or characteristics. archive: whether a row comes of a packet whose
+    archives were skipped, which degrades it too; then with warnings."""
     real = lambda c: ~F.lower(F.trim(blank(F.col(c).cast("string")))).isin(*blanks)
     n = lambda c: F.sum(c.cast("long"))
     some = F.coalesce(F.col(n_characteristics), F.lit(0)) > 0
-    return df.groupBy(*group).agg(
-        F.count("*").alias("positions"), n(real(quantity)).alias("with_quantity"), n(real(unit)).alias("with_unit"), n(some).alias("with_characteristics"), (n(real(quantity)) + n(some) == 0).alias("degraded")
-    )
+    degraded = n(real(quantity)) + n(some) == 0
+    more = []
+    if archive is not None:
+        blocked = F.bool_or(archive)
+        degraded = degraded | blocked
+        more = [blocked.alias("archives_blocking"), F.array_compact(F.array(F.when(n(some) == 0, F.lit(L.NO_CHARACTERISTICS)), F.when(n(real(quantity)) == 0, F.lit(L.NO_QUANTITIES)))).alias("warnings")]
+    return df.groupBy(*group).agg(F.count("*").alias("positions"), n(real(quantity)).alias("with_quantity"), n(real(unit)).alias("with_unit"), n(some).alias("with_characteristics"), degraded.alias("degraded"), *more)
 
 
 def package_outcome(df: DataFrame, group: str, name: str, status: str, critical: str, report_chars: str, least: int = 300) -> DataFrame:

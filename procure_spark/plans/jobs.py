@@ -133,8 +133,10 @@ def crm_from_pages(pages: DataFrame, ledger: DataFrame, path: str, version: int)
     return store_tenders(tenders, path, version)
 
 
-def tender_facts(docs: DataFrame, tender: str, file: str, text: str, status: str | None = None) -> DataFrame:
-    """Facts by pattern, reconciled to a row per tender and topic."""
+def tender_facts(docs: DataFrame, tender: str, file: str, text: str, status: str | None = None, tables: DataFrame | None = None, table: str = "table") -> DataFrame:
+    """Facts by pattern, and of tables (tender, file, table) that list items, reconciled to a row per tender and topic."""
     found = facts.extract_facts(docs, tender, file, text, status)
+    if tables is not None:
+        found = found.unionByName(facts.table_facts(tables, tender, file, table))
     order = Window.partitionBy(tender).orderBy(file, "topic", "value_type", "value_raw")
     return merge.reconcile(found.withColumn("seq", F.row_number().over(order)), tender)

@@ -121,16 +121,16 @@ LISTED = ["#1", "#2", "ring", "bolt"]
 b AS (SELECT *, list_distinct(list_filter(string_split(k, ' '), lambda x: length(x) >= 2)) AS ws FROM a),
 c AS (SELECT query_id, p_partkey, p_name AS title, ((CASE WHEN contains(t, k) THEN 60 ELSE 0 END) + least(40, 10 * len(list_filter(ws, lambda x: contains(h, x)))) + least(20, 4 * len(list_filter(ws, lambda x: contains(whole, x) AND NOT contains(h, x)))))::INT AS analog_score FROM b),
 l AS (SELECT query_id, list(lower(trim(title))) AS seen FROM c GROUP BY 1),
-e AS (SELECT o.p_partkey AS query_id, p.p_partkey, p.p_name || ' ' || lower(p.p_type) AS title, (p.p_partkey % 100)::INT AS analog_score, row_number() OVER (PARTITION BY o.p_partkey ORDER BY p.p_partkey) AS i FROM part o JOIN part p ON p.p_size = o.p_size WHERE o.p_partkey % 50 = 0),
+e AS (SELECT o.p_partkey AS query_id, p.p_partkey, p.p_name || ' ' || lower(p.p_type) AS title, (p.p_partkey % 100)::INT AS analog_score, row_number() OVER (PARTITION BY o.p_partkey ORDER BY p.p_partkey) AS i FROM part o JOIN part p ON p.p_size = o.p_size AND p.p_type = o.p_type WHERE o.p_partkey % 50 = 0),
 f AS (SELECT e.query_id, e.p_partkey, e.title, e.analog_score, 1 AS i, coalesce(l.seen, []) AS before FROM e LEFT JOIN l ON l.query_id = e.query_id WHERE e.i = 1
  UNION ALL SELECT e.query_id, e.p_partkey, e.title, e.analog_score, e.i::INT, CASE WHEN len(list_filter(f.before, lambda k: contains(k, substr(f.title, 1, 15)) OR contains(f.title, substr(k, 1, 15)))) > 0 THEN f.before ELSE list_append(f.before, f.title) END FROM f JOIN e ON e.query_id = f.query_id AND e.i = f.i + 1),
 r AS (SELECT *, 'local' AS source FROM c UNION ALL SELECT query_id, p_partkey, title, analog_score, 'external' FROM f WHERE len(list_filter(before, lambda k: contains(k, substr(f.title, 1, 15)) OR contains(f.title, substr(k, 1, 15)))) = 0)
 SELECT *, CASE WHEN analog_score >= 90 THEN 'excellent' WHEN analog_score >= 70 THEN 'good' WHEN analog_score >= 50 THEN 'fair' ELSE 'weak' END AS band, row_number() OVER (PARTITION BY query_id ORDER BY analog_score DESC, p_partkey, source DESC)::INT AS rank FROM r""")
 def q07_match_analogs(spark: SparkSession, d: str) -> DataFrame:
-    """Parts of the query set against eligible parts, with external offers: all parts of the asked part's size, under a longer title."""
+    """Parts of the query set against eligible parts, with external offers: all parts of the asked part's size and type, under a longer title."""
     part = read(spark, d, "part")
-    asked = part.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), "p_size")
-    offers = part.join(asked, "p_size").select("query_id", "p_partkey", F.concat_ws(" ", "p_name", F.lower("p_type")).alias("title"), (F.col("p_partkey") % 100).cast("int").alias("analog_score"))
+    asked = part.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), "p_size", "p_type")
+    offers = part.join(asked, ["p_size", "p_type"]).select("query_id", "p_partkey", F.concat_ws(" ", "p_name", F.lower("p_type")).alias("title"), (F.col("p_partkey") % 100).cast("int").alias("analog_score"))
     catalog = part.withColumn("open", F.col("p_size") > 3)
     found = match_analogs(_queries(spark, d), catalog, offers, "query_id", "query", "p_partkey", "p_name", ["p_name", "p_type", "p_brand"], 5, whitelist=LISTED, searchable="open", category="p_brand", description="p_type")
     return found.select("query_id", "p_partkey", "title", "analog_score", "source", "band", "rank")

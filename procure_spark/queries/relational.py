@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from procure_spark import lexicons as L
 from procure_spark.operators import merge as A
 from procure_spark.operators import rollup as R
 from procure_spark.operators import select as W
@@ -130,6 +131,25 @@ def a14_quality_summary(spark: SparkSession, d: str) -> DataFrame:
     return R.quality_summary(rows, ["l_orderkey"], "l_returnflag", "l_linestatus", "n", ["n", "o"])
 
 
+@query("""
+SELECT conv_id, count(*) AS files, count(*) FILTER (role = 'assistant') AS success, count(*) FILTER (role <> 'assistant') AS failed, 0::BIGINT AS archives, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS chars, bool_or(role <> 'assistant') AS degraded,
+ coalesce(sum(len(string_split(text, chr(10)))) FILTER (role = 'assistant'), 0)::BIGINT AS pages, coalesce(sum(length(text) - length(replace(text, '.', ''))) FILTER (role = 'assistant'), 0)::BIGINT AS tables FROM conversations GROUP BY 1""")
+def a22_packet_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Lines stand for pages, full stops for tables."""
+    dots = F.length("text") - F.length(F.replace("text", F.lit("."), F.lit("")))
+    return R.packet_stats(read(spark, d, "conversations"), "conv_id", "role", "text", ["assistant"], pages=F.size(F.split("text", "\n")), tables=dots)
+
+
+@query(f"""
+SELECT l_orderkey, count(*) AS positions, count(*) FILTER (l_returnflag <> 'N') AS with_quantity, count(*) FILTER (l_linestatus <> 'O') AS with_unit, count(*) FILTER (l_linenumber > 2) AS with_characteristics, bool_or(l_quantity > 49) AS archives_blocking,
+ count(*) FILTER (l_returnflag <> 'N') + count(*) FILTER (l_linenumber > 2) = 0 OR bool_or(l_quantity > 49) AS degraded,
+ concat_ws(';', CASE WHEN bool_and(l_linenumber <= 2) THEN '{L.NO_CHARACTERISTICS}' END, CASE WHEN bool_and(l_returnflag = 'N') THEN '{L.NO_QUANTITIES}' END) AS warnings FROM lineitem GROUP BY 1""")
+def a23_quality_warnings(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "lineitem").withColumn("n", F.greatest(F.lit(0), F.col("l_linenumber") - 2))
+    found = R.quality_summary(rows, ["l_orderkey"], "l_returnflag", "l_linestatus", "n", ["n", "o"], F.col("l_quantity") > 49)
+    return found.withColumn("warnings", F.array_join("warnings", ";"))
+
+
 @query("""
 WITH p AS (SELECT user_id, list_sort(list(DISTINCT event_type) FILTER (WHERE event_id % 4 <> 0)) AS ok, list_sort(list(DISTINCT event_type) FILTER (WHERE event_id % 4 = 0)) AS bad, bool_or(value > 95) AS c, max(event_id % 1000) AS n FROM events GROUP BY 1)
 SELECT user_id, coalesce(array_to_string(ok, ','), '') AS succeeded, coalesce(array_to_string(bad, ','), '') AS failed, CASE WHEN coalesce(len(ok), 0) = 0 THEN 'error' WHEN c OR n <= 300 OR coalesce(len(bad), 0) > 0 THEN 'partial' ELSE 'success' END AS outcome FROM p""")

@@ -310,3 +310,21 @@ def q08_tender_facts(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "part").select(F.col("p_size").alias("g"), F.col("p_partkey").alias("f"), contract_text().alias("t"))
     found = jobs.tender_facts(docs, "g", "f", "t").filter(F.col("topic").isin(*TENDER_TOPICS) & (F.col("merge_mode") != "not_found"))
     return found.select("g", "topic", "merge_mode", F.array_join(F.array_sort("values"), "|").alias("values"))
+
+
+@query("""SELECT p_partkey AS g, p_size::DOUBLE AS days, CASE p_partkey % 3 WHEN 0 THEN 'рабочих' WHEN 1 THEN 'календарных' ELSE 'дней' END AS day_kind FROM part""")
+def f04_payment_days(spark: SparkSession, d: str) -> DataFrame:
+    text = by_key(*[said("Оплата поставки — в течение ", "p_size", kind) for kind in (" РАБОЧИХ дней. Аванс 5 %", "  календарных дней", " дней")])
+    docs = read(spark, d, "part").select(F.col("p_partkey").alias("g"), F.lit("a").alias("f"), text.alias("t"))
+    return facts.extract_facts(docs, "g", "f", "t").filter("value_type = 'payment_days'").select("g", F.col("value_num").alias("days"), "day_kind")
+
+
+@query("""WITH t AS (SELECT p_size AS g, p_name || ' | ' || p_partkey AS v FROM part WHERE p_partkey % 3 < 2)
+SELECT g, array_to_string(list_sort(list(DISTINCT v)), ';') AS "values" FROM t GROUP BY g""")
+def q08_facts_of_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Tables that list items (two thirds of them) beside contracts' texts."""
+    docs = read(spark, d, "part").select(F.col("p_size").alias("g"), F.col("p_partkey").alias("f"), contract_text().alias("t"))
+    head = by_key(F.lit("№ | Наименование товара | Кол-во"), F.lit("  Виды работ | Объем"), F.lit("Наименование | Цена"))
+    tables_ = read(spark, d, "part").select(F.col("p_size").alias("g"), F.col("p_partkey").alias("f"), F.concat(head, F.lit("\n\n "), "p_name", F.lit(" | "), "p_partkey", F.lit(" \n")).alias("table"))
+    found = jobs.tender_facts(docs, "g", "f", "t", tables=tables_).filter("topic = 'items_quantities' and merge_mode != 'not_found'")
+    return found.select("g", F.array_join(F.array_sort("values"), ";").alias("values"))
