@@ -4,11 +4,12 @@ Trees are grown on text statistics of labelled documents; every path from a root
 a conjunction of thresholds; a logistic regression under an L1 penalty keeps few of them; the kept
 rules and their weights become one Spark column expression, with which all documents are scored.
 
-Training uses at most ``sample`` labelled rows (the bound of the fit, documented here): those with the
-smallest hash of their id. Scores use statistics of the text alone.
+Training uses at most ``sample`` labelled documents (the bound of the fit, documented here): those with the
+smallest hash of their id, a row each. Scores use statistics of the text alone.
 
 Defined cases: null and empty texts have zero statistics and the score of those; null labels are left
-out; of repeated labels of one document the largest counts; if all labels are equal, or there are
+out; of repeated labels of one document the largest counts, of rows that share an id the text of least hash is
+learnt from; a null id has no label and is not held out; repeated rows are scored alike; if all labels are equal, or there are
 none, the score is the share of label 1 (0.5 without labels); other columns of the documents pass
 through, except those named ``score`` and ``predicted``, which are replaced.
 """
@@ -84,12 +85,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample=SAMPLE, keep: Colum
     labels = labels.filter(keep) if keep is not None else labels
     labels = labels.groupBy("doc_id").agg(F.max("quality").cast("double").alias("label"))
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # sample rows at most
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # sample ids at most
+    # Rows that share an id are one to learn from: that of the least text hash.
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
     return rows.repartition(max(8, sample // 1000)).select(share_stats(F.col("text")).alias("stats"), "label")
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample=SAMPLE):

@@ -230,3 +230,14 @@ def test_bounds_hold():
     for parts in topk.RESOLUTIONS:
         bound = np.hstack(topk.segments(q, parts)) @ np.hstack(topk.segments(v, parts)).T
         assert (bound + 1e-6 >= q @ v.T).all()
+
+
+def test_training_has_one_row_per_id(spark):
+    # An id that thousands of rows share is one document to learn from, and a null id is on a side.
+    docs = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("some words "), "id").alias("text")).unionByName(spark.createDataFrame([(8, "others"), (None, "none")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(7, 1), (7, 0), (8, 0), (9, 1)], "doc_id long, quality int")
+    rows = quality.training_rows(docs, labels, 10).collect()
+    assert len(rows) == 2 and sorted(r["label"] for r in rows) == [0.0, 1.0]
+    assert quality.training_rows(docs, labels, 1).count() <= 1
+    told = {r["doc_id"]: r["h"] for r in docs.select("doc_id", quality.held_out().alias("h")).distinct().collect()}
+    assert told[None] is False and None not in told.values()
