@@ -309,11 +309,14 @@ def disposition_filename(col: Column, most: int = 180) -> Column:
     return F.coalesce(_safe_name(told, most), F.when(plain.isNotNull(), repair_filename(F.trim(plain), most)))
 
 
-def audit_signature(content: Column, name: Column, magic: dict[str, list[str]] = L.MAGIC, least: int = 100) -> Column:
-    """ok, empty, html, too_small, or mismatch, from a file's first bytes and its name's extension."""
+def audit_signature(content: Column, name: Column, magic: dict[str, list[str]] = L.MAGIC, least: int = 100, declared: Column | None = None) -> Column:
+    """ok, empty, html, too_small, or mismatch, from a file's first bytes and its name's extension, or where that tells
+    no kind the content type that is declared."""
     start = F.hex(F.substring(content, 1, 8))
     head = F.lower(F.decode(F.substring(content, 1, 64), "ISO-8859-1"))  # any bytes: the cut may part a character
     ext = F.lower(F.regexp_extract(blank(name), r"\.([^.]+)$", 1))
+    if declared is not None:
+        ext = F.when(ext.isin(*magic), ext).otherwise(reduce(lambda c, k: c.when(F.contains(F.lower(blank(declared)), F.lit(k[0])), k[1]), L.DECLARED, F.when(F.lit(False), "")).otherwise(""))
     fits = reduce(lambda a, b: a | b, [(ext == e) & reduce(lambda x, y: x | y, [F.startswith(start, F.lit(m)) for m in ms]) for e, ms in magic.items()], ~ext.isin(*magic))
     return (
         F.when(content.isNull() | (F.octet_length(content) == 0), "empty")

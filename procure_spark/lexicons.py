@@ -230,3 +230,19 @@ REPORT_TABLES = ["## 0. Карточка Заказчика", "## 0.1. Свод
 # Parts of a category and the material types that they tell; the type of all others.
 MATERIAL_TYPES = [("рулон", "Рулонный")]
 OTHER_MATERIAL = "Гидроизоляция"
+
+# What the jobs say of documents and positions, and the marks in the texts that they put together.
+NO_TEXT = "Текст не извлечен"
+NO_FRAGMENTS = "Документ прочитан, но релевантные товарно-технические фрагменты не найдены (role={role})"
+DESCRIPTION_NAME, DESCRIPTION_MARK = "CRM_DESCRIPTION", "[CRM_DESCRIPTION_FALLBACK]"
+ONLY_DESCRIPTION = "Документы тендера отсутствуют. Использовано только описание из CRM как аварийный fallback."
+NO_POSITIONS = "Позиции не выделены автоматически. Требуется ручная проверка блока ТЗ."
+MANY_POSITIONS = "Найдено аномально много позиций. Возможна ошибка OCR или захват служебных таблиц."
+FILE_HEAD = "=== FILE: {name} | DOC_CLASS_HINT: {kind} | PRIORITY: {priority} | STATUS: {status} | TEXT_LEN: {length} ==="
+PAGE_HEAD = "--- PAGE_OR_SHEET: 1 | FRAGMENT_TYPE_HINT: {kind} ---"
+TEXT_MARK = "[TEXT]"
+ARCHIVES = ("zip", "7z", "rar")
+ARCHIVE_REASON, SIZE_REASON = "archive_not_supported_for_direct_analysis", "max_total_chars_exceeded"
+
+# Parts of content types and the extensions that they declare.
+DECLARED = [("pdf", "pdf"), ("wordprocessingml", "docx"), ("spreadsheetml", "xlsx"), ("application/zip", "zip"), ("msword", "doc"), ("application/vnd.ms-excel", "xls")]

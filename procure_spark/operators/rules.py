@@ -154,10 +154,14 @@ def select_context(df: DataFrame, text: str, order: str, topics: dict[str, list[
     return placed.filter((F.col("place") <= cap) & (F.col("first").isNotNull() | (F.col("found") < F.least(F.lit(least), F.col("n"))))).select(*part, order, "place")
 
 
-def filter_tenders(df: DataFrame, text: str = "", columns: Sequence[str] = (), law: str | None = None, law_col: str = "law_type") -> DataFrame:
-    """Tenders of which a column contains the text in any case, and of the law."""
+def filter_tenders(df: DataFrame, text: str = "", columns: Sequence[str] = (), law: str | None = None, law_col: str = "law_type", files: DataFrame | None = None, key: str = "id", has_files: bool | None = None, by_price: str | None = None) -> DataFrame:
+    """Tenders of which a column contains the text in any case, and of the law; with has_files those of which ``files`` (by key) are
+    there, or none; by_price: the column by which they are sorted, the dearest first."""
     found = df.filter(reduce(lambda a, b: a | b, [F.contains(F.lower(blank(F.col(c).cast("string"))), F.lit(text.lower())) for c in columns], F.lit(not columns or not text)))
-    return found.filter(F.col(law_col) == law) if law else found
+    found = found.filter(F.col(law_col) == law) if law else found
+    if has_files is not None:
+        found = found.join(files.select(key).distinct(), key, "left_semi" if has_files else "left_anti")
+    return found.orderBy(F.desc_nulls_last(by_price), key) if by_price else found
 
 
 def global_search(kinds: dict[str, tuple[DataFrame, str, str]], query: str, most: int = 5, least: int = 2) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -54,9 +55,17 @@ def extract_requirements(docs: DataFrame, doc: str, text: str = "text") -> DataF
     merged = merge.merge_requirements(items, [doc, "key"], "seq")
     general = rows.filter(rules.is_general_req(F.col("line"))).select(doc, F.col("pos").alias("seq"), F.col("line").alias("requirement"))
     full = match.attach_general(merged, general, doc, "characteristics", "requirement", "seq")
+    full = full.filter((F.length("position_name") >= 4) & ~rules.is_excluded(F.col("position_name")))
     return full.withColumn("search_query", T.compose_query(F.col("position_name"), F.col("characteristics")))
 
 
+def requirement_warnings(docs: DataFrame, items: DataFrame, doc: str, most: int = 50) -> DataFrame:
+    """(doc, positions, warning): of each document how many positions were found, with a warning if there are none or more than are likely."""
+    counts = items.groupBy(doc).agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    return docs.select(doc).distinct().join(counts, doc, "left").select(doc, n.alias("positions"), F.when(n == 0, L.NO_POSITIONS).when(n > most, L.MANY_POSITIONS).alias("warning"))
+
+
 def extract_positions(docs: DataFrame, doc: str, text: str = "text") -> DataFrame:
     """Specification lines as positions: quantity and unit cut out of the name; each name once."""
     rows = split.split_lines(docs.select(doc, text), text).filter(rules.is_spec_line(F.col("line")))
@@ -65,16 +74,41 @@ def extract_positions(docs: DataFrame, doc: str, text: str = "text") -> DataFram
     return rows.withColumn("__r", F.row_number().over(first)).filter("__r = 1").drop("__r")
 
 
-def matching_text(docs: DataFrame, tender: str, name: str, text: str, budget: int = 24000, block: int = 3500, roles=L.DOC_ROLES, relevance=rules.RELEVANCE, spec_roles=rules.SPEC_ROLES) -> DataFrame:
-    """(tender, matching_text): of each tender's fragments the most relevant, up to the budget."""
+def _matching_parts(docs: DataFrame, tender: str, name: str, text: str, block: int, roles, relevance, spec_roles) -> DataFrame:
+    """Relevant blocks of documents with their score."""
     roled = docs.select(tender, name, text, rules.doc_role(F.col(name), F.col(text), roles).alias("role"))
     parts = split.split_blocks(roled, text).drop(text).withColumn("block", F.substring("block", 1, block))
-    parts = parts.withColumn("score", rules.fragment_relevance(F.col("block"), F.col("role"), relevance, spec_roles)).filter(F.col("score") >= rules.relevance_threshold(F.col("role"), spec_roles))
+    return parts.withColumn("score", rules.fragment_relevance(F.col("block"), F.col("role"), relevance, spec_roles)).filter(F.col("score") >= rules.relevance_threshold(F.col("role"), spec_roles))
+
+
+def matching_text(docs: DataFrame, tender: str, name: str, text: str, budget: int = 24000, block: int = 3500, roles=L.DOC_ROLES, relevance=rules.RELEVANCE, spec_roles=rules.SPEC_ROLES) -> DataFrame:
+    """(tender, matching_text): of each tender's fragments the most relevant, up to the budget."""
+    parts = _matching_parts(docs, tender, name, text, block, roles, relevance, spec_roles)
     kept = select.take_budget_prefix(parts, [tender], [F.desc("score"), F.col(name), F.col("pos")], F.length("block"), budget)
     texts = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), name, "pos", "block"))), lambda x: x["block"])
     return kept.groupBy(tender).agg(F.array_join(texts, "\n\n").alias("matching_text"), F.count("*").alias("blocks"))
 
 
+def matching_package(tenders: DataFrame, docs: DataFrame, tender: str, description: str, name: str, text: str, status: str, budget: int = 24000, block: int = 3500, roles=L.DOC_ROLES, relevance=rules.RELEVANCE, spec_roles=rules.SPEC_ROLES) -> tuple[DataFrame, DataFrame]:
+    """((tender, matching_text, blocks), (tender, filename, status, message)): each tender's matching text, or where it has no
+    documents at all its description; and a warning for each document that couldn't be read or has nothing relevant, and for each
+    tender of which only the description is used."""
+    has_text = ~T.is_blank(F.col(text))
+    readable = docs.filter((F.col(status) == "success") & has_text)
+    found = matching_text(readable, tender, name, text, budget, block, roles, relevance, spec_roles)
+    alone = tenders.join(docs.select(tender).distinct(), tender, "left_anti").filter(~T.is_blank(F.col(description)))
+    fallback = alone.select(tender, F.concat(F.lit(L.DESCRIPTION_MARK + "\n"), F.trim(description)).alias("matching_text"), F.lit(1).cast("long").alias("blocks"))
+    failed = docs.filter(~((F.col(status) == "success") & has_text) | F.col(status).isNull())
+    warn = lambda df, file, kind, message: df.select(tender, file.alias("filename"), kind.alias("status"), message.alias("message"))
+    kind = F.when(T.is_blank(F.col(status)), "empty").otherwise(F.col(status))
+    role = rules.doc_role(F.col(name), F.col(text), roles)
+    relevant = _matching_parts(readable, tender, name, text, block, roles, relevance, spec_roles).select(tender, name).distinct()
+    before, after = L.NO_FRAGMENTS.split("{role}")
+    useless = warn(readable.join(relevant, [tender, name], "left_anti"), F.col(name), F.lit("no_relevant_fragments"), F.concat(F.lit(before), role, F.lit(after)))
+    warnings = warn(failed, F.col(name), kind, F.lit(L.NO_TEXT)).unionByName(useless).unionByName(warn(alone, F.lit(L.DESCRIPTION_NAME), F.lit("warning"), F.lit(L.ONLY_DESCRIPTION)))
+    return found.unionByName(fallback), warnings
+
+
 def build_packet(docs: DataFrame, tender: str, key: str, name: str, text: str, status: str | None = None, budget: int = 400000, rule=L.GOODS_PRIORITY) -> DataFrame:
     """(tender, key, priority, class, reason): which documents a packet takes, in order of priority, and why
     others are left out. Texts stay where they are; they join by key."""
@@ -86,6 +120,33 @@ def build_packet(docs: DataFrame, tender: str, key: str, name: str, text: str, s
     return rows.select(tender, key, "priority", "class", "n").join(taken, [tender, key])
 
 
+def _filled(form: str, **values: Column) -> Column:
+    """A form's text with columns in its places."""
+    parts = re.split(r"\{(\w+)\}", form)
+    return F.concat(*[values[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+
+def packet_block(docs: DataFrame, tender: str, key: str, name: str, text: str, status: str, budget: int = 400000, rule=L.GOODS_PRIORITY, fragments=L.FRAGMENT_TYPES) -> DataFrame:
+    """(tender, block, documents_count, total_chars, included_files, skipped_files, archives_skipped): a tender's documents as one text,
+    each under a head that tells what it is, by priority and key, as far as the budget of characters goes. Archives and documents that
+    couldn't be read are left out, with the reason. A text is rendered where it is read; budgets see sizes alone, and only what is
+    taken is put together, so that no row holds more than the budget."""
+    p, clean = T.doc_priority(F.col(name), rule), T.norm_text(F.col(text))
+    head = _filled(L.FILE_HEAD, name=T.blank(F.col(name)), kind=p["class"], priority=p["priority"], status=F.col(status), length=F.length(T.blank(F.col(text))))
+    page = _filled(L.PAGE_HEAD, kind=rules.fragment_type(clean, fragments))
+    rendered = F.concat(head, F.lit("\n"), page, F.lit(f"\n{L.TEXT_MARK}\n"), clean, F.lit("\n"))
+    rows = docs.select(tender, key, name, p["priority"].alias("priority"), F.length(rendered).alias("n"), F.col(status).alias("status"), rendered.alias("rendered"))
+    why = F.when(F.lower(T.blank(F.col(name))).rlike(rf"\.({'|'.join(L.ARCHIVES)})$"), L.ARCHIVE_REASON).when(F.col("status") != "success", F.concat(F.lit("status_"), F.col("status")))
+    taken = select.take_budget_greedy(rows.drop("rendered"), [tender], key, ["priority"], "n", budget, why)
+    told = rows.join(taken, [tender, key]).withColumn("reason", F.when(F.col("reason") == "over_budget", L.SIZE_REASON).otherwise(F.col("reason")))
+    good, archive = F.col("reason").isNull(), F.col("reason") == L.ARCHIVE_REASON
+    in_order = lambda when, value: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("priority", key, value.alias("v"))))), lambda x: x["v"])
+    return told.groupBy(tender).agg(
+        F.trim(F.array_join(in_order(good, F.col("rendered")), "\n\n"), F.lit(" \n")).alias("block"), F.count(F.when(good, 1)).alias("documents_count"), F.coalesce(F.sum(F.when(good, F.col("n"))), F.lit(0)).cast("long").alias("total_chars"),
+        in_order(good, F.col(name)).alias("included_files"), in_order(~good & ~archive, F.struct(F.col(name).alias("filename"), "reason")).alias("skipped_files"), in_order(archive, F.col(name)).alias("archives_skipped"),
+    )
+
+
 def catalog_from_pages(pages: DataFrame, current: DataFrame, domain: str, **rules_of_pages) -> DataFrame:
     """Product pages as catalog rows, written over the current ones by canonical link."""
     from procure_spark.sources.html import page_products

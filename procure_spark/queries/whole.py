@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
+from procure_spark import lexicons as L
 from procure_spark.functions import text as T
 from procure_spark.operators import facts, rules
 from procure_spark.operators.split import page_links
 from procure_spark.plans import jobs
 from procure_spark.queries.more import by_key, contract_text, run_stream, said
+from procure_spark.queries.text import BLOCKS
 from procure_spark.registry import query, read, shared_dir
 from procure_spark.sources import html, tables
 from procure_spark.sources.versions import read_version
@@ -328,3 +330,66 @@ def q08_facts_of_tables(spark: SparkSession, d: str) -> DataFrame:
     tables_ = read(spark, d, "part").select(F.col("p_size").alias("g"), F.col("p_partkey").alias("f"), F.concat(head, F.lit("\n\n "), "p_name", F.lit(" | "), "p_partkey", F.lit(" \n")).alias("table"))
     found = jobs.tender_facts(docs, "g", "f", "t", tables=tables_).filter("topic = 'items_quantities' and merge_mode != 'not_found'")
     return found.select("g", F.array_join(F.array_sort("values"), ";").alias("values"))
+
+
+@query(f"""WITH {BLOCKS.format(text="text")}, w AS (SELECT source, doc_id, text, CASE WHEN doc_id % 5 = 0 THEN 'error' WHEN doc_id % 5 = 1 THEN NULL ELSE 'success' END AS status FROM documents),
+ok AS (SELECT * FROM w WHERE status = 'success' AND trim(coalesce(text, '')) <> ''),
+b AS (SELECT DISTINCT source, doc_id FROM ok JOIN blocks USING (doc_id) WHERE contains(lower(substr(b, 1, 3500)), 'the'))
+SELECT source AS tender, doc_id::VARCHAR AS filename, coalesce(status, 'empty') AS status, '{L.NO_TEXT}' AS message FROM w WHERE (source, doc_id) NOT IN (SELECT source, doc_id FROM ok)
+UNION ALL SELECT source, doc_id::VARCHAR, 'no_relevant_fragments', '{L.NO_FRAGMENTS.replace("{role}", "spec")}' FROM ok WHERE (source, doc_id) NOT IN (SELECT source, doc_id FROM b)
+UNION ALL SELECT n_name, '{L.DESCRIPTION_NAME}', 'warning', '{L.ONLY_DESCRIPTION}' FROM nation WHERE n_nationkey % 2 = 0
+UNION ALL SELECT n_name, 'text', 'text', '{L.DESCRIPTION_MARK}' || chr(10) || 'about ' || n_name FROM nation WHERE n_nationkey % 2 = 0""")
+def q03_matching_package(spark: SparkSession, d: str) -> DataFrame:
+    """Sources as tenders with documents (two fifths of which weren't read), nations as tenders without any, half of them described."""
+    k = F.col("doc_id") % 5
+    docs = read(spark, d, "documents").select(F.col("source").alias("tender"), F.col("doc_id").cast("string").alias("name"), "text", F.when(k == 0, "error").when(k > 1, "success").alias("status"))
+    nations = read(spark, d, "nation").select(F.col("n_name").alias("tender"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit(" about "), "n_name", F.lit(" "))).otherwise(" ").alias("about"))
+    tenders = docs.select("tender").distinct().withColumn("about", F.lit("x")).unionByName(nations)
+    texts, warnings = jobs.matching_package(tenders, docs, "tender", "about", "name", "text", "status", 10000, 3500, [("spec", [""])], [("any", ["the"], 1)], ["spec"])
+    alone = texts.join(nations.select("tender"), "tender", "left_semi").select("tender", F.lit("text").alias("filename"), F.lit("text").alias("status"), F.col("matching_text").alias("message"))
+    return warnings.unionByName(alone)
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT source, doc_id, CASE WHEN doc_id % 7 = 3 THEN doc_id || '.zip' WHEN doc_id % 2 = 0 THEN 'spec' || doc_id ELSE 'x' || doc_id END AS name, CASE WHEN doc_id % 11 = 5 THEN 'error' ELSE 'success' END AS status, text,
+  regexp_replace(regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(160), ' '), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS clean FROM documents),
+r AS (SELECT *, CASE WHEN starts_with(name, 'spec') THEN 1 ELSE 10 END AS priority, '=== FILE: ' || name || ' | DOC_CLASS_HINT: ' || CASE WHEN starts_with(name, 'spec') THEN 'main' ELSE 'other' END || ' | PRIORITY: ' || CASE WHEN starts_with(name, 'spec') THEN 1 ELSE 10 END
+  || ' | STATUS: ' || status || ' | TEXT_LEN: ' || length(coalesce(text, '')) || ' ===' || chr(10) || '--- PAGE_OR_SHEET: 1 | FRAGMENT_TYPE_HINT: ' || CASE WHEN contains(lower(clean), 'haha') THEN 'GENERAL' ELSE 'OTHER' END || ' ---' || chr(10) || '[TEXT]' || chr(10) || clean || chr(10) AS body FROM w),
+o AS (SELECT *, length(body) AS n, row_number() OVER (PARTITION BY source ORDER BY priority, doc_id) AS i FROM r WHERE status = 'success' AND NOT ends_with(name, '.zip')),
+f AS (SELECT source, doc_id, i, n <= 20000 AS ok, CASE WHEN n <= 20000 THEN n ELSE 0 END AS used FROM o WHERE i = 1
+ UNION ALL SELECT o.source, o.doc_id, o.i, f.used + o.n <= 20000, CASE WHEN f.used + o.n <= 20000 THEN f.used + o.n ELSE f.used END FROM f JOIN o ON o.source = f.source AND o.i = f.i + 1),
+t AS (SELECT r.*, length(body) AS n, ok, CASE WHEN ends_with(name, '.zip') THEN '{L.ARCHIVE_REASON}' WHEN status <> 'success' THEN 'status_error' WHEN NOT ok THEN '{L.SIZE_REASON}' END AS reason FROM r LEFT JOIN f USING (source, doc_id))
+SELECT source, sha256(coalesce(trim(string_agg(body, chr(10) || chr(10) ORDER BY priority, doc_id) FILTER (reason IS NULL), ' ' || chr(10)), '')) AS block, count(*) FILTER (reason IS NULL) AS documents_count, coalesce(sum(n) FILTER (reason IS NULL), 0)::BIGINT AS total_chars,
+ coalesce(string_agg(name, ',' ORDER BY priority, doc_id) FILTER (reason IS NULL), '') AS included, coalesce(string_agg(name || ':' || reason, ',' ORDER BY priority, doc_id) FILTER (reason <> '{L.ARCHIVE_REASON}'), '') AS skipped,
+ coalesce(string_agg(name, ',' ORDER BY priority, doc_id) FILTER (reason = '{L.ARCHIVE_REASON}'), '') AS archives FROM t GROUP BY source""")
+def q04_packet_block(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id")
+    name = F.when(k % 7 == 3, F.concat(k.cast("string"), F.lit(".zip"))).when(k % 2 == 0, F.concat(F.lit("spec"), k.cast("string"))).otherwise(F.concat(F.lit("x"), k.cast("string")))
+    docs = read(spark, d, "documents").select("source", "doc_id", name.alias("name"), "text", F.when(k % 11 == 5, "error").otherwise("success").alias("status"))
+    found = jobs.packet_block(docs, "source", "doc_id", "name", "text", "status", 20000, [(["spec"], None, 1, "main")], [("GENERAL", ["haha"])])
+    skipped = F.transform("skipped_files", lambda x: F.concat_ws(":", x["filename"], x["reason"]))
+    return found.select("source", F.sha2("block", 256).alias("block"), "documents_count", "total_chars", F.array_join("included_files", ",").alias("included"), F.array_join(skipped, ",").alias("skipped"), F.array_join("archives_skipped", ",").alias("archives"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE contains(lower(o_orderpriority), 'h') AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+def p17_filter_with_documents(spark: SparkSession, d: str) -> DataFrame:
+    files = read(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return rules.filter_tenders(read(spark, d, "orders"), "H", ["o_orderpriority"], files=files, key="o_orderkey", has_files=True, by_price="o_totalprice").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 6 IN (0, 2, 4) THEN 'ok' ELSE 'mismatch' END AS audit FROM part")
+def c39_audit_declared(spark: SparkSession, d: str) -> DataFrame:
+    """Files whose names tell no kind, by the types that are declared."""
+    types = by_key(*[F.lit(t) for t in ("application/PDF", "application/pdf", "application/msword", "application/zip", "text/plain", "application/vnd.openxmlformats-officedocument.wordprocessingml.document")])
+    start = F.unhex(F.when(F.col("p_partkey") % 2 == 0, F.when(F.col("p_partkey") % 6 == 0, "25504446").otherwise("D0CF11E0A1B11AE1")).otherwise("FFD8FFE0"))
+    return read(spark, d, "part").select("p_partkey", T.audit_signature(F.concat(start, F.repeat(F.col("p_name"), 40).cast("binary")), said("p_name", ".bin"), declared=types).alias("audit"))
+
+
+@query("""WITH n AS (SELECT l_orderkey, count(DISTINCT CASE l_partkey % 2 WHEN 0 THEN 'a' || l_partkey % 5 ELSE 'b' || l_partkey % 5 || ' ' || l_quantity::INT END) AS n FROM lineitem GROUP BY 1)
+SELECT l_orderkey, CASE WHEN l_orderkey % 2 = 0 THEN 0 ELSE n END AS positions, CASE WHEN l_orderkey % 2 = 0 THEN 'none' ELSE 'fine' END AS warning FROM n""")
+def q01_requirement_warnings(spark: SparkSession, d: str) -> DataFrame:
+    """Odd orders' documents name positions, even ones' don't."""
+    m, line = F.col("l_partkey") % 5, F.col("l_quantity").cast("int")
+    named = F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("Кирпич М"), m, F.lit(" | 1 | шт"))).otherwise(F.concat(F.lit("Труба "), m, F.lit("х "), line, F.lit(" шт")))
+    docs = _order_text(spark, d, F.when(F.col("l_orderkey") % 2 == 1, named).otherwise("слова"), head="Техническое задание\n", tail="\n")
+    found = jobs.requirement_warnings(docs, jobs.extract_requirements(docs, "l_orderkey"), "l_orderkey")
+    return found.select("l_orderkey", "positions", F.when(F.col("warning") == L.NO_POSITIONS, "none").when(F.col("warning") == L.MANY_POSITIONS, "many").otherwise("fine").alias("warning"))
