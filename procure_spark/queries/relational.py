@@ -270,23 +270,23 @@ def u04_union_evolving(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT p_partkey, p_name, p_brand FROM part WHERE p_partkey % 3 <> 0), n AS (SELECT p_partkey, upper(p_name) AS p_name, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'new' END AS p_brand FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 9 = 0)
+WITH c AS (SELECT p_partkey, p_name, p_brand FROM part WHERE p_partkey % 3 <> 0), n AS (SELECT p_partkey, upper(p_name) AS p_name, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'new' END AS p_brand FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0)
 SELECT coalesce(n.p_partkey, c.p_partkey) AS p_partkey, CASE WHEN n.p_partkey IS NOT NULL THEN n.p_name ELSE c.p_name END AS p_name, coalesce(nullif(n.p_brand, ''), c.p_brand) AS p_brand,
  CASE WHEN n.p_partkey IS NULL THEN 'kept' WHEN c.p_partkey IS NULL THEN 'created' ELSE 'updated' END AS change FROM c FULL JOIN n ON c.p_partkey = n.p_partkey""")
 def m01_upsert_products(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "part")
-    new = p.filter("p_partkey % 2 = 0 or p_partkey % 9 = 0").select("p_partkey", F.upper("p_name").alias("p_name"), F.when(F.col("p_partkey") % 2 == 0, "").otherwise("new").alias("p_brand"))
+    new = p.filter("p_partkey % 2 = 0 or p_partkey % 3 = 0").select("p_partkey", F.upper("p_name").alias("p_name"), F.when(F.col("p_partkey") % 2 == 0, "").otherwise("new").alias("p_brand"))
     return M.upsert(p.filter("p_partkey % 3 <> 0").select("p_partkey", "p_name", "p_brand"), new, "p_partkey", "p_name", ["p_brand"])
 
 
 @query("""
-WITH c AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 = 0), n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'U' END AS o_orderstatus, o_totalprice + 1 AS o_totalprice FROM orders WHERE o_orderkey % 2 = 0)
+WITH c AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 <> 1), n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'U' END AS o_orderstatus, o_totalprice + 1 AS o_totalprice FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 1)
 SELECT coalesce(n.o_orderkey, c.o_orderkey) AS o_orderkey, coalesce(nullif(n.o_orderstatus, ''), c.o_orderstatus, 'Found') AS o_orderstatus, CASE WHEN n.o_orderkey IS NOT NULL THEN n.o_totalprice ELSE c.o_totalprice END AS o_totalprice,
  CASE WHEN n.o_orderkey IS NULL THEN 'kept' WHEN c.o_orderkey IS NULL THEN 'created' ELSE 'updated' END AS change FROM c FULL JOIN n ON c.o_orderkey = n.o_orderkey""")
 def m02_upsert_tenders(spark: SparkSession, d: str) -> DataFrame:
     o = read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    new = o.filter("o_orderkey % 2 = 0").withColumns({"o_orderstatus": F.when(F.col("o_orderkey") % 5 == 0, "").otherwise("U"), "o_totalprice": F.col("o_totalprice") + 1})
-    return M.upsert(o.filter("o_orderkey % 3 = 0"), new, "o_orderkey", "o_orderkey", ["o_orderstatus"], {"o_orderstatus": "Found"})
+    new = o.filter("o_orderkey % 2 = 0 or o_orderkey % 3 = 1").withColumns({"o_orderstatus": F.when(F.col("o_orderkey") % 5 == 0, "").otherwise("U"), "o_totalprice": F.col("o_totalprice") + 1})
+    return M.upsert(o.filter("o_orderkey % 3 <> 1"), new, "o_orderkey", "o_orderkey", ["o_orderstatus"], {"o_orderstatus": "Found"})
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN true WHEN o_orderkey % 7 = 0 THEN false ELSE coalesce(n, 0) = 0 OR o_orderkey % 5 = 0 END AS needs_download
