@@ -9,7 +9,7 @@ similar ones less often; for 0.8, 12 chunks give 4e-6.
 
 1. Documents of equal sets are one class from here on.
 2. Keys that several classes share give candidates: first each class with a random one of the key's
-   (as many as there are classes), confirmed on full sets.
+   (as many as there are classes): of those under the distance and near in size, confirmed on full sets.
 3. Between members of a key that are not yet connected, all pairs within the distance of the
    signatures, and of longer ones, are confirmed on full sets. Keys of many members are cut into
    blocks, those of a large component apart from others, and every two blocks that aren't of one and
@@ -135,6 +135,20 @@ def errors(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a != b).sum(axis=-1)
 
 
+def near_pairs(pairs: DataFrame, classes: DataFrame, percent: int, chunks: int) -> DataFrame:
+    """pairs (a, b) of classes whose sizes allow the similarity and whose signatures are under the distance."""
+    side = lambda c: classes.select(F.col("class").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}"))
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            if len(p):
+                sa, sb = (np.frombuffer(b"".join(p[c]), "<u2").reshape(len(p), chunks * IN_CHUNK) for c in ("sig_a", "sig_b"))
+                yield p.loc[errors(sa, sb) < 2 * chunks, ["a", "b"]]
+
+    return sized.mapInPandas(near, "a binary, b binary")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b) of classes whose full sets are as similar as ``percent``."""
     most = long_errors(percent)
@@ -258,14 +272,17 @@ def grouped(docs: DataFrame, percent: int = PERCENT, chunks: int = CHUNKS) -> Da
     keyed = keys(classes, chunks)
     # A random member of each key (another one for each, so that no odd document stands in for all).
     luck = F.struct(F.xxhash64("key", "class").alias("luck"), F.col("class"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min(luck)["class"].alias("pivot")).filter("members > 1")
-    shared = written(keyed.join(shared, "key").select("class", "slot", "key", "members", "pivot"), "op7-shared")
+    several = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
+    shared = written(keyed.join(several, "key").select("class", "slot", "key"), "op7-shared")
     sig = classes.select("class", "sig", "n")
-    star = shared.filter(F.col("class") != F.col("pivot")).select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
-    # Full sets and longer signatures of the classes that share any key, from one text of each.
-    wanted = shared.select("class").distinct().join(classes.select("class", "one.doc_id", "one.text_hash"), "class")
+    star = shared.join(shared.groupBy("key").agg(F.min(luck)["class"].alias("pivot")), "key").filter(F.col("class") != F.col("pivot"))
+    star = star.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
+    star = written(near_pairs(star, sig, percent, chunks), "op7-star")
+    # Full sets and longer signatures of the classes that share any key, from one text of each; only paired ones are joined to pairs.
+    paired = star.select(F.col("a").alias("class")).union(star.select("b")).distinct().withColumn("paired", F.lit(True))
+    wanted = shared.select("class").distinct().join(classes.select("class", "one.doc_id", "one.text_hash"), "class").join(paired, "class", "left")
     sets = written(full_sets(docs, wanted), "op7-sets")
-    star_links = written(confirmed(star, sets, percent), "op7-links")
+    star_links = written(confirmed(star, sets.filter("paired"), percent), "op7-links")
     labels = components(star_links, "op7-components")
     # Keys whose members lie in several components.
     labelled = shared.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
@@ -283,21 +300,21 @@ def grouped(docs: DataFrame, percent: int = PERCENT, chunks: int = CHUNKS) -> Da
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(class, hashes, long) of the wanted (class, doc_id, text_hash): one text of each class, told by both, as
+    """(class, hashes, long, paired) of the wanted (class, doc_id, text_hash, paired): one text of each class, told by both, as
     rows may share an id."""
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for text, cls in zip(b["text"], b["class"], strict=True):
+            for text, cls, paired in zip(b["text"], b["class"], b["paired"], strict=True):
                 s = shingle_set(text)
                 if digest(s) == cls:
-                    rows.append((cls, s.astype("<u8").tobytes(), signature(s, LONG, 8)))
-            yield pd.DataFrame(rows, columns=["class", "hashes", "long"])
+                    rows.append((cls, s.astype("<u8").tobytes(), signature(s, LONG, 8), bool(paired)))
+            yield pd.DataFrame(rows, columns=["class", "hashes", "long", "paired"])
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["text_hash"] == wanted["text_hash"])).select("class", "text")
-    return texts.mapInPandas(expand, "class binary, hashes binary, long binary").dropDuplicates(["class"])
+    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["text_hash"] == wanted["text_hash"])).select("class", "text", F.coalesce("paired", F.lit(False)).alias("paired"))
+    return texts.mapInPandas(expand, "class binary, hashes binary, long binary, paired boolean").dropDuplicates(["class"])
 
 
 def in_blocks(members: DataFrame, block: int = BLOCK) -> DataFrame:
