@@ -78,3 +78,34 @@ def p15_item_quality(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT o_orderkey FROM orders WHERE o_totalprice > 200000""")
 def p16_selected(spark: SparkSession, d: str) -> DataFrame:
     return P.selected(read(spark, d, "orders").withColumn("f", F.col("o_totalprice") > 200000), "f").select("o_orderkey")
+
+
+@query("""SELECT doc_id, 3 * (contains(t, 'tion') OR contains(t, 'ung'))::INT + 2 * (contains(t, 'ing') OR contains(t, 'que'))::INT >= 4 AS signals FROM (SELECT doc_id, lower(text) AS t FROM documents)""")
+def p03_signals_of_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Product signals of whole texts: words of either list alone don't reach the threshold, both together do."""
+    return read(spark, d, "documents").select("doc_id", P.has_product_signals(F.col("text"), ["tion", "ung"], ["ing", "que"]).alias("signals"))
+
+
+@query("""SELECT doc_id, 5 * regexp_matches(t, 'th[ei]|d[ie]r')::INT + 3 * contains(t, 'tion')::INT + 2 * contains(t, 'ing')::INT + 2 * contains(t, '|')::INT - 6 * regexp_matches(t, 'ha{1}ha|[0-9]{6}')::INT AS score FROM (SELECT doc_id, lower(text) AS t FROM documents)""")
+def p06_score_of_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Section scores of whole texts, with every rule of the score but the quantity word in play."""
+    return read(spark, d, "documents").select("doc_id", P.section_score(F.col("text"), ["th[ei]", "d[ie]r"], ["ha{1}ha", "[0-9]{6}"], ["tion"], ["ing"]).alias("score"))
+
+
+@query("""SELECT doc_id, contains(t, 'ction') OR contains(t, 'mente') AS material, regexp_matches(t, 'ha{1}ha|[0-9]{6}') AS excluded, contains(t, 'ment') AS general FROM (SELECT doc_id, lower(text) AS t FROM documents)""")
+def p09_predicates_of_documents(spark: SparkSession, d: str) -> DataFrame:
+    text = F.lower("text")  # names in capitals are what p09_name_predicates has
+    return read(spark, d, "documents").select("doc_id", P.is_material_name(text, ["ction", "mente"]).alias("material"), P.is_excluded(text, ["ha{1}ha", "[0-9]{6}"]).alias("excluded"), P.is_general_req(text, ["ment"]).alias("general"))
+
+
+@query("""
+WITH s AS (SELECT doc_id, string_split(replace(text, 'of', 'толщина'), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM s),
+f AS (SELECT doc_id, lower(line) AS low, arg_min(line, i) AS line, min(i) AS i FROM l WHERE contains(lower(line), 'толщина') GROUP BY 1, 2),
+g AS (SELECT doc_id, count(*) AS n, md5(string_agg(line, '|' ORDER BY i)) AS digest FROM f GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0)::INT AS n, coalesce(digest, md5('')) AS digest FROM documents d LEFT JOIN g USING (doc_id)""")
+def p10_lines_of_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Characteristic lines of whole texts in which a word is replaced by a term of the list: each line once, in order."""
+    lines = P.characteristics(F.split(F.replace("text", F.lit("of"), F.lit("толщина")), "\n"))
+    found = read(spark, d, "documents").select("doc_id", F.coalesce(lines, F.array().cast("array<string>")).alias("lines"))
+    return found.select("doc_id", F.size("lines").alias("n"), F.md5(F.array_join("lines", "|")).alias("digest"))
