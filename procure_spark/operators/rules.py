@@ -128,8 +128,11 @@ def is_characteristic(col: Column, spec=tuple(L.SPEC_KEYWORDS)) -> Column:
 def characteristics(lines: Column) -> Column:
     """Of an array of lines those that tell a characteristic, each once, in order."""
     kept = F.filter(lines, lambda x: is_characteristic(x))
-    lows = F.transform(kept, lambda x: F.lower(x))
-    return F.filter(kept, lambda x, i: F.array_position(lows, F.lower(x)) == i + 1)
+    # Sorted, so that equal lines stand together: linear but for the sort, as arrays that a lambda names are evaluated for each element.
+    ordered = F.array_sort(F.transform(kept, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("i"), x.alias("x"))))
+    before = F.concat(F.array(F.lit(None).cast("struct<low:string,i:int,x:string>")), ordered)
+    first = F.zip_with(ordered, before, lambda a, b: F.when(a["low"].isNotNull() & ~a["low"].eqNullSafe(b["low"]), F.struct(a["i"].alias("i"), a["x"].alias("x"))))
+    return F.transform(F.array_sort(F.array_compact(first)), lambda f: f["x"])
 
 
 def topic_scores(df: DataFrame, text: str, topics: dict[str, list[str]] = L.TOPICS) -> DataFrame:
