@@ -7,7 +7,8 @@ inverted in closed form to give every pass over every document its training posi
 (``scheduled``). ``mix`` sorts passes by position, ``arranged`` documents by their first one.
 
 A source's documents are in the order of a digest of id and text, so that neither rows that share an
-id nor rows without one stand together.
+id nor rows without one stand together. Rows that are equal in both do; where there are more than ``AT_ONCE``
+of them, they are dealt into parts of about as many (``copies_apart``), so that they aren't one task's work.
 
 Defined cases: a null text has size 0 and takes nothing, so it has no position; a null source is a
 source of its own, last in order; repeated rows are documents of their own, next to each other; an
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from procure_spark.llm.common import WORD, table
+from procure_spark.llm.common import WORD, table, written
 
 #: Weights that repeat over the sources in code-point order, the slope of each weight's schedule
 #: (over -1 and under 1: sources of weight 5 early, those of weight 1 late), most passes.
@@ -30,6 +31,9 @@ WEIGHTS, SLOPES, PASSES = (5, 2, 1), (-0.5, 0.0, 0.5), 3
 #: no source is one task's work: 4,096 parts.
 PART_DIGITS = 3
 
+#: Rows equal in source, id and text that may share a part.
+AT_ONCE = 4096
+
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
@@ -60,9 +64,31 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, passes=PASS
     return per.select("source", "source_size", "weight", "slope", F.when(full, F.col("cap")).otherwise(F.col("shared") * F.col("weight")).alias("target"))
 
 
-def place(df: DataFrame, text_col="text", id_col="doc_id", source_col="source", **how) -> DataFrame:
+def copies_apart(own: DataFrame) -> DataFrame:
+    """own with ``__part`` cut where more than ``AT_ONCE`` rows are equal in source and digest: into what is
+    before them, themselves in parts of about ``AT_ONCE``, and what is after, in the order of digests.
+
+    They are counted with sums on the map side. Where there are any, rows are written once with what deals
+    them out, as equal rows differ in nothing that could; as they are of one size, their order changes no sum.
+    """
+    counts = own.groupBy("__source", "__part", "__digest").agg(F.count("*").alias("n")).filter(F.col("n") > AT_ONCE)
+    many = written(counts.select("__source", "__part", "__digest", F.ceil(F.col("n") / AT_ONCE).alias("cuts")), "op9-copies")
+    if many.isEmpty():
+        return own
+    rows = written(own.withColumn("__deal", F.xxhash64(F.monotonically_increasing_id())), "op9-rows")
+    cuts = many.groupBy(F.col("__source").alias("__s"), F.col("__part").alias("__p")).agg(F.sort_array(F.collect_list(F.struct("__digest", "cuts"))).alias("__many"))
+    rows = rows.join(cuts, rows["__source"].eqNullSafe(cuts["__s"]) & (rows["__part"] == cuts["__p"]), "left")
+    before = F.size(F.filter("__many", lambda m: m["__digest"] < F.col("__digest")))
+    own_cuts = F.get(F.filter("__many", lambda m: m["__digest"] == F.col("__digest")), 0)["cuts"]
+    step = 2 * before + F.when(own_cuts.isNull(), 0).otherwise(1)
+    number = lambda n: F.lpad(n.cast("string"), 12, "0")
+    cut = F.concat_ws("-", "__part", number(step), number(F.pmod("__deal", F.coalesce(own_cuts, F.lit(1).cast("long")))))
+    return rows.withColumn("__part", F.when(F.col("__many").isNull(), F.col("__part")).otherwise(cut)).drop("__s", "__p", "__many", "__deal")
+
+
+def place(df: DataFrame, text_col="text", id_col="doc_id", source_col="source", keep_text=True, **how) -> DataFrame:
     """df with size, source_size, target, slope and ``begins`` (size of what stands before the
-    document in its source's order).
+    document in its source's order); without the text unless ``keep_text``.
 
     A pass takes documents in that order until the target is met, so the last document of the last
     pass may give a part of its words only.
@@ -70,6 +96,7 @@ def place(df: DataFrame, text_col="text", id_col="doc_id", source_col="source",
     digest = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     own = df.drop("size", "source_size", "target", "slope", "begins")
     own = own.withColumns({"size": word_count(F.col(text_col)), "__source": F.col(source_col), "__digest": digest}).withColumn("__part", F.substring("__digest", 1, PART_DIGITS))
+    own = copies_apart(own if keep_text else own.drop(text_col))
     parts = own.groupBy(F.col("__source").alias("source"), F.col("__part").alias("part")).agg(F.sum("size").alias("part_size"))
     targets = source_targets(parts, **how)
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -123,7 +150,7 @@ def arranged(df: DataFrame, text_col="text", id_col="doc_id", source_col="source
 
 def op9_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return arranged(docs).select("doc_id", "size", "source_size", "target", "taken", "passes", F.round("position", 9).alias("position"))
+    return arranged(docs, keep_text=False).select("doc_id", "size", "source_size", "target", "taken", "passes", F.round("position", 9).alias("position"))
 
 
 SQL = r"""

@@ -143,6 +143,21 @@ def test_mixing(spark):
     assert found == sorted(found) and None not in places[len(places) - len(found) :]
 
 
+def test_many_equal_rows_are_dealt_into_parts(spark, monkeypatch):
+    rows = [(i % 40, f"a{i % 40} b c", "s0") for i in range(400)] + [(7, "same words here again", "s0")] * 300 + [(None, None, None)] * 90 + [(None, "x y", None)] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    columns = ["doc_id", "size", "source_size", "target", "taken", "passes", "position"]
+    plain = mixing.arranged(df).select(columns).collect()
+    monkeypatch.setattr(mixing, "AT_ONCE", 9)
+    assert sorted(map(str, mixing.arranged(df, keep_text=False).select(columns).collect())) == sorted(map(str, plain))
+    begins = mixing.place(df.filter("source = 's0'")).orderBy("begins").collect()
+    assert [r["begins"] for r in begins] == [sum(x["size"] for x in begins[:i]) for i in range(len(begins))]
+    parts = mixing.copies_apart(df.selectExpr("source AS __source", "md5(concat_ws('|', doc_id, text)) AS __digest").withColumn("__part", F.substring("__digest", 1, 1)))
+    assert parts.count() == len(rows)
+    # Equal rows fill no part alone, though hashes deal them out unevenly.
+    assert parts.groupBy("__source", "__part", "__digest").count().agg(F.max("count")).first()[0] < 40
+
+
 def test_slopes_decide_the_order_not_the_amounts(spark):
     df = spark.createDataFrame([(i, "w " * (5 + i % 7), f"s{i % 3}") for i in range(600)], "doc_id long, text string, source string")
     rows = {slopes: mixing.arranged(df, slopes=slopes).collect() for slopes in ((-0.9, 0.0, 0.9), (0.9, 0.0, -0.9))}
