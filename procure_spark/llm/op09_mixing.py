@@ -88,7 +88,8 @@ def copies_apart(own: DataFrame) -> DataFrame:
 
 def place(df: DataFrame, text_col="text", id_col="doc_id", source_col="source", keep_text=True, **how) -> DataFrame:
     """df with size, source_size, target, slope and ``begins`` (size of what stands before the
-    document in its source's order); without the text unless ``keep_text``.
+    document in its source's order). Without ``keep_text`` the text goes, and what is left is written once,
+    so that texts are read once.
 
     A pass takes documents in that order until the target is met, so the last document of the last
     pass may give a part of its words only.
@@ -96,7 +97,7 @@ def place(df: DataFrame, text_col="text", id_col="doc_id", source_col="source",
     digest = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     own = df.drop("size", "source_size", "target", "slope", "begins")
     own = own.withColumns({"size": word_count(F.col(text_col)), "__source": F.col(source_col), "__digest": digest}).withColumn("__part", F.substring("__digest", 1, PART_DIGITS))
-    own = copies_apart(own if keep_text else own.drop(text_col))
+    own = copies_apart(own if keep_text else written(own.drop(text_col), "op9-sizes"))
     parts = own.groupBy(F.col("__source").alias("source"), F.col("__part").alias("part")).agg(F.sum("size").alias("part_size"))
     targets = source_targets(parts, **how)
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
