@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procure_spark import lexicons as L
-from procure_spark.functions.text import blank, is_blank
+from procure_spark.functions.text import blank, is_blank, once
 
 
 def longest(col: str, seq: str) -> Column:
@@ -35,8 +35,8 @@ def in_order(value: Column, seq: Column) -> Column:
 
 def distinct_ignoring_case(values: Column) -> Column:
     """An array's texts, each once whatever its case, at its first place."""
-    lows = F.transform(values, lambda x: F.lower(F.trim(x)))
-    return F.filter(values, lambda x, i: F.array_position(lows, F.lower(F.trim(x))) == i + 1)
+    firsts = lambda v, lows: F.filter(v, lambda x, i: F.array_position(lows, F.lower(F.trim(x))) == i + 1)
+    return once(values, lambda v: once(F.transform(v, lambda x: F.lower(F.trim(x))), lambda lows: firsts(v, lows)))
 
 
 def merge_notices(df: DataFrame, key: str, seq: str, longest_of: Sequence[str], first_filled_of: Sequence[str] = (), first_of_all: Sequence[str] = ()) -> DataFrame:
