@@ -11,7 +11,7 @@ from procure_spark.operators.rollup import report_summary
 from procure_spark.operators.split import markdown_tables, table_preview
 from procure_spark.plans.jobs import matching_text
 from procure_spark.queries.text import BLOCKS
-from procure_spark.registry import query, read, shared_dir
+from procure_spark.registry import query, read, shared_dir, spread
 from procure_spark.sources.html import page_products
 from procure_spark.sources.tables import load_pages
 from procure_spark.streaming.jobs import stream_job_progress, stream_new_notices
@@ -225,7 +225,7 @@ def a20_report_summary(spark: SparkSession, d: str) -> DataFrame:
 def c36_repair_report(spark: SparkSession, d: str) -> DataFrame:
     title = "# Юридическое заключение по тендеру"
     raw = by_key(said("\n", "p_name", "\r\n"), said("a## 1. ", "p_name", " | x || ", "p_size", " |"), said(f"old {title}\n", "p_name", f"\n{title}\n\n\nb"), F.lit(None).cast("string"))
-    return read(spark, d, "part").select("p_partkey", T.repair_report(raw).alias("report"))
+    return spread(read(spark, d, "part").select("p_partkey", raw.alias("raw"))).select("p_partkey", T.repair_report(F.col("raw")).alias("report"))
 
 
 @query("""SELECT p_partkey, p_brand || ':' || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'стр. ' || p_size END || ':' || p_name || CASE WHEN p_partkey % 3 = 0 THEN '|::' || p_type ELSE '' END AS sources FROM part""")
