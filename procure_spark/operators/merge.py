@@ -70,7 +70,7 @@ def merge_requirements(df: DataFrame, keys: Sequence[str], seq: str) -> DataFram
         distinct_ignoring_case(F.flatten(in_order(F.col("characteristics"), F.col(seq)))).alias("characteristics"),
         F.max("confidence").alias("confidence"),
         F.min_by("source_fragment", F.struct(-F.col("confidence"), F.col(seq), F.col("source_fragment"))).alias("source_fragment"),
-        F.when(F.count_distinct("extraction_mode") > 1, "mixed").otherwise(F.min("extraction_mode")).alias("extraction_mode"),
+        F.when(F.min("extraction_mode") < F.max("extraction_mode"), "mixed").otherwise(F.min("extraction_mode")).alias("extraction_mode"),
     )
 
 
