@@ -9,9 +9,9 @@ from procure_spark.plans.jobs import build_packet, match_analogs
 from procure_spark.registry import query, read
 
 
-def _queries(spark: SparkSession, d: str) -> DataFrame:
+def _queries(spark: SparkSession, d: str, *more: str) -> DataFrame:
     """Parts whose key is divisible by 50 ask for parts like them, among all: the query set of a search."""
-    return read(spark, d, "part").filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_type").alias("query"), query_keywords(F.concat_ws(" ", "p_name", "p_type")).alias("keywords"))
+    return read(spark, d, "part").filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_type").alias("query"), query_keywords(F.concat_ws(" ", "p_name", "p_type")).alias("keywords"), *more)
 
 
 SEARCH = r"""
@@ -129,10 +129,10 @@ SELECT *, CASE WHEN analog_score >= 90 THEN 'excellent' WHEN analog_score >= 70
 def q07_match_analogs(spark: SparkSession, d: str) -> DataFrame:
     """Parts of the query set against eligible parts, with external offers: all parts of the asked part's size and type, under a longer title."""
     part = read(spark, d, "part")
-    asked = part.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), "p_size", "p_type")
-    offers = part.join(asked, ["p_size", "p_type"]).select("query_id", "p_partkey", F.concat_ws(" ", "p_name", F.lower("p_type")).alias("title"), (F.col("p_partkey") % 100).cast("int").alias("analog_score"))
+    asked = _queries(spark, d, "p_size", "p_type")
+    offers = part.select("p_size", "p_type", "p_partkey", F.concat_ws(" ", "p_name", F.lower("p_type")).alias("title"), (F.col("p_partkey") % 100).cast("int").alias("analog_score"))
     catalog = part.withColumn("open", F.col("p_size") > 3)
-    found = match_analogs(_queries(spark, d), catalog, offers, "query_id", "query", "p_partkey", "p_name", ["p_name", "p_type", "p_brand"], 5, whitelist=LISTED, searchable="open", category="p_brand", description="p_type")
+    found = match_analogs(asked, catalog, offers, "query_id", "query", "p_partkey", "p_name", ["p_name", "p_type", "p_brand"], 5, whitelist=LISTED, searchable="open", by=["p_size", "p_type"], category="p_brand", description="p_type")
     return found.select("query_id", "p_partkey", "title", "analog_score", "source", "band", "rank")
 
 
