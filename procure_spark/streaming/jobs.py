@@ -31,38 +31,60 @@ def ttl_openings(events: DataFrame, content: Sequence[str], ts: str, ttl_s: int
     return openings(rows, content, ts, ttl_s * 10**6).withColumns({ts: F.timestamp_micros(ts), "content_hash": content_hash(content)})
 
 
-def stream_ttl_dedup(events: DataFrame, content: Sequence[str], ts: str, ttl_s: int = 3600, delay: str = "10 minutes") -> DataFrame:
+#: Groups of contents that share a state. A running stream keeps the number that it began with.
+GROUPS = 1024
+
+#: So that all times come back as they were.
+JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def stream_ttl_dedup(events: DataFrame, content: Sequence[str], ts: str, ttl_s: int = 3600, delay: str = "10 minutes", groups: int = GROUPS) -> DataFrame:
     """Events that find no stored answer, as ``ttl_openings`` tells them, from a stream whose events come in any order within
     ``delay``: a content's events wait until the watermark has passed them and are then taken in the order of their times. State
     is the end of the stored answer and the times that wait; a content with neither is forgotten. Events without a time, and
-    those that come behind the watermark, are left out."""
+    those that come behind the watermark, are left out.
+
+    Contents are dealt by hash into ``groups``, each with one state, since a call of Python costs more than many events. A batch
+    that touches a group writes the state of its contents anew; a task has one group's contents and times in memory."""
     rows = events.select(*content, F.col(ts).cast("timestamp").alias(ts)).filter(F.col(ts).isNotNull()).withWatermark(ts, delay)
-    rows = rows.withColumns({"__us": F.unix_micros(ts), "content_hash": content_hash(content)})
+    schema = T.StructType([rows.schema[c] for c in content])
+    # As one text contents keep their nulls and types on the way through pandas.
+    rows = rows.select(ts, F.unix_micros(ts).alias("__us"), F.to_json(F.struct(*content), {"ignoreNullFields": "false", **JSON}).alias("__content"))
+    rows = rows.withColumn("__group", F.pmod(F.xxhash64("__content"), F.lit(groups)))
     ttl = ttl_s * 10**6
 
     def take(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        ends, waiting = state.get if state.exists else (None, [])
+        held = {c: (ends, list(waiting)) for c, ends, waiting in zip(*state.get, strict=True)} if state.exists else {}
         passed = state.getCurrentWatermarkMs()
-        waiting = sorted([*waiting, *(int(x) for b in batches for x in b["__us"])])
-        opened = []
-        for at in waiting:
-            if at // 1000 >= passed:
-                break
-            if ends is None or at >= ends:
-                opened.append(at)
-                ends = at + ttl
-        waiting = [at for at in waiting if at // 1000 >= passed]
-        ends = ends if ends is not None and ends // 1000 >= passed else None
-        if waiting or ends is not None:
-            state.update((ends, waiting))
-            state.setTimeoutTimestamp(max(passed, waiting[0] // 1000 if waiting else ends // 1000))
+        for b in batches:
+            for c, at in zip(b["__content"].tolist(), b["__us"].tolist(), strict=True):
+                held.setdefault(c, (None, []))[1].append(at)
+        opened, kept, times = [], [], []
+        for c, (ends, waiting) in held.items():
+            waiting.sort()
+            done = 0
+            for at in waiting:
+                if at // 1000 >= passed:
+                    break
+                if ends is None or at >= ends:
+                    opened.append((c, at))
+                    ends = at + ttl
+                done += 1
+            waiting = waiting[done:]
+            ends = ends if ends is not None and ends // 1000 >= passed else None
+            if waiting or ends is not None:
+                kept.append((c, ends, waiting))
+                times.append(max(passed, waiting[0] // 1000 if waiting else ends // 1000))
+        if kept:
+            state.update(tuple(map(list, zip(*kept, strict=True))))
+            state.setTimeoutTimestamp(min(times))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame([(*key, at) for at in opened], columns=[*content, "content_hash", "__us"])
+        yield pd.DataFrame(opened, columns=["__content", "__us"])
 
-    out = T.StructType([*(rows.schema[c] for c in (*content, "content_hash")), T.StructField("__us", T.LongType())])
-    found = rows.groupBy(*content, "content_hash").applyInPandasWithState(take, out, "ends long, waiting array<long>", "append", "EventTimeTimeout")
-    return found.select(*content, "content_hash", F.timestamp_micros("__us").alias(ts))
+    found = rows.groupBy("__group").applyInPandasWithState(take, "__content string, __us long", "contents array<string>, ends array<long>, waiting array<array<long>>", "append", "EventTimeTimeout")
+    found = found.select(F.from_json("__content", schema, {"mode": "FAILFAST", **JSON}).alias("__c"), "__us").select("__c.*", F.timestamp_micros("__us").alias(ts))
+    return found.select(*content, content_hash(content).alias("content_hash"), ts)
 
 
 def stream_job_progress(events: DataFrame, job: str, tender: str, seq: str, stage: str) -> DataFrame:

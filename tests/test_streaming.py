@@ -100,3 +100,21 @@ def test_progress_and_completion(spark, tmp_path):
         assert state() == [(1, 1, 5, "done", "completed"), (1, 2, 3, "done", "completed"), first[2]]
     sink(more.limit(0), 2)
     assert len(state()) == 3 and len(list((tmp_path / "jobs").glob("bucket=*/version=1"))) == 1
+
+
+def test_contents_share_states_and_keep_types(spark, tmp_path):
+    schema = "n long, s string, d timestamp, x double, ts timestamp"
+    rng = random.Random(3)
+    at = lambda: AT + dt.timedelta(seconds=rng.randrange(20_000), microseconds=rng.randrange(10**6))
+    odd = [(None, None, None, None), (None, "", AT, float("nan")), (2**53 + 1, " \"\\", AT + dt.timedelta(microseconds=7), 0.1), (2**53, "null", dt.datetime(1850, 1, 1, 1, 2, 3, 456789), None)]
+    rows = [(*c, at()) for c in odd for _ in range(20)] + [(i, "x", AT, 1.0, at()) for i in range(3000)] + [(-1, "end", AT, 1.0, AT + dt.timedelta(days=2))]
+    events = spark.createDataFrame(rows, schema)
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    content = ["n", "s", "d", "x"]
+    stream = jobs.stream_ttl_dedup(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), content, "ts")
+    run = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    wanted = jobs.ttl_openings(events, content, "ts").filter("n is null or n <> -1").select(stream.columns)
+    found = spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
+    assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect())) and found.count() > 3004 and stream.schema == wanted.schema
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress) <= jobs.GROUPS
